@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightfold.operators.timeseries import hourly_cover, observation_cover
+from nightfold.operators.timeseries import RunRules, hourly_cover, observation_cover
 from nightfold.util import as_ts
 
 LEADS = (1, 2, 3)
 MODELS = {"gfs": (1, 2, 3), "ecmwf": (1, 2)}
 BENCHMARKS = {"nbm": (1, 2, 3)}
+# Sparse reports: nights keep a label unless more than 60 % of their hours are missing.
+RULES = RunRules(max_missing=0.6)
 TRAIN, TEST = ("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-31")
 
 
@@ -175,13 +177,13 @@ def wide_hours(spark: SparkSession, sf: str) -> DataFrame:
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     from nightfold.operators.nights import build_labels
 
-    return build_labels(windows(spark, sf), wide_hours(spark, sf))
+    return build_labels(windows(spark, sf), wide_hours(spark, sf), RULES)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     from nightfold.operators.nights import build_features
 
-    return build_features(windows(spark, sf), forecasts(spark, sf), MODELS, BENCHMARKS, LEADS)
+    return build_features(windows(spark, sf), forecasts(spark, sf), MODELS, BENCHMARKS, LEADS, RULES)
 
 
 def moon(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +208,7 @@ def dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _src(name: str, pick: str) -> str:
-    return f"""{name} AS ({runs_sql(f"(SELECT b.site, b.night_date, b.hour, s.cover FROM bb b LEFT JOIN ({pick}) s USING (site, hour))", "site, night_date")})"""
+    return f"""{name} AS ({runs_sql(f"(SELECT b.site, b.night_date, b.hour, s.cover FROM bb b LEFT JOIN ({pick}) s USING (site, hour))", "site, night_date", miss="0.6")})"""
 
 
 WIDE = """top AS (SELECT site, hour, max(cover) AS cover FROM rep WHERE source = 'asos' GROUP BY ALL),
@@ -219,16 +221,16 @@ LAB = ",\n".join([
     """one AS (SELECT b.site, b.night_date, sum(CASE WHEN (t.asos IS NULL) <> (t.era5 IS NULL) THEN 1 ELSE 0 END) AS n_single FROM bb b
   LEFT JOIN tru t USING (site, hour) GROUP BY ALL)""",
     """lab AS (SELECT w.site, w.night_date,
-  CASE WHEN w.dusk IS NOT NULL AND a.missing_frac <= 0.25 AND e.missing_frac <= 0.25 THEN t.usable END AS usable_primary,
+  CASE WHEN w.dusk IS NOT NULL AND a.missing_frac <= 0.6 AND e.missing_frac <= 0.6 THEN t.usable END AS usable_primary,
   a.usable AS usable_asos, e.usable AS usable_era5, m.usable AS usable_asos_max, g.usable AS usable_goes,
   a.missing_frac AS asos_missing_frac, e.missing_frac AS era5_missing_frac, g.missing_frac AS goes_missing_frac,
   coalesce(one.n_single, 0) AS n_single_source_hours, t.longest_clear_run AS truth_longest_clear_run, t.mean_cover AS truth_mean_cover,
   a.mean_cover AS asos_mean_cover, e.mean_cover AS era5_mean_cover, g.mean_cover AS goes_mean_cover,
-  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN a.missing_frac > 0.25 AND e.missing_frac > 0.25 THEN 'asos_and_era5_missing'
-    WHEN a.missing_frac > 0.25 THEN 'asos_missing' WHEN e.missing_frac > 0.25 THEN 'era5_missing' END AS exclusion_primary,
-  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN a.missing_frac > 0.25 THEN 'asos_missing' END AS exclusion_asos,
-  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN e.missing_frac > 0.25 THEN 'era5_missing' END AS exclusion_era5,
-  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN g.missing_frac > 0.25 THEN 'goes_missing' END AS exclusion_goes
+  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN a.missing_frac > 0.6 AND e.missing_frac > 0.6 THEN 'asos_and_era5_missing'
+    WHEN a.missing_frac > 0.6 THEN 'asos_missing' WHEN e.missing_frac > 0.6 THEN 'era5_missing' END AS exclusion_primary,
+  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN a.missing_frac > 0.6 THEN 'asos_missing' END AS exclusion_asos,
+  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN e.missing_frac > 0.6 THEN 'era5_missing' END AS exclusion_era5,
+  CASE WHEN w.dusk IS NULL THEN 'no_darkness' WHEN g.missing_frac > 0.6 THEN 'goes_missing' END AS exclusion_goes
   FROM win w LEFT JOIN l_asos a USING (site, night_date) LEFT JOIN l_era5 e USING (site, night_date) LEFT JOIN l_goes g USING (site, night_date)
   LEFT JOIN l_max m USING (site, night_date) LEFT JOIN l_tru t USING (site, night_date) LEFT JOIN one USING (site, night_date))""",
 ])
@@ -248,7 +250,7 @@ def _feature_sql() -> str:
             pick = "bool_or" if f == "usable" else "max"
             body = f"{pick}(CASE WHEN f.model = '{m}' THEN f.{f} END)"
             cols.append(f"{'coalesce(' + body + ', 1.0)' if f == 'missing_frac' else body} AS {m}_{out}")
-    return f"""fr AS ({runs_sql(rel, "site, night_date, lead, model")}),
+    return f"""fr AS ({runs_sql(rel, "site, night_date, lead, model", miss="0.6")}),
 fe AS (SELECT w.site, w.night_date, l.lead, {", ".join(cols)},
   count(CASE WHEN f.model <> 'nbm' THEN f.frac_clear END) AS n_models_available,
   CASE WHEN count(CASE WHEN f.model <> 'nbm' THEN f.frac_clear END) >= 2 THEN stddev_pop(CASE WHEN f.model <> 'nbm' THEN f.frac_clear END) END AS spread_frac_clear
