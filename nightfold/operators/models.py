@@ -69,7 +69,8 @@ class Population:
 class Fit:
     pop: Population
     c: float
-    val: tuple[int | None, int | None] | None = None
+    val: tuple[int | None, int | None] | None = None  # validation dates [from, before)
+    owner: Population | None = None  # the population whose C this fit helps to choose
     beta: np.ndarray | None = None
     value: float = math.inf
     step: np.ndarray | None = None
@@ -173,7 +174,7 @@ def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Populat
             curve = f.c * v[1 + width :].reshape(width, width) + np.diag(free)
             step = -np.linalg.lstsq(curve, grad, rcond=None)[0]
             f.beta, f.value, f.step, f.scale = trial, value, step, 1.0
-            f.done = float(-grad @ step) <= 1e-14 * (1 + abs(value))
+            f.done = float(-grad @ step) <= 1e-12 * (1 + abs(value))
 
 
 def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool) -> dict[Population, dict]:
@@ -263,22 +264,17 @@ def fit_logistic_grid(
     inner: list[Fit] = []
     for p in pops:
         for lo, hi in fold_table.get(p, []):
-            inner += [Fit(replace(p, before=lo), c, (lo, hi if hi is not None else p.before)) for c in c_grid]
+            inner += [Fit(replace(p, before=lo), c, (lo, hi if hi is not None else p.before), p) for c in c_grid]
     prep = _prepare(packed, keys, features, sorted({*pops, *(f.pop for f in inner)}, key=repr), impute)
     inner = [f for f in inner if f.pop in prep and 0 < prep[f.pop]["pos"] < prep[f.pop]["n"]]
     pops = [p for p in pops if p in prep and 0 < prep[p]["pos"] < prep[p]["n"]]
     _solve_all(packed, len(keys), inner, prep)
     losses = _pass(packed, len(keys), [(i, f.pop, prep[f.pop], f.beta, f.val) for i, f in enumerate(inner)], "loss") if inner else {}
     table: dict[Population, dict[float, list[float]]] = {}
-    starts = {(p, lo): p for p in pops for lo, _ in fold_table.get(p, [])}
     for i, f in enumerate(inner):
         v = losses.get(i)
-        if v is None or not v[1]:
-            continue
-        for p in pops:
-            if p.key == f.pop.key and p.exclude == f.pop.exclude and (p, f.val[0]) in starts and (f.val[1] == p.before or f.val in fold_table[p]):
-                if f.val in [(lo, hi if hi is not None else p.before) for lo, hi in fold_table[p]]:
-                    table.setdefault(p, {}).setdefault(f.c, []).append(v[0] / v[1])
+        if v is not None and v[1]:
+            table.setdefault(f.owner, {}).setdefault(f.c, []).append(v[0] / v[1])
     best: list[Fit] = []
     scores: dict[Population, dict[float, float]] = {}
     for p in pops:

@@ -334,9 +334,9 @@ def km_grid_query(spark, sf):
     return km_grid(spark, sf).select("gx", "gy", r6("emission", 3).alias("emission"))
 
 
-@query("coarse_sources", "A21", with_(CELLS) + f"SELECT CAST(floor(row / 4) AS BIGINT) AS row, CAST(floor(col / 4) AS BIGINT) AS col, {R('sum(radiance)', 3)} AS emission FROM ce GROUP BY 1, 2 HAVING sum(radiance) >= 1800")
+@query("coarse_sources", "A21", with_(CELLS) + f"SELECT CAST(floor(row / 4) AS BIGINT) AS row, CAST(floor(col / 4) AS BIGINT) AS col, {R('sum(radiance)', 3)} AS emission FROM ce GROUP BY 1, 2 HAVING sum(radiance) >= 1000")
 def coarse_sources(spark, sf):
-    c = L.coarsen_sources(cells(spark, sf).withColumnRenamed("radiance", "emission"), 4, 1800)
+    c = L.coarsen_sources(cells(spark, sf).withColumnRenamed("radiance", "emission"), 4, 1000)
     return c.select("row", "col", r6("emission", 3).alias("emission"))
 
 
