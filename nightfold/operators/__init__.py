@@ -1 +1 @@
-"""See the module docstrings."""
+"""Table operators: DataFrames in, DataFrames out."""

@@ -10,7 +10,7 @@ from nightfold.plans.catalog_quality import PT, records
 from nightfold.plans.catalog_sky import hour_odds, ts
 from nightfold.plans.catalog_time import MED, _median_hours, first_longest, island_sql
 from nightfold.plans.catalog_verify import PRE, REF, SUB
-from nightfold.plans.derived import BASE, FULL, R, REP, WIN, big, dataset, labels, LAB, r6, reports, series, table, text, windows, with_
+from nightfold.plans.derived import BASE, FC, FEA, FULL, R, REP, features, WIN, big, dataset, labels, LAB, r6, reports, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
 NIGHT = "strftime(night_date, '%Y-%m-%d %H:%M:%S') AS night_date"
@@ -95,11 +95,11 @@ def night_odds(spark, sf):
     return s.groupBy("site", "night_date").agg((1 - F.avg("cover")).alias("p"))
 
 
-@query("next_better_night", "O7", with_(*BASE, PH) + f""", q AS (SELECT site, CAST(month(night_date) * 10 + floor(day(night_date) / 7) AS BIGINT) AS week, night_date, p * 1.8 AS p FROM ph), f AS (SELECT site, week, min(night_date) AS d0, arg_min(p, night_date) AS p0 FROM q GROUP BY ALL),
-  l AS (SELECT site, week, arg_min(night_date, (-p, night_date)) AS night_date, max(p) AS p, any_value(p0) AS p0 FROM q JOIN f USING (site, week) WHERE night_date > d0 GROUP BY ALL) SELECT site, week, {NIGHT}, {R('p')} AS p FROM l WHERE p >= greatest(0.6, p0 + 0.25)""")
+@query("next_better_night", "O7", with_(*BASE, FC, FEA) + f""", q AS (SELECT site, CAST(month(night_date) * 10 + floor(day(night_date) / 7) AS BIGINT) AS week, night_date, gfs_frac_clear AS p FROM fe WHERE lead = 1), f AS (SELECT site, week, min(night_date) AS d0, any_value(p0) AS p0 FROM (SELECT *, first_value(p) OVER (PARTITION BY site, week ORDER BY night_date) AS p0 FROM q) GROUP BY ALL),
+  l AS (SELECT site, week, arg_min(night_date, (-p, night_date)) AS night_date, max(p) AS p, any_value(p0) AS p0 FROM q JOIN f USING (site, week) WHERE night_date > d0 AND p IS NOT NULL AND p0 IS NOT NULL GROUP BY ALL) SELECT site, week, {NIGHT}, {R('p')} AS p FROM l WHERE p >= greatest(0.6, p0 + 0.25)""")
 def next_better_night(spark, sf):
     d = F.col("night_date")
-    n = night_odds(spark, sf).withColumn("week", (F.month(d) * 10 + F.floor(F.dayofmonth(d) / 7)).cast("long")).withColumn("p", F.col("p") * 1.8)
+    n = features(spark, sf).filter("lead = 1").select("site", "night_date", (F.month(d) * 10 + F.floor(F.dayofmonth(d) / 7)).cast("long").alias("week"), F.col("gfs_frac_clear").alias("p"))
     b = C.next_better_night(n, ["site", "week"])
     return b.select("site", "week", text("night_date").alias("night_date"), r6("p").alias("p"))
 

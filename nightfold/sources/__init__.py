@@ -1 +1 @@
-"""See the module docstrings."""
+"""Readers and sinks for the file formats the operators are fed from."""
