@@ -134,7 +134,8 @@ def load_extracts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def satellite_boxes(pixels: DataFrame, sites: DataFrame, half: int = 2) -> DataFrame:
     """Mean cloud mask of the good pixels in the (2 half + 1)^2 box around each site's pixel, per scan.
-    Sites list their box's pixels, so the join is by equality. Sites with no good pixel keep NULL and 0."""
+    Sites list their box's pixels, so the join is by equality. A box without a good pixel is NULL and 0; a
+    site outside the image altogether has one row without a scan."""
     offsets = F.sequence(F.lit(-half), F.lit(half))
     box = sites.withColumn("row", F.explode(F.transform(offsets, lambda d: F.col("site_row") + d))).withColumn(
         "col", F.explode(F.transform(offsets, lambda d: F.col("site_col") + d))
@@ -143,9 +144,7 @@ def satellite_boxes(pixels: DataFrame, sites: DataFrame, half: int = 2) -> DataF
     per = box.join(pixels, ["row", "col"]).groupBy("site", "scan").agg(
         F.avg(F.when(good, F.col("bcm").cast("double"))).alias("cover"), F.sum(good.cast("int")).alias("n_good")
     )
-    every = pixels.select("scan").distinct().agg(F.array_agg("scan").alias("scan"))  # times only: one value per scan
-    spine = sites.select("site").join(every).select("site", F.explode("scan").alias("scan"))
-    return spine.join(per, ["site", "scan"], "left").withColumn("n_good", F.coalesce("n_good", F.lit(0)))
+    return sites.select("site").join(per, "site", "left").withColumn("n_good", F.coalesce("n_good", F.lit(0)))
 
 
 # ---------- places and stations ----------
