@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nightfold.functions.bounds import at_least, clip
+
 EARTH_KM = 6371.0
 KM_PER_DEG = 111.19492664455873
 NATURAL_UCD = 174.0
@@ -48,7 +50,7 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     dlon = F.radians(col(lon2)) - F.radians(col(lon1))
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), h))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(clip(h, 0.0, 1.0)))
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
@@ -108,7 +110,7 @@ def mcd_to_ucd(mcd: Column) -> Column:
 
 def sqm(ucd: Column) -> Column:
     """Total zenith brightness (mag/arcsec2, higher = darker) of an artificial brightness."""
-    return NATURAL_SQM - 2.5 * F.log10((F.greatest(ucd, F.lit(0.0)) + NATURAL_UCD) / NATURAL_UCD)
+    return NATURAL_SQM - 2.5 * F.log10((at_least(ucd, 0.0) + NATURAL_UCD) / NATURAL_UCD)
 
 
 def ucd_of_sqm(m: Column) -> Column:
@@ -170,13 +172,13 @@ def mag_error(pred: Column, true: Column, natural: float = NATURAL_UCD) -> Colum
 def city_radius_km(population: Column) -> Column:
     """How far a place claims light: grows with the square root of population, 2 to 25 km."""
     r = 1.5 + 4.0 * F.sqrt(population.cast("double") / 1e5)
-    return F.greatest(F.lit(2.0), F.least(F.lit(25.0), r))
+    return clip(r, 2.0, 25.0)
 
 
 def ring_index(d: Column, edges: Sequence[float] = RING_EDGES_KM) -> Column:
     """0-based distance ring; beyond the last edge counts as the last ring."""
     n = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= d)) - 1
-    return F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), n))
+    return F.when(d.isNotNull(), clip(n, 0, len(edges) - 2))
 
 
 def walker_weight(d: Column, emission: Column) -> Column:

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nightfold.functions.bounds import at_least, at_most, clip
 from nightfold.functions.geofn import COMPASS16, compass
 
 NATURAL_SQM = 22.0
@@ -29,7 +30,7 @@ OUTLOOK = [(30, "Great"), (12, "Good"), (5, "Fair")]
 
 
 def _clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c))
+    return clip(c, float(lo), float(hi))
 
 
 def _ten(c: Column) -> Column:
@@ -119,8 +120,8 @@ def sky_nl(
     z = 90 - alt
     x = airmass(z)
     rhijn = _ten(-0.4 * k_ref * (x - 1)) * x
-    natural = mag_to_nl(F.greatest(F.lit(NATURAL_SQM), zenith_sqm))
-    artificial = F.greatest(mag_to_nl(zenith_sqm) - mag_to_nl(F.lit(NATURAL_SQM)), F.lit(0.0))
+    natural = mag_to_nl(at_least(zenith_sqm, NATURAL_SQM))
+    artificial = at_least(mag_to_nl(zenith_sqm) - mag_to_nl(F.lit(NATURAL_SQM)), 0.0)
     b = natural * rhijn + artificial * (rhijn if glow is None else glow)
     if sun_alt is not None:
         b = b + twilight_nl(sun_alt) * twilight_shape(z, sun_sep if sun_sep is not None else F.lit(None).cast("double"), sun_alt, k_ref)
@@ -219,7 +220,7 @@ def unit_vector(lon: Column, lat: Column) -> Column:
 
 def expected_rate(zhr: Column, r: Column, radiant_alt: Column, limit: Column) -> Column:
     """Meteors an hour for one observer; the limiting magnitude counts up to 6.5."""
-    lm = F.least(limit, F.lit(6.5))
+    lm = at_most(limit, 6.5)
     rate = zhr * F.sin(F.radians(_clip(radiant_alt, 0, 90))) / F.pow(r, 6.5 - lm)
     return F.when(radiant_alt > 0, rate).otherwise(0.0)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nightfold.functions.bounds import clip
+
 HOUR = F.expr
 _ALMOST_HALF_HOUR = "INTERVAL '00:29:59.999999' HOUR TO SECOND"
 _ALMOST_HOUR = "INTERVAL '00:59:59.999999' HOUR TO SECOND"
@@ -74,7 +76,7 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 def night_position(hour: Column, dusk: Column, dawn: Column) -> Column:
     """Where the hour sits in its window: 0 at dusk, 1 at dawn, clamped."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), seconds_between(dusk, hour) / seconds_between(dusk, dawn)))
+    return clip(seconds_between(dusk, hour) / seconds_between(dusk, dawn), 0.0, 1.0)
 
 
 def wall_clock_to_utc(local: Column, tz: Column | str) -> Column:
@@ -107,4 +109,4 @@ def year_chunks(start: Column, end: Column) -> Column:
 def assign_lead(dusk: Column, now: Column, max_lead: int = 7) -> Column:
     """Days ahead, as the training data counts them: ceil(hours / 24) held inside 1..max_lead."""
     days = F.ceil(seconds_between(now, dusk) / 86400.0).cast("int")
-    return F.greatest(F.lit(1), F.least(F.lit(max_lead), days))
+    return clip(days, 1, max_lead)

@@ -193,7 +193,7 @@ def farthest_points(
     passes: Callable[[Row], bool] = lambda row: True, cut_every: int = 8,
 ) -> list[Row]:
     """Greedy maximin: the seeds, then repeatedly the pool row farthest from everything chosen, among
-    regions with quota left; ties go to the first id. Returns the chosen rows in order.
+    regions with quota left; ties (to the millimetre) go to the first id. Returns the chosen rows in order.
 
     Each pick is one distributed arg-max; the running minimum distance is a column, and the chosen point
     enters it as a literal. Lineage is cut every few picks. With no seeds the most central row is first.
@@ -218,7 +218,7 @@ def farthest_points(
             if c["lat"] is None:
                 return chosen
             live = live.withColumn("gap", -haversine_km("lat", "lon", c["lat"], c["lon"]))
-        top = live.agg(F.max("gap").alias("g"), F.min_by(F.struct(*fields), F.struct(-F.col("gap"), F.col("id"))).alias("r")).first()
+        top = live.agg(F.min_by(F.struct(*fields), F.struct(-F.round("gap", 6), F.col("id"))).alias("r")).first()
         if top is None or top["r"] is None:
             return chosen
         best = top["r"]

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from nightfold.functions.bounds import clip
 from nightfold.functions.timefn import week_code
 from nightfold.util import SALTS, count_if, ranked_cumsum, ratio
 
@@ -127,7 +128,7 @@ def to_predictions(rows: DataFrame, methods: dict[str, tuple[str, str, Column]],
 def row_sums(threshold: float) -> list[Column]:
     """Aggregates of one group of prediction rows, from which every metric but AUC follows."""
     y, p = F.col("y").cast("double"), F.col("p")
-    q = F.greatest(F.lit(P_CLIP), F.least(F.lit(1 - P_CLIP), p))
+    q = clip(p, P_CLIP, 1 - P_CLIP)
     go = p >= threshold
     return [
         F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum((p - y) * (p - y)).alias("sq"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nightfold.functions import skyfn as K
+from nightfold.functions.bounds import clip
 from nightfold.functions.geofn import compass
 from nightfold.operators.timeseries import longest_run
 from nightfold.util import count_if
@@ -24,7 +25,7 @@ NIGHT = ["site", "night_date"]
 
 def clip_to_window(intervals: DataFrame, windows: DataFrame) -> DataFrame:
     """Intervals cut to their night's dark window; empty ones dropped."""
-    j = intervals.join(windows.select(*NIGHT, "dusk", "dawn"), NIGHT)
+    j = intervals.join(windows.filter("dusk is not null").select(*NIGHT, "dusk", "dawn"), NIGHT)
     j = j.withColumn("start", F.greatest("start", "dusk")).withColumn("end", F.least("end", "dawn"))
     return j.filter(F.col("end") > F.col("start")).drop("dusk", "dawn")
 
@@ -206,7 +207,7 @@ def glow_lookup(samples: DataFrame, glow: DataFrame, alts: Sequence[float], az_s
     wraps. Each sample meets four grid rows."""
     nodes = F.array(*[F.lit(float(a)) for a in alts])
     n_az = int(360 / az_step)
-    alt = F.greatest(F.lit(float(alts[0])), F.least(F.lit(float(alts[-1])), F.col("alt")))
+    alt = clip(F.col("alt"), float(alts[0]), float(alts[-1]))
     i = F.greatest(F.lit(0), F.least(F.lit(len(alts) - 2), F.size(F.filter(nodes, lambda a: a <= alt)) - 1))
     fa = (alt - F.element_at(nodes, i + 1)) / (F.element_at(nodes, i + 2) - F.element_at(nodes, i + 1))
     pos = F.pmod(F.col("az"), F.lit(360.0)) / az_step

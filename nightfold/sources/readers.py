@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightfold.functions.bounds import clip
 from nightfold.functions.geofn import short_name
 from nightfold.operators.merge import later_wins
 from nightfold.util import clean_double
@@ -74,7 +75,7 @@ def scan_hourly(spark: SparkSession, path: str | list[str], variables: Sequence[
 
     def value(v: str) -> Column:
         x = F.get(F.col(f"_{v}"), F.col("_i"))
-        return (F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)) / 100 if v.startswith("cloud_cover") else x).alias(v)
+        return (clip(x, 0.0, 100.0) / 100 if v.startswith("cloud_cover") else x).alias(v)
 
     hour = F.to_timestamp(F.substring(F.col("_t"), 1, 16), "yyyy-MM-dd'T'HH:mm")
     return rows.select("file", "chunk_end", "stem", hour.alias("hour"), *[value(v) for v in variables]), h.filter("reason is not null").select("file", "reason")
