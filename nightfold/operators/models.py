@@ -107,6 +107,8 @@ def _pass(rows: DataFrame, n_keys: int, work: list, kind: str) -> dict[int, np.n
     'loss' gives [clipped log loss, rows] over the item's validation dates.
     """
 
+    cols = [c for c in rows.columns if c.startswith("f")]
+
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
         by_pop: dict[Population, list] = {}
@@ -119,7 +121,7 @@ def _pass(rows: DataFrame, n_keys: int, work: list, kind: str) -> dict[int, np.n
             if pdf.empty:
                 continue
             for key, part in pdf.groupby([f"k{i}" for i in range(n_keys)], sort=False):
-                x = np.stack(part["x"].to_numpy()).astype(float)
+                x = part[cols].to_numpy(float)
                 y, day, group = part["y"].to_numpy(float), part["day"].to_numpy(), part["grp"].to_numpy()
                 for pop, items in by_key.get(tuple(str(v) for v in key), []):
                     keep = _mask(pop if kind == "newton" else replace(pop, before=None), day, group)
@@ -177,11 +179,12 @@ def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Populat
             f.done = float(-grad @ step) <= 1e-12 * (1 + abs(value))
 
 
-def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool) -> dict[Population, dict]:
+def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool, complete: set[Population]) -> dict[Population, dict]:
     """Medians, missing indicators, means and population standard deviations per population.
 
     Sums are gathered once per (key, group, date) and added up per population; medians come from
-    collapsed value counts.
+    collapsed value counts, of every input for the `complete` populations (their models are kept) and of
+    the inputs that have gaps for the rest.
     """
     spark, d = rows.sparkSession, len(features)
     table = [(i, *p.key, p.before, p.exclude) for i, p in enumerate(pops)]
@@ -189,11 +192,14 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
     schema = "pop int, " + ", ".join(f"{c} string" for c in key_cols) + ", before int, exclude string"
     pop = spark.createDataFrame(table, schema)
     seen = (F.isnull("before") | (F.col("day") < F.col("before"))) & (F.isnull("exclude") | (F.col("grp") != F.col("exclude")))
-    x = lambda i: F.col("x")[i]
+    x = lambda i: F.col(f"f{i}")
     aggs = [F.count("*").alias("n"), F.sum("y").alias("pos")]
     for i in range(d):
         aggs += [F.count(x(i)).alias(f"n{i}"), F.sum(x(i)).alias(f"s{i}"), F.sum(x(i) * x(i)).alias(f"q{i}")]
-    cells = rows.groupBy(*key_cols, "grp", "day").agg(*aggs)
+    cells = cut_lineage(rows.groupBy(*key_cols, "grp", "day").agg(*aggs))
+    whole = cells.agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(d)]).first()
+    gappy = [i for i in range(d) if whole[f"n{i}"] < whole["n"]]
+    kept = [i for i, p in enumerate(pops) if p in complete]
     names = [a for a in cells.columns if a not in (*key_cols, "grp", "day")]
     stats = cells.join(pop, key_cols).filter(seen).groupBy("pop").agg(*[F.sum(c).alias(c) for c in names]).collect()
     medians: dict[tuple[int, int], float] = {}
@@ -201,11 +207,13 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
         cuts = sorted({p.before for p in pops if p.before is not None})
         marks = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<int>")
         block = F.size(F.filter(marks, lambda c: c <= F.col("day")))
-        long = rows.select(*key_cols, "grp", block.alias("block"), F.posexplode("x").alias("f", "value")).filter("value is not null")
+        pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("value")) for i in range(d)])
+        long = rows.select(*key_cols, "grp", block.alias("block"), F.inline(pairs)).filter("value is not null")
         hist = long.groupBy(*key_cols, "grp", "block", "f", "value").agg(F.count("*").alias("w"))
         upto = pop.withColumn("_upto", F.size(F.filter(marks, lambda c: c < F.col("before"))))
         ok = (F.isnull("before") | (F.col("block") <= F.col("_upto"))) & (F.isnull("exclude") | (F.col("grp") != F.col("exclude")))
-        merged = hist.join(upto, key_cols).filter(ok).groupBy("pop", "f", "value").agg(F.sum("w").alias("w"))
+        wanted = F.col("f").isin(gappy) | F.col("pop").isin(kept)
+        merged = hist.join(upto, key_cols).filter(ok & wanted).groupBy("pop", "f", "value").agg(F.sum("w").alias("w"))
         for r in exact_quantiles(merged, ["pop", "f"], "value", {"m": 0.5}, weight="w").collect():
             medians[(r["pop"], r["f"])] = r["m"]
     out = {}
@@ -227,7 +235,7 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
         sd[sd == 0] = 1.0
         out[pops[r["pop"]]] = {
             "median": np.array(med), "indicators": [i for i, _ in ind], "mean": np.array(mean), "sd": sd,
-            "n": n, "pos": float(r["pos"]), "medians_known": all((r["pop"], i) in medians for i in range(d)) if impute else True,
+            "n": n, "pos": float(r["pos"]),
         }
     return out
 
@@ -237,7 +245,7 @@ def _pack(rows: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
     packed = rows.select(
         *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)],
         (F.col(group).cast("string") if group else F.lit("")).alias("grp"), F.unix_date(F.col(day).cast("date")).alias("day"),
-        F.col(y).cast("double").alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
+        F.col(y).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],
     )
     return cut_lineage(packed)
 
@@ -265,7 +273,7 @@ def fit_logistic_grid(
     for p in pops:
         for lo, hi in fold_table.get(p, []):
             inner += [Fit(replace(p, before=lo), c, (lo, hi if hi is not None else p.before), p) for c in c_grid]
-    prep = _prepare(packed, keys, features, sorted({*pops, *(f.pop for f in inner)}, key=repr), impute)
+    prep = _prepare(packed, keys, features, sorted({*pops, *(f.pop for f in inner)}, key=repr), impute, set(pops))
     inner = [f for f in inner if f.pop in prep and 0 < prep[f.pop]["pos"] < prep[f.pop]["n"]]
     pops = [p for p in pops if p in prep and 0 < prep[p]["pos"] < prep[p]["n"]]
     _solve_all(packed, len(keys), inner, prep)
@@ -339,15 +347,25 @@ def artifact_frame(spark: SparkSession, artifacts: list[dict], keys: Sequence[st
     return spark.createDataFrame(data, ", ".join(f"{k} {t}" for k, t in zip(keys, types, strict=True)) + ", " + ARTIFACT)
 
 
-def predict_column(x: Column) -> Column:
-    """Probability from an input array and the artifact columns beside it: indicators of missing inputs,
-    medians in their place, standardise, logistic, then the isotonic map if there is one."""
-    filled = F.zip_with(x, "medians", lambda v, m: F.coalesce(v, m))
-    flags = F.transform("indicators", lambda i: F.when(F.element_at(x, i + 1).isNull(), 1.0).otherwise(0.0))
-    terms = F.arrays_zip(F.concat(filled, flags).alias("z"), F.col("mean").alias("m"), F.col("scale").alias("s"), F.col("coef").alias("w"))
-    t = F.aggregate(terms, F.col("intercept"), lambda acc, e: acc + (e["z"] - e["m"]) / e["s"] * e["w"])
-    p = 1 / (1 + F.exp(-t))
-    xs, ys = F.col("isotonic_x"), F.col("isotonic_y")
+def linear_form(artifacts: DataFrame) -> DataFrame:
+    """Each model as b0 + sum(slope_i x_i), with gap_i in place of slope_i x_i where input i is missing:
+    median, indicator and scaling folded into constants, once per model rather than once per row."""
+    n = F.size("inputs")
+    at = lambda arr, i: F.element_at(F.col(arr), i)
+    slope = F.transform(F.sequence(F.lit(1), n), lambda i: at("coef", i) / at("scale", i))
+    flag = lambda i: F.coalesce(
+        F.aggregate(
+            F.filter(F.arrays_zip(F.col("indicators").alias("i"), F.slice("coef", n + 1, F.greatest(F.size("indicators"), F.lit(1))).alias("c"),
+                                  F.slice("scale", n + 1, F.greatest(F.size("indicators"), F.lit(1))).alias("s")), lambda e: e["i"] == i - 1),
+            F.lit(0.0), lambda acc, e: acc + e["c"] / e["s"],
+        ), F.lit(0.0))
+    gap = F.transform(F.sequence(F.lit(1), n), lambda i: at("coef", i) / at("scale", i) * at("medians", i) + flag(i))
+    offset = F.aggregate(F.arrays_zip(F.col("coef").alias("c"), F.col("mean").alias("m"), F.col("scale").alias("s")), F.lit(0.0), lambda acc, e: acc + e["c"] * e["m"] / e["s"])
+    return artifacts.withColumns({"_slope": slope, "_gap": gap, "_b0": F.col("intercept") - offset})
+
+
+def isotonic(p: Column, xs: Column, ys: Column) -> Column:
+    """Piecewise-linear map through the knots, flat outside; unchanged without knots."""
     i = F.size(F.filter(xs, lambda e: e <= p))
     a, b = F.element_at(xs, i), F.element_at(xs, i + 1)
     ya, yb = F.element_at(ys, i), F.element_at(ys, i + 1)
@@ -356,14 +374,15 @@ def predict_column(x: Column) -> Column:
 
 
 def predict(rows: DataFrame, artifacts: DataFrame, features: Sequence[str], on: Sequence[str], out: str = "p") -> DataFrame:
-    """Adds the probability of the model matching the row's `on` columns."""
-    cols = [c for c in artifacts.columns if c not in on]
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    packed = artifacts.select(*on, F.struct(*cols).alias("_a"))
-    joined = rows.join(packed, list(on), "left").select(*rows.columns, "_a", "_a.*") if not set(cols) & set(rows.columns) else None
-    if joined is None:
-        raise ValueError("row columns clash with artifact columns")
-    return joined.withColumn(out, F.when(F.col("_a").isNotNull(), predict_column(x))).select(*rows.columns, out)
+    """Adds the probability of the model matching the row's `on` columns (NULL without one). The models are
+    few and small, so the join broadcasts them by their measured size; scoring is plain arithmetic."""
+    models = linear_form(artifacts).select(*on, F.struct("_slope", "_gap", "_b0", "isotonic_x", "isotonic_y").alias("_m"))
+    joined = rows.join(models, list(on), "left")
+    terms = [F.coalesce(F.col(f).cast("double") * F.col("_m._slope")[i], F.col("_m._gap")[i]) for i, f in enumerate(features)]
+    t = sum(terms, F.col("_m._b0"))
+    joined = joined.withColumn("_q", 1 / (1 + F.exp(-t)))
+    p = F.when(F.col("_m").isNotNull(), isotonic(F.col("_q"), F.col("_m.isotonic_x"), F.col("_m.isotonic_y")))
+    return joined.select(*rows.columns, p.alias(out))
 
 
 def out_of_fold(rows: DataFrame, keys: Sequence[str], types: Sequence[str], features: Sequence[str], y: str, day: str, artifacts: list[dict], folds: int = 4) -> DataFrame:
@@ -379,7 +398,7 @@ def out_of_fold(rows: DataFrame, keys: Sequence[str], types: Sequence[str], feat
         for i, start in bounds.get(k, []):
             fits.append(Fit(Population(k, _days(start)), a["c"]))
             tags.append((a, i))
-    prep = _prepare(packed, keys, features, sorted({f.pop for f in fits}, key=repr), True)
+    prep = _prepare(packed, keys, features, sorted({f.pop for f in fits}, key=repr), True, set())
     live = [(f, t) for f, t in zip(fits, tags, strict=True) if f.pop in prep and 0 < prep[f.pop]["pos"] < prep[f.pop]["n"]]
     _solve_all(packed, len(keys), [f for f, _ in live], prep)
     frames = []

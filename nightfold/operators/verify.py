@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nightfold.functions.bounds import clip
 from nightfold.functions.timefn import week_code
-from nightfold.util import SALTS, count_if, ranked_cumsum, ratio
+from nightfold.util import count_if, place_in_buckets, ranked_cumsum, ratio
 
 P_CLIP = 1e-3
 CASE = ["label", "lead"]
@@ -286,12 +286,7 @@ def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000,
     weeks = vals.select(*CASE, "week").distinct()
     order = W.partitionBy(*CASE).orderBy("week")
     weeks = weeks.withColumn("_i", F.row_number().over(order) - 1).withColumn("_nw", F.count("*").over(W.partitionBy(*CASE)))
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = vals.groupBy(*keys).agg(F.percentile_approx("p", cuts, 1000).alias("_cuts")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    salted = vals.join(weeks, [*CASE, "week"]).withColumn("_salt", F.pmod(F.xxhash64("p", "week"), F.lit(SALTS)).cast("int"))
-    placed = salted.join(bounds, [*keys, "_salt"]).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("p"))))
+    placed = place_in_buckets(vals.join(weeks, [*CASE, "week"]), keys, "p", buckets)
     placed = placed.select(*keys, "_bucket", "p", "_i", "_nw", "pos", "neg")
 
     def bucket_sums(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from nightfold.plans.catalog_quality import PT, records
 from nightfold.plans.catalog_sky import hour_odds, ts
 from nightfold.plans.catalog_time import MED, _median_hours, first_longest, island_sql
 from nightfold.plans.catalog_verify import PRE, REF, SUB
-from nightfold.plans.derived import BASE, FC, FEA, FULL, R, REP, features, WIN, big, dataset, labels, LAB, r6, reports, series, table, text, windows, with_
+from nightfold.plans.derived import BASE, FC, FEA, FULL, R, REP, features, WIN, big, dataset, hourly_base, labels, LAB, r6, reports, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
 NIGHT = "strftime(night_date, '%Y-%m-%d %H:%M:%S') AS night_date"
@@ -68,8 +68,9 @@ def track_records(spark, sf):
 @query("early_evening_models", "A29", with_(*BASE) + f"""SELECT site, {NIGHT}, CAST(sum(CASE WHEN c <= 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS n_clear, count(*) AS n_models FROM
   (SELECT w.site, w.night_date, s.source, avg(s.cover) AS c FROM win w JOIN ser s ON s.site = w.site AND s.hour >= date_trunc('hour', w.dusk - INTERVAL 150 MINUTE) AND s.hour < w.dusk GROUP BY ALL HAVING avg(s.cover) IS NOT NULL) GROUP BY site, night_date""")
 def early_evening_models(spark, sf):
-    n = windows(spark, sf).withColumn("first_stars", F.col("dusk") - F.expr("INTERVAL 150 MINUTES"))
-    e = C.early_evening(series(spark, sf).withColumnRenamed("source", "model"), n)
+    base = hourly_base(spark, sf)
+    n = windows(spark, sf, base).withColumn("first_stars", F.col("dusk") - F.expr("INTERVAL 150 MINUTES"))
+    e = C.early_evening(series(spark, sf, base).withColumnRenamed("source", "model"), n)
     return e.select("site", text("night_date").alias("night_date"), "n_clear", "n_models")
 
 
@@ -81,7 +82,8 @@ ha AS (SELECT site, night_date, hour, CAST(a IS NOT NULL AS INTEGER) + CAST(b IS
   SELECT site, {NIGHT}, CAST(max(n) AS BIGINT) AS n_models, bool_and(k = n) AS all_clear, bool_and(k = 0) AS all_cloudy, bool_and(k = n OR k = 0) AS always_agree, {ts('min(CASE WHEN NOT (k = n OR k = 0) THEN hour END)', 'first_split')}, {ts('min(CASE WHEN (k > 0) <> starts THEN hour END)', 'first_flip')} FROM x JOIN y USING (site, night_date) GROUP BY site, night_date""")
 def model_agreement(spark, sf):
     models = ["gfs", "ecmwf", "goes"]
-    h = C.hourly_rows(windows(spark, sf), series(spark, sf).withColumnRenamed("source", "model"), models)
+    base = hourly_base(spark, sf)
+    h = C.hourly_rows(windows(spark, sf, base), series(spark, sf, base).withColumnRenamed("source", "model"), models)
     a = C.forecast_agreement(h, ["site", "night_date"], models)
     return a.select("site", text("night_date").alias("night_date"), big("n_models").alias("n_models"), "all_clear", "all_cloudy", "always_agree", text("first_split").alias("first_split"), text("first_flip").alias("first_flip"))
 
@@ -90,8 +92,9 @@ PH = "ph AS (SELECT b.site, b.night_date, 1 - avg(s.cover) AS p FROM bb b JOIN s
 
 
 def night_odds(spark, sf):
-    h = hour_odds(spark, sf)
-    s = series(spark, sf).filter("cover is not null").join(h.select("site", "night_date", "hour"), ["site", "hour"])
+    base = hourly_base(spark, sf)
+    b = S.backbone(windows(spark, sf, base), ["site", "night_date"], "dusk", "dawn")
+    s = series(spark, sf, base).filter("cover is not null").join(b, ["site", "hour"])
     return s.groupBy("site", "night_date").agg((1 - F.avg("cover")).alias("p"))
 
 
@@ -134,8 +137,9 @@ sl AS (SELECT lead, quantile_cont(spread_frac_clear, 0.75) AS spread_threshold F
   LEFT JOIN bw ON bw.site = u.site AND bw.night_date = u.night_date LEFT JOIN rec t ON t.lead = u.lead AND t.method = 'blend' AND t.subset_type = 'overall'""")
 def assembled_forecast(spark, sf):
     from nightfold.operators.models import spread_threshold
+    from nightfold.util import cut_lineage
 
-    d = dataset(spark, sf)
+    d = cut_lineage(dataset(spark, sf))  # read four times below
     feats = d.select("site", "night_date", "lead", "spread_frac_clear")
     probs = d.select("site", "night_date", "lead", (0.1 + 0.8 * F.col("gfs_frac_clear")).alias("p"))
     best = S.best_window(_median_hours(spark, sf), ["site", "night_date"], "cover", 0.2, "dawn").select("site", "night_date", F.col("length").alias("window_hours"))

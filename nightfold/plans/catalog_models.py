@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nightfold.operators import models as M, nights as N, timeseries as S, verify as V
 from nightfold.functions.timefn import hours_inside
 from nightfold.plans.catalog_verify import NIGHT, predictions
-from nightfold.plans.derived import BASE, FULL, MODELS, R, SITES, as_ts, big, dataset, r6, series, table, text, windows, with_
+from nightfold.plans.derived import BASE, FULL, MODELS, R, SITES, as_ts, big, dataset, hourly_base, r6, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
 FEATS = ["quantity", "price", "discount", "tax"]
@@ -169,8 +169,9 @@ GRID = " UNION ALL ".join(
 @query("definition_grid", "M14 P20", with_(*BASE, "gh AS (SELECT b.site, b.night_date, b.hour, s.cover FROM bb b LEFT JOIN (SELECT * FROM ser WHERE source = 'era5') s USING (site, hour))") + f""", g AS ({GRID})
   SELECT site, clear_threshold, min_run, count(usable) AS labelled, {R('avg(CAST(usable AS DOUBLE))')} AS base_rate FROM g GROUP BY ALL""")
 def definition_grid(spark, sf):
-    w = windows(spark, sf).withColumn("n_hours", hours_inside(as_ts("dusk"), as_ts("dawn"))).filter("n_hours > 0")
-    h = S.attach_windows(series(spark, sf).filter("source = 'era5'"), w, ["site"], "night_date", "dusk", "dawn").join(w.select("site", "night_date", "n_hours"), ["site", "night_date"])
+    base = hourly_base(spark, sf)
+    w = windows(spark, sf, base).withColumn("n_hours", hours_inside(as_ts("dusk"), as_ts("dawn"))).filter("n_hours > 0")
+    h = S.attach_windows(series(spark, sf, base).filter("source = 'era5'"), w, ["site"], "night_date", "dusk", "dawn").join(w.select("site", "night_date", "n_hours"), ["site", "night_date"])
     g = M.definition_grid(h, ["site", "night_date"], "cover", "n_hours", THR, RUNS, 0.6)
     return g.groupBy("site", "clear_threshold", "min_run").agg(F.count("usable").alias("labelled"), r6(F.avg(F.col("usable").cast("double"))).alias("base_rate"))
 
@@ -183,5 +184,6 @@ HOURLY = f"""hm AS (SELECT b.site, b.hour, avg(s.cover) AS mean_cover, CASE WHEN
 def hourly_model_rows(spark, sf):
     from nightfold.operators.forecast import hourly_rows
 
-    h = hourly_rows(windows(spark, sf), series(spark, sf).withColumnRenamed("source", "model"), ["gfs", "ecmwf", "goes"])
+    base = hourly_base(spark, sf)
+    h = hourly_rows(windows(spark, sf, base), series(spark, sf, base).withColumnRenamed("source", "model"), ["gfs", "ecmwf", "goes"])
     return h.select("site", text("hour").alias("hour"), r6("mean_cover").alias("mean_cover"), r6("spread_cover").alias("spread_cover"), r6("share_clear").alias("share_clear"))

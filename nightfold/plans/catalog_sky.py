@@ -195,9 +195,9 @@ def stars_visible(spark, sf):
 
 INT = """iv AS (SELECT site, night_date, min(t) AS st, max(coalesce(nx, t)) AS en FROM (SELECT *, sum(CASE WHEN f AND NOT pf THEN 1 ELSE 0 END) OVER (PARTITION BY site, night_date ORDER BY t ROWS UNBOUNDED PRECEDING) AS r FROM
   (SELECT site, night_date, t, alt > 0 AS f, coalesce(lag(alt > 0) OVER w, false) AS pf, lead(t) OVER w AS nx FROM ms WINDOW w AS (PARTITION BY site, night_date ORDER BY t))) WHERE f GROUP BY site, night_date, r),
-cl AS (SELECT site, night_date, greatest(st, dusk) AS st, least(en, dawn) AS en FROM iv JOIN win USING (site, night_date) WHERE least(en, dawn) > greatest(st, dusk)),
+cl AS (SELECT site, night_date, greatest(st, dusk) AS st, least(en, dawn) AS en FROM iv JOIN win USING (site, night_date) WHERE dusk IS NOT NULL AND least(en, dawn) > greatest(st, dusk)),
 ph AS (SELECT b.site, b.night_date, b.dusk, b.dawn, b.hour, 1 - avg(s.cover) AS p FROM bb b JOIN ser s USING (site, hour) WHERE s.cover IS NOT NULL GROUP BY ALL)"""
-from nightfold.plans.derived import SER, WIN, series  # noqa: E402
+from nightfold.plans.derived import SER, WIN, hourly_base, series  # noqa: E402
 
 NIT = (REP, SER, WIN, MOON, TRK0, INT)
 
@@ -208,8 +208,9 @@ def moon_intervals(spark, sf):
 
 
 def hour_odds(spark, sf):
-    b = S.backbone(windows(spark, sf), ["site", "night_date", "dusk", "dawn"], "dusk", "dawn")
-    p = series(spark, sf).filter("cover is not null").groupBy("site", "hour").agg((1 - F.avg("cover")).alias("p"))
+    base = hourly_base(spark, sf)
+    b = S.backbone(windows(spark, sf, base), ["site", "night_date", "dusk", "dawn"], "dusk", "dawn")
+    p = series(spark, sf, base).filter("cover is not null").groupBy("site", "hour").agg((1 - F.avg("cover")).alias("p"))
     return b.join(p, ["site", "hour"])
 
 

@@ -8,7 +8,7 @@ from nightfold.functions import timefn as T
 from nightfold.operators import nights as N, timeseries as S
 from nightfold.plans.derived import (
     BASE, BENCHMARKS, DAT, FC, FEA, FULL, LAB, LEADS, MODELS, MOON, NIT, REP, SER, SITES, WIN, big, code_sql, dataset,
-    features, forecasts, labels, moon, r6, reports, runs_sql, series, table, text, wide_hours, windows, with_,
+    features, hourly_base, labels, moon, r6, reports, runs_sql, series, table, text, windows, with_,
 )
 from nightfold.plans.registry import query
 
@@ -27,12 +27,14 @@ RUN_SQL = with_(*BASE) + f"SELECT site, source, {NIGHT}, CAST(n_hours AS BIGINT)
 
 @query("usable_nights", "A1 A2 F1 F2 J1 P1 P2 P3 W1", RUN_SQL)
 def usable_nights(spark, sf):
-    return _summary(S.run_summary(windows(spark, sf), series(spark, sf), ["site"], "night_date", "dusk", "dawn", "cover", by=["source"]), "site", "source")
+    base = hourly_base(spark, sf)
+    return _summary(S.run_summary(windows(spark, sf, base), series(spark, sf, base), ["site"], "night_date", "dusk", "dawn", "cover", by=["source"]), "site", "source")
 
 
 def _spine(spark, sf):
-    s = series(spark, sf)
-    spine = S.backbone(windows(spark, sf), ["site", "night_date"], "dusk", "dawn").join(s.select("site", "source").distinct(), "site")
+    base = hourly_base(spark, sf)
+    s = series(spark, sf, base)
+    spine = S.backbone(windows(spark, sf, base), ["site", "night_date"], "dusk", "dawn").join(s.select("site", "source").distinct(), "site")
     return S.lookup_at(spine, s, ["site", "source"])
 
 
@@ -106,8 +108,9 @@ def first_longest(rel: str, keys: str) -> str:
 
 
 def _median_hours(spark, sf):
-    w = windows(spark, sf)
-    models = series(spark, sf).filter(F.col("source").isin("gfs", "ecmwf", "goes"))
+    base = hourly_base(spark, sf)
+    w = windows(spark, sf, base)
+    models = series(spark, sf, base).filter(F.col("source").isin("gfs", "ecmwf", "goes"))
     med = N.median_by_hour(models, ["site", "hour"])
     b = S.backbone(w, ["site", "night_date", "dusk", "dawn"], "dusk", "dawn")
     return b.join(med, ["site", "hour"], "left").withColumnRenamed("median_cover", "cover")
@@ -227,7 +230,8 @@ def forecast_features(spark, sf):
 
 @query("night_astronomy", "A7", with_(*BASE, MOON, NIT) + f"SELECT site, {NIGHT}, CAST(dark_hours AS BIGINT) AS dark_hours, round(moon_illum_mean + 1e-9, 6) + 0.0 AS moon_illum_mean, CAST(moon_free_dark_hours AS BIGINT) AS moon_free_dark_hours FROM nit")
 def night_astronomy(spark, sf):
-    n = N.night_table(windows(spark, sf), moon(spark, sf))
+    base = hourly_base(spark, sf)
+    n = N.night_table(windows(spark, sf, base), moon(spark, sf, base))
     return n.select("site", text("night_date").alias("night_date"), big("dark_hours").alias("dark_hours"), r6("moon_illum_mean").alias("moon_illum_mean"), big("moon_free_dark_hours").alias("moon_free_dark_hours"))
 
 

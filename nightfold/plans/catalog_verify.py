@@ -8,6 +8,7 @@ from nightfold.operators import verify as V
 from nightfold.operators.nights import LABELS
 from nightfold.plans.derived import FULL, R, SEASON_SQL, big, dataset, r6, table, text, with_
 from nightfold.plans.registry import query
+from nightfold.util import cut_lineage
 
 RESAMPLES, SEED = 100, 7
 NIGHT = "strftime(night_date, '%Y-%m-%d %H:%M:%S') AS night_date"
@@ -186,13 +187,13 @@ PER = "per AS (SELECT d.*, e.usable_era5 AS persistence FROM dat d LEFT JOIN (SE
 
 @query("persistence_forecast", "J4 M15", with_(*FULL, PER) + f"SELECT site, {NIGHT}, lead, persistence FROM per")
 def persistence_forecast(spark, sf):
-    d = dataset(spark, sf)
+    d = cut_lineage(dataset(spark, sf))
     return V.persistence(d, d, "usable_era5").select("site", text("night_date").alias("night_date"), "lead", "persistence")
 
 
 @query("evaluation_rows", "P9 J24 P12", with_(*FULL, PER) + f"SELECT site, {NIGHT}, lead FROM per WHERE usable_era5 IS NOT NULL AND gfs_frac_clear IS NOT NULL AND nbm_frac_clear IS NOT NULL AND gfs_pred_usable IS NOT NULL AND persistence IS NOT NULL")
 def evaluation_rows(spark, sf):
-    d = dataset(spark, sf)
+    d = cut_lineage(dataset(spark, sf))
     e = V.evaluation_rows(V.persistence(d, d, "usable_era5"), "usable_era5", ["gfs_frac_clear", "nbm_frac_clear", "gfs_pred_usable"])
     return e.select("site", text("night_date").alias("night_date"), "lead")
 

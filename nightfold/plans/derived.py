@@ -96,9 +96,26 @@ rep AS (SELECT *, CASE WHEN source = 'asos' THEN greatest({code_sql('skyc1')}, {
   date_trunc('hour', valid + INTERVAL '1799999999 microseconds') AS hour FROM rep1)"""
 
 
-def series(spark: SparkSession, sf: str) -> DataFrame:
+def hourly_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The one pass over the raw reports that everything hourly is derived from: per (site, source, centred
+    hour, clock hour) the nearest and the cloudiest parseable report. Hours x sources small, whatever the
+    number of reports; written once to the shared checkpoint folder, so a plan that needs windows, series
+    and Moon times reads the raw table a single time."""
+    from nightfold.functions.timefn import centred_hour
+    from nightfold.util import cut_lineage
+
+    r = reports(spark, sf).withColumn("hour", centred_hour(F.col("valid")))
+    away = F.abs(F.unix_micros("valid") - F.unix_micros("hour"))
+    best = F.when(F.col("cover").isNotNull(), F.struct(away.alias("d"), (-F.col("cover")).alias("c")))
+    g = r.groupBy("site", "source", "hour", F.date_trunc("hour", "valid").alias("clock"))
+    return cut_lineage(g.agg(F.min(best).alias("best"), F.max("cover").alias("top")))
+
+
+def series(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Hourly (site, source, hour, cover): nearest report per centred hour."""
-    return hourly_cover(reports(spark, sf), ["site", "source"], "valid", "cover")
+    if base is None:
+        return hourly_cover(reports(spark, sf), ["site", "source"], "valid", "cover")
+    return base.groupBy("site", "source", "hour").agg((-F.min("best")["c"]).alias("cover"))
 
 
 SER = """ser AS (SELECT site, source, hour, -(min(CASE WHEN cover IS NOT NULL
@@ -108,9 +125,10 @@ SER = """ser AS (SELECT site, source, hour, -(min(CASE WHEN cover IS NOT NULL
 # ---------- windows ----------
 
 
-def windows(spark: SparkSession, sf: str) -> DataFrame:
+def windows(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """A dark window per site and date seen in the reports; one site has no darkness on the 15th."""
-    d = reports(spark, sf).select("site", F.to_date("valid").alias("night_date")).distinct()
+    seen = reports(spark, sf).select("site", F.col("valid").alias("clock")) if base is None else base
+    d = seen.select("site", F.to_date("clock").alias("night_date")).distinct()
     day, idx = F.dayofmonth("night_date"), F.substring("site", 2, 1).cast("int")
     at = lambda minutes: F.timestamp_micros((F.unix_date("night_date").cast("long") * 1440 + minutes) * 60000000)
     none = (day == 15) & (F.col("site") == "S2")
@@ -132,9 +150,9 @@ bb AS (SELECT site, night_date, dusk, dawn, unnest(generate_series(date_trunc('h
 # ---------- forecasts ----------
 
 
-def forecasts(spark: SparkSession, sf: str) -> DataFrame:
+def forecasts(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """(site, model, lead, hour, cover): what a model's series said `lead` days before the hour."""
-    s = series(spark, sf)
+    s = series(spark, sf, base)
     model = F.when(F.col("source") == "goes", "nbm").otherwise(F.col("source"))
     f = s.filter(F.col("source").isin("gfs", "ecmwf", "goes")).withColumn("model", model)
     lead = F.explode(F.array(*[F.lit(x) for x in LEADS])).alias("lead")
@@ -164,31 +182,31 @@ FROM (SELECT {keys}, block, count(*) AS h, count(cover) AS v, sum(cover) AS s, s
 # ---------- labels, features and the modelling table ----------
 
 
-def wide_hours(spark: SparkSession, sf: str) -> DataFrame:
-    from nightfold.operators.nights import widen_sources
-
-    wide = widen_sources(series(spark, sf), ["asos", "era5", "goes"])
-    top = hourly_cover(
-        reports(spark, sf).filter("source = 'asos'"), ["site"], "valid", "cover", "max", "asos_max"
-    )
-    return wide.join(top, ["site", "hour"], "left")
+def wide_hours(spark: SparkSession, sf: str, base: DataFrame) -> DataFrame:
+    """One column per source, and the cloudiest-report variant of the station source, in one aggregation."""
+    hours = base.groupBy("site", "source", "hour").agg((-F.min("best")["c"]).alias("cover"), F.max("top").alias("top"))
+    pick = lambda s, c: F.max(F.when(F.col("source") == s, F.col(c)))
+    return hours.groupBy("site", "hour").agg(*[pick(s, "cover").alias(s) for s in ("asos", "era5", "goes")], pick("asos", "top").alias("asos_max"))
 
 
-def labels(spark: SparkSession, sf: str) -> DataFrame:
+def labels(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     from nightfold.operators.nights import build_labels
 
-    return build_labels(windows(spark, sf), wide_hours(spark, sf), RULES)
+    base = hourly_base(spark, sf) if base is None else base
+    return build_labels(windows(spark, sf, base), wide_hours(spark, sf, base), RULES)
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
+def features(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     from nightfold.operators.nights import build_features
 
-    return build_features(windows(spark, sf), forecasts(spark, sf), MODELS, BENCHMARKS, LEADS, RULES)
+    base = hourly_base(spark, sf) if base is None else base
+    return build_features(windows(spark, sf, base), forecasts(spark, sf, base), MODELS, BENCHMARKS, LEADS, RULES)
 
 
-def moon(spark: SparkSession, sf: str) -> DataFrame:
+def moon(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """(site, hour, illum, alt) at every hour that any report falls in."""
-    h = reports(spark, sf).select("site", F.date_trunc("hour", "valid").alias("hour")).distinct()
+    seen = reports(spark, sf).select("site", F.date_trunc("hour", "valid").alias("clock")) if base is None else base
+    h = seen.select("site", F.col("clock").alias("hour")).distinct()
     hrs = F.unix_timestamp("hour") / 3600.0
     return h.select(
         "site", "hour", ((1 + F.cos(hrs * (2 * F.pi() / 708.7))) / 2).alias("illum"),
@@ -203,8 +221,9 @@ MOON = """moon AS (SELECT site, hour, (1 + cos(hrs * (2 * pi() / 708.7))) / 2 AS
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
     from nightfold.operators.nights import build_dataset, night_table
 
-    nights = night_table(windows(spark, sf), moon(spark, sf))
-    return build_dataset(nights, labels(spark, sf), features(spark, sf), TRAIN, TEST)
+    base = hourly_base(spark, sf)
+    nights = night_table(windows(spark, sf, base), moon(spark, sf, base))
+    return build_dataset(nights, labels(spark, sf, base), features(spark, sf, base), TRAIN, TEST)
 
 
 def _src(name: str, pick: str) -> str:

@@ -73,40 +73,53 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den)
 
 
-def ranked_cumsum(
-    df: DataFrame,
-    keys: Sequence[str],
-    by: str,
-    measures: Sequence[str],
-    buckets: int = 128,
-    distinct: bool = False,
-) -> DataFrame:
-    """Distinct `by` values per key with each measure's total and its running total below (`{m}_below`).
+def bucket_by_cuts(value: str, cuts: str, buckets: int) -> Column:
+    """Which of `buckets` ranges a value falls in, given an ascending array of cut points: a balanced tree
+    of comparisons (log2(buckets) per row, inside generated code)."""
+    cut = lambda i: F.element_at(F.col(cuts), F.least(F.lit(i), F.size(cuts)))  # noqa: E731  short arrays repeat their last
 
-    Exact, and no task ever sorts a whole key: values are first collapsed to distinct ones (map-side
-    combine), split at approximate quantiles of each key, and the running total is (totals of lower
-    buckets) + (running total inside the bucket). A key holding most of the data is spread over
-    `buckets` tasks; the lookup of the split points is salted for the same reason.
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(F.col(value) < cut(mid), tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    return tree(0, buckets - 1)
+
+
+def place_in_buckets(vals: DataFrame, keys: Sequence[str], by: str, buckets: int) -> DataFrame:
+    """Adds `_bucket`: ranges of `by` with about equally many rows per key, from approximate quantiles.
+
+    Both the sketch and the lookup are salted, so a key with most of the rows is spread over SALTS tasks.
     """
-    keys = list(keys)
-    vals = df if distinct else df.groupBy(*keys, by).agg(*[F.sum(m).alias(m) for m in measures])
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     salted = vals.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     bounds = (
         salted.groupBy(*keys, "_salt")
         .agg(F.percentile_approx(by, cuts, 1000).alias("_cuts"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_cuts")))).alias("_cuts"))
-    )
-    # The union of SALTS sketches is thinned to every SALTS-th point; any set of cut points is exact.
-    bounds = bounds.withColumn("_cuts", F.expr(f"filter(_cuts, (x, i) -> i % {SALTS} = 0)")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    placed = (
-        salted.join(bounds, [*keys, "_salt"])
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(by))))
-        .drop("_cuts", "_salt")
+        .agg(F.array_sort(F.flatten(F.collect_list("_cuts"))).alias("_cuts"))  # SALTS short arrays
     )
+    # Every n-th point of the pooled sketches; whatever the cut points, the result stays exact.
+    every = F.floor(F.size("_cuts") / buckets)
+    bounds = bounds.withColumn("_cuts", F.filter("_cuts", lambda x, i: i % F.greatest(F.lit(1), every) == 0))
+    bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = salted.join(bounds, [*keys, "_salt"])
+    return placed.withColumn("_bucket", bucket_by_cuts(by, "_cuts", buckets)).drop("_cuts", "_salt")
+
+
+def ranked_cumsum(
+    df: DataFrame, keys: Sequence[str], by: str, measures: Sequence[str], buckets: int = 64, distinct: bool = False
+) -> DataFrame:
+    """Distinct `by` values per key with each measure's total and its running total below (`{m}_below`).
+
+    Exact, and no task ever sorts a whole key: values are first collapsed to distinct ones (map-side
+    combine), split into ranges, and the running total is (totals of lower ranges) + (running total
+    inside the range).
+    """
+    keys = list(keys)
+    vals = df if distinct else df.groupBy(*keys, by).agg(*[F.sum(m).alias(m) for m in measures])
+    placed = place_in_buckets(vals, keys, by, buckets)
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
