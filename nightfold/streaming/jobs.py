@@ -64,7 +64,6 @@ def first_wins_log(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     schema = stream.schema
 
     def prepare(batch: DataFrame, ident: int) -> DataFrame:
-        batch = batch.persist()
         span = batch.agg(F.min(date_key).alias("lo"), F.max(date_key).alias("hi")).first()
         done = read_batches(batch.sparkSession, path, schema).filter((F.col("batch") < ident) & F.col(date_key).between(F.lit(span["lo"]), F.lit(span["hi"])))
         return first_wins(batch, keys, order).join(done.select(*keys), list(keys), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -137,26 +138,33 @@ def ranked_cumsum(
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of `value` per key (numpy's default rule), computed with
-    `ranked_cumsum`, so that memory never depends on how many distinct values a key has.
+    """Exact linearly interpolated quantiles of `value` per key (numpy's default rule), whose memory never
+    depends on how many distinct values a key has.
 
-    `weight` (a whole number) lets the caller pass values already collapsed to counts.
+    Values are collapsed to counts and placed in ranges; the ranges' totals tell which of them hold the
+    wanted ranks, and only those ranges are sorted. `weight` (a whole number) lets the caller pass values
+    already collapsed.
     """
     keys = list(keys)
     dummy = not keys
     if dummy:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
-    df = df.filter(F.col(value).isNotNull()).withColumn("_n", F.col(weight).cast("long") if weight else F.lit(1))
-    ranked = ranked_cumsum(df, keys, value, ["_n"])
-    totals = df.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(totals, keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
+    placed = place_in_buckets(counts, keys, value, 64)
+    whole, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_t"))
+    totals = totals.withColumn("_below", F.coalesce(F.sum("_t").over(upto), F.lit(0))).withColumn("_total", F.sum("_t").over(whole))
+    pos = {name: F.lit(q) * (F.col("_total") - 1) for name, q in quantiles.items()}
+    ranks = [r for p in pos.values() for r in (F.floor(p), F.ceil(p))]
+    holds = [(F.col("_below") <= r) & (r < F.col("_below") + F.col("_t")) for r in ranks]
+    needed = totals.filter(reduce(lambda a, b: a | b, holds)).select(*keys, "_bucket", "_below", "_total")
+    inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    ranked = placed.join(needed, [*keys, "_bucket"])
+    ranked = ranked.withColumn("_at", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    here = lambda r: F.max(F.when((F.col("_at") <= r) & (r < F.col("_at") + F.col("_n")), F.col(value)))
     aggs = []
-    for name, q in quantiles.items():
-        pos = F.lit(q) * (F.col("_total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at = lambda k: (F.col("_n_below") <= k) & (k < F.col("_n_below") + F.col("_n"))
-        low, high = F.max(F.when(at(lo), F.col(value))), F.max(F.when(at(hi), F.col(value)))
-        frac = F.max(pos - lo)
+    for name, p in pos.items():
+        low, high, frac = here(F.floor(p)), here(F.ceil(p)), F.max(p - F.floor(p))
         aggs.append((low + (high - low) * frac).alias(name))
     out = ranked.groupBy(*keys).agg(*aggs)
     return out.drop("_all") if dummy else out
