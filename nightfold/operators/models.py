@@ -198,6 +198,8 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
         aggs += [F.count(x(i)).alias(f"n{i}"), F.sum(x(i)).alias(f"s{i}"), F.sum(x(i) * x(i)).alias(f"q{i}")]
     cells = cut_lineage(rows.groupBy(*key_cols, "grp", "day").agg(*aggs))
     whole = cells.agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(d)]).first()
+    if not whole["n"]:
+        return {}  # no rows, no models
     gappy = [i for i in range(d) if whole[f"n{i}"] < whole["n"]]
     kept = [i for i, p in enumerate(pops) if p in complete]
     names = [a for a in cells.columns if a not in (*key_cols, "grp", "day")]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightfold.functions.timefn import assign_split, dark_hours, hours_inside, season, wall_clock_to_utc
+from nightfold.functions.timefn import assign_split, hours_inside, season, wall_clock_to_utc
 from nightfold.operators.timeseries import (
     RunRules, attach_windows, summary_aggs, summary_columns,
 )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightfold.functions import timefn as T
-from nightfold.operators import forecast as C, timeseries as S, verify as V
+from nightfold.operators import forecast as C, timeseries as S
 from nightfold.plans.catalog_quality import PT, records
-from nightfold.plans.catalog_sky import hour_odds, ts
+from nightfold.plans.catalog_sky import ts
 from nightfold.plans.catalog_time import MED, _median_hours, first_longest, island_sql
 from nightfold.plans.catalog_verify import PRE, REF, SUB
 from nightfold.plans.derived import BASE, FC, FEA, FULL, R, REP, features, WIN, big, dataset, hourly_base, labels, LAB, r6, reports, series, table, text, windows, with_

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightfold.operators import models as M, nights as N, timeseries as S, verify as V
+from nightfold.operators import models as M, nights as N, timeseries as S
 from nightfold.functions.timefn import hours_inside
 from nightfold.plans.catalog_verify import NIGHT, predictions
-from nightfold.plans.derived import BASE, FULL, MODELS, R, SITES, as_ts, big, dataset, hourly_base, r6, series, table, text, windows, with_
+from nightfold.plans.derived import BASE, FULL, MODELS, R, as_ts, big, dataset, hourly_base, r6, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
 FEATS = ["quantity", "price", "discount", "tax"]

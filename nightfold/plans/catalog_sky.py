@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightfold.functions import geofn as G, skyfn as K
 from nightfold.operators import events as E, timeseries as S, visibility as Y
-from nightfold.plans.derived import BASE, MOON, REP, R, big, moon, r6, reports, table, text, windows, with_
+from nightfold.plans.derived import MOON, REP, R, big, moon, r6, reports, table, text, windows, with_
 from nightfold.plans.catalog_spatial import comp, count_le
 from nightfold.plans.registry import query
 

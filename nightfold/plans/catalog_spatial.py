@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from nightfold.functions import geofn as G

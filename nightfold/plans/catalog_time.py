@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nightfold.functions import timefn as T
 from nightfold.operators import nights as N, timeseries as S
 from nightfold.plans.derived import (
-    BASE, BENCHMARKS, DAT, FC, FEA, FULL, LAB, LEADS, MODELS, MOON, NIT, REP, SER, SITES, WIN, big, code_sql, dataset,
+    BASE, BENCHMARKS, FC, FEA, FULL, LAB, MODELS, MOON, NIT, REP, SER, SITES, big, code_sql, dataset,
     features, hourly_base, labels, moon, r6, reports, runs_sql, series, table, text, windows, with_,
 )
 from nightfold.plans.registry import query

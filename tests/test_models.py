@@ -131,3 +131,9 @@ def test_shipping_keeps_the_incumbent_when_worse(spark):
     d = spark.createDataFrame([(1, -0.01), (2, 0.002)], "lead int, lo double")
     r = M.shipping_decision(d).first()
     assert (r["method"], r["worse_at_leads"]) == ("geo_airports", [2])
+
+
+def test_no_rows_give_no_models(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert M.fit_logistic_grid(empty, ["lead"], FEATS, "y", "day", folds=2, c_grid=(0.1,)) == []
+    assert M.artifact_frame(spark, [], ["lead"], ["int"]).isEmpty()
