@@ -29,20 +29,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Column, out: str, buckets: int) -> DataFrame:
-    """Adds `out`: 0, 1, 2, ... per key, deterministic, without any task holding a whole key.
+def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Column, out: str, buckets: Column | int) -> DataFrame:
+    """Adds `out`: 0, 1, 2, ... per key (keys without nulls), deterministic, without any task holding a whole key.
 
     Rows of a key are dealt into `buckets` by `spread` (a deterministic hash of the row); each bucket is
     numbered by `order` and shifted by the size of the buckets before it.
     """
     keys = list(keys)
-    dealt = df.withColumn("_b", F.pmod(spread, F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    n = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    dealt = df.withColumn("_b", F.pmod(spread, n).cast("int"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_sb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_b").orderBy(*order)
-    ranked = dealt.withColumn("_r", F.row_number().over(inside) - 1)
-    same = F.col("_b") == F.col("_sb")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return ranked.join(sizes, same).withColumn(out, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_sb", "_before", *[f"_k{i}" for i in range(len(keys))])
+    sizes = dealt.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1)
+    return ranked.join(sizes, [*keys, "_b"]).withColumn(out, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")

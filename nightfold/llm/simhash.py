@@ -213,12 +213,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def groups_of(rows: DataFrame, id_col: str) -> DataFrame:
-    """(fp, component_id) for every distinct `fp` of rows (fp, id)."""
+    """(fp, root, component_id) for every distinct `fp` of rows (fp, id); root names the component by a fingerprint."""
     nodes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
     found = stored(link_components(nodes.select("fp")), "roots")
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    return stored(rooted.select("fp", "root").join(lows, "root").select("fp", "component_id"), "groups")
+    return stored(rooted.select("fp", "root").join(lows, "root").select("fp", "root", "component_id"), "groups")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -232,5 +232,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     groups = groups_of(slim, "id")
     first = slim.groupBy("fp", "id").agg(F.min("row").alias("row"))  # repeated ids
     first = stored(first.join(groups, "fp").where("id <=> component_id"), "first")
-    chosen = stored(first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min("row").alias("_nd_row")).select("_nd_row"), "chosen")
+    chosen = stored(first.groupBy("root").agg(F.min("row").alias("_nd_row")).select("_nd_row"), "chosen")
     return rows.join(chosen, "_nd_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
