@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightfold.llm.common import gapless_rank, shuffle_partitions
+from nightfold.llm.common import gapless_rank, shuffle_partitions, stored
 
 SHARDS = 16
 #: Multiplier of the 64-bit generator of jump consistent hashing (fixed value).
@@ -55,3 +55,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     order = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     ranked = gapless_rank(rows, ["shard"], order, F.xxhash64("doc_id", "size", "text_crc32"), "slot", 4 * shuffle_partitions(docs.sparkSession))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with `shard` and `slot` as in `shard` added; columns of those names are
+    replaced. Slots are numbered on slim rows, so texts are shuffled once."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = stored(docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    slim = with_shard(rows.select(F.col("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_tie")), "_id", shards, "shard")
+    ranked = gapless_rank(slim, ["shard"], [F.col("_id"), F.col("_tie"), F.col("_row")], F.xxhash64("_id", "_tie", "_row"), "slot", 4 * shuffle_partitions(docs.sparkSession))
+    return rows.join(ranked.select("_row", "shard", "slot"), "_row").drop("_row")
