@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nightfold.llm import decontaminate, mixing, sharding, simhash, toxicity
+from nightfold.llm import decontaminate, mixing, sharding, simhash, tokens, toxicity
+from nightfold.util import ensure_checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/nightfold-tokens-{uuid.uuid4().hex}"
+    tokens.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    rows = tokens.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return tokens.starts(rows).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
 def op5_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_token_ids": op3_token_ids,
     "op5_jump_hash_sharding": op5_jump_hash_sharding,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_mixing": op10_mixing,
