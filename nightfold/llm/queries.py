@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightfold.llm import ann, decontaminate, mixing, sharding, simhash, tokens, toxicity
+from nightfold.llm import ann, decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
 from nightfold.util import ensure_checkpoint_dir
 
 
@@ -32,6 +32,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.starts(rows).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_token_ids": op3_token_ids,
+    "op4_quality": op4_quality,
     "op5_jump_hash_sharding": op5_jump_hash_sharding,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
