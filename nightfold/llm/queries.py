@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightfold.llm import ann, decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
+from nightfold.llm import ann, decontaminate, lines, mixing, quality, sharding, simhash, tokens, toxicity
 from nightfold.util import ensure_checkpoint_dir
 
 
@@ -40,6 +40,10 @@ def op5_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_ids": op3_token_ids,
     "op4_quality": op4_quality,
     "op5_jump_hash_sharding": op5_jump_hash_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_mixing": op10_mixing,
