@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightfold.llm import ann, decontaminate, lines, mixing, quality, sharding, simhash, tokens, toxicity
+from nightfold.llm import ann, decontaminate, licenses, lines, mixing, quality, sharding, simhash, tokens, toxicity
 from nightfold.util import ensure_checkpoint_dir
 
 
@@ -52,6 +52,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }
 
