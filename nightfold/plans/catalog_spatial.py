@@ -333,9 +333,9 @@ def km_grid_query(spark, sf):
     return km_grid(spark, sf).select("gx", "gy", r6("emission", 3).alias("emission"))
 
 
-@query("coarse_sources", "A21", with_(CELLS) + f"SELECT CAST(floor(row / 4) AS BIGINT) AS row, CAST(floor(col / 4) AS BIGINT) AS col, {R('sum(radiance)', 3)} AS emission FROM ce GROUP BY 1, 2 HAVING sum(radiance) >= 1000")
+@query("coarse_sources", "A21", with_(CELLS) + f"SELECT CAST(floor(row / 4) AS BIGINT) AS row, CAST(floor(col / 4) AS BIGINT) AS col, {R('sum(radiance)', 3)} AS emission FROM ce GROUP BY 1, 2 HAVING sum(radiance) >= 950")
 def coarse_sources(spark, sf):
-    c = L.coarsen_sources(cells(spark, sf).withColumnRenamed("radiance", "emission"), 4, 1000)
+    c = L.coarsen_sources(cells(spark, sf).withColumnRenamed("radiance", "emission"), 4, 950)
     return c.select("row", "col", r6("emission", 3).alias("emission"))
 
 
@@ -348,6 +348,17 @@ def ring_sums(spark, sf):
     return L.ring_features(km_grid(spark, sf), EDGES, 2.0).select("gx", "gy", *[r6(f"r{i}", 3).alias(f"r{i}") for i in range(5)])
 
 
+DARK = RINGS.replace("ri AS", "rd AS").replace("a.gx, a.gy, b.emission", "a.gx + 3 AS gx, a.gy - 2 AS gy, b.emission").replace("(a.gx - b.gx)", "(a.gx + 3 - b.gx)").replace("(a.gy - b.gy)", "(a.gy - 2 - b.gy)")
+
+
+@query("ring_sums_beside_lights", "M29", with_(CELLS, KMG, DARK) + f"SELECT gx, gy, {', '.join(f'{R(f'r{i}', 3)} AS r{i}' for i in range(5))} FROM rd")
+def ring_sums_beside_lights(spark, sf):
+    """Targets that are not sources: each lit cell's neighbour, most of them dark."""
+    g = km_grid(spark, sf)
+    beside = g.select((F.col("gx") + 3).alias("gx"), (F.col("gy") - 2).alias("gy"))
+    return L.ring_features(g, EDGES, 2.0, beside).select("gx", "gy", *[r6(f"r{i}", 3).alias(f"r{i}") for i in range(5)])
+
+
 def kernel_rows(spark, sf):
     """Ring sums with a brightness made from a known kernel plus a bounded ripple."""
     f = L.ring_features(km_grid(spark, sf), EDGES, 2.0)

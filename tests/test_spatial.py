@@ -120,6 +120,13 @@ def test_ring_sums_equal_brute_force(spark):
     for (x, y) in list(cells)[:30]:
         want = [sum(e for (a, b), e in cells.items() if lo <= math.hypot(a - x, b - y) < hi) for lo, hi in zip(edges, edges[1:])]
         assert got[(x, y)] == pytest.approx(want, abs=1e-6)
+    dark = [(0, 0), (500, 500), (-91, 17), (3, -4)]
+    aims = spark.createDataFrame(dark, "gx long, gy long")
+    got = {(r["gx"], r["gy"]): [r["r0"], r["r1"], r["r2"]] for r in L.ring_features(g, edges, targets=aims).collect()}
+    for (x, y) in dark[:1] + dark[2:]:
+        want = [sum(e for (a, b), e in cells.items() if lo <= math.hypot(a - x, b - y) < hi) for lo, hi in zip(edges, edges[1:])]
+        assert got[(x, y)] == pytest.approx(want, abs=1e-9)
+    assert got[(500, 500)] == [0.0, 0.0, 0.0]
 
 
 def test_kernel_is_recovered_and_never_negative(spark):
