@@ -37,6 +37,7 @@ BORTLE = [
 BORTLE_LAST = ("8–9", 8.5, "City sky")
 # Lower ratio bound of each zone of the independent 15-zone map.
 ZONE_BOUNDS = [0.0, 0.01, 0.06, 0.11, 0.19, 0.33, 0.58, 1.0, 1.73, 3.0, 5.2, 9.0, 15.59, 27.0, 46.77]
+# Distance rings (km).
 RING_EDGES_KM = [0.0, 1.5, 3.0, 6.0, 12.0, 25.0, 50.0, 100.0, 200.0, 300.0]
 
 
@@ -170,7 +171,7 @@ def mag_error(pred: Column, true: Column, natural: float = NATURAL_UCD) -> Colum
 
 
 def city_radius_km(population: Column) -> Column:
-    """How far a place claims light: grows with the square root of population, 2 to 25 km."""
+    """How far a place claims light: grows with the square root of population, 2 to 25 km (fixed values)."""
     r = 1.5 + 4.0 * F.sqrt(population.cast("double") / 1e5)
     return clip(r, 2.0, 25.0)
 

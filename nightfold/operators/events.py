@@ -53,16 +53,17 @@ def rank_by_rate(outlook: DataFrame, top: int | None = None) -> DataFrame:
 def best_view(events: DataFrame, positions: DataFrame, max_sun: float = -8.0, min_alt: float = 8.0) -> DataFrame:
     """Moment nearest each event, within 18 hours, when both objects are high enough and the Sun low enough.
     `positions`: site, t, sun_alt, alt_a, az_a, alt_b on a regular grid (one row per site and quarter hour),
-    gathered per site and day (96 moments at most), so an event meets three rows."""
+    listed for the days around them (288 moments at most a day), and an event picks from its day's list, so
+    equal events stay separate rows."""
     ok = (F.col("sun_alt") <= max_sun) & (F.least("alt_a", "alt_b") >= min_alt)
     moment = F.struct(F.col("t"), ((F.col("alt_a") + F.col("alt_b")) / 2).alias("alt"), F.col("az_a").alias("az"))
-    days = positions.filter(ok).groupBy("site", F.to_date("t").alias("_day")).agg(F.collect_list(moment).alias("_grid"))  # at most 96
-    e = events.withColumn("_day", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.date_add(F.to_date("utc"), i))))
+    day = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.date_add(F.to_date("t"), i)))
+    grids = positions.filter(ok).select("site", day.alias("_day"), moment.alias("_m")).groupBy("site", "_day").agg(F.collect_list("_m").alias("_grid"))
     gap = lambda m: F.abs(F.unix_micros(m["t"]) - F.unix_micros("utc"))
     near = F.filter("_grid", lambda m: gap(m) <= F.lit(18 * 3600 * 1000000))
     best = F.array_min(F.transform(near, lambda m: F.struct(gap(m).alias("g"), m["t"].alias("t"), m["alt"].alias("alt"), m["az"].alias("az"))))
-    per_day = e.join(days, ["site", "_day"]).withColumn("_b", best).filter("_b is not null")
-    return per_day.groupBy(*events.columns).agg(F.min("_b").alias("_m")).select(*events.columns, F.col("_m.t").alias("view"), "_m.alt", "_m.az")
+    picked = events.withColumn("_day", F.to_date("utc")).join(grids, ["site", "_day"]).withColumn("_b", best).filter("_b is not null")
+    return picked.select(*events.columns, F.col("_b.t").alias("view"), "_b.alt", "_b.az")
 
 
 def merge_moon_pairings(pairings: DataFrame, tz: str) -> DataFrame:

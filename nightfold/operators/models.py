@@ -150,8 +150,9 @@ def _pass(rows: DataFrame, n_keys: int, work: list, kind: str) -> dict[int, np.n
     return {r["id"]: np.array(r["v"]) for r in parts.groupBy("id").applyInPandas(add, "id int, v array<double>").collect()}
 
 
-def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Population, dict], max_passes: int = 40) -> None:
-    """Damped Newton on C * loss + |w|^2 / 2 (constant unpenalised) for every fit at once."""
+def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Population, dict], max_passes: int = 200) -> None:
+    """Damped Newton on C * loss + |w|^2 / 2 (constant unpenalised) for every fit at once; an error if one does not
+    converge. A fit whose value can no longer fall, however short the step, is at its numerical optimum."""
     for f in fits:
         width = len(prep[f.pop]["mean"]) + 1
         f.beta, f.step, f.value, f.done = np.zeros(width), np.zeros(width), math.inf, False
@@ -169,14 +170,18 @@ def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Populat
             free = np.ones(width)
             free[-1] = 0.0
             value = f.c * v[0] + 0.5 * float(free @ (trial * trial))
-            if value > f.value + 1e-12 * abs(f.value) and f.scale > 1e-6:
+            if value > f.value + 1e-12 * abs(f.value):
                 f.scale /= 2
+                f.done = f.scale < 1e-9
                 continue
             grad = f.c * v[1 : 1 + width] + free * trial
             curve = f.c * v[1 + width :].reshape(width, width) + np.diag(free)
             step = -np.linalg.lstsq(curve, grad, rcond=None)[0]
             f.beta, f.value, f.step, f.scale = trial, value, step, 1.0
             f.done = float(-grad @ step) <= 1e-12 * (1 + abs(value))
+    open_ = [f.pop for f in fits if not f.done]
+    if open_:
+        raise RuntimeError(f"{len(open_)} fits did not converge in {max_passes} passes, the first for {open_[0]}")
 
 
 def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool, complete: set[Population]) -> dict[Population, dict]:
@@ -192,7 +197,9 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
     schema = "pop int, " + ", ".join(f"{c} string" for c in key_cols) + ", before int, exclude string"
     pop = spark.createDataFrame(table, schema)
     seen = (F.isnull("before") | (F.col("day") < F.col("before"))) & (F.isnull("exclude") | (F.col("grp") != F.col("exclude")))
-    x = lambda i: F.col(f"f{i}")
+    # Sums are taken around each input's overall mean: squares of large values would swallow a small spread.
+    pilot = [v or 0.0 for v in rows.agg(*[F.avg(f"f{i}") for i in range(d)]).first()] if d else []
+    x = lambda i: F.col(f"f{i}") - pilot[i]
     aggs = [F.count("*").alias("n"), F.sum("y").alias("pos")]
     for i in range(d):
         aggs += [F.count(x(i)).alias(f"n{i}"), F.sum(x(i)).alias(f"s{i}"), F.sum(x(i) * x(i)).alias(f"q{i}")]
@@ -225,15 +232,16 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
             gaps = n - r[f"n{i}"]
             m = medians.get((r["pop"], i), 0.0)
             med.append(m)
-            s, q = (r[f"s{i}"] or 0.0) + gaps * m, (r[f"q{i}"] or 0.0) + gaps * m * m
-            mean.append(s / n)
+            off = m - pilot[i]
+            s, q = (r[f"s{i}"] or 0.0) + gaps * off, (r[f"q{i}"] or 0.0) + gaps * off * off
+            mean.append(pilot[i] + s / n)
             var.append(max(q / n - (s / n) ** 2, 0.0))
             if impute and gaps:
                 ind.append((i, gaps / n))
         mean += [g for _, g in ind]
         var += [g * (1 - g) for _, g in ind]
         # A spread that is rounding noise next to the mean counts as none.
-        sd = np.array([math.sqrt(v) if v > 1e-14 * m * m else 0.0 for v, m in zip(var, mean, strict=True)])
+        sd = np.array([math.sqrt(v) if v > 1e-28 * m * m else 0.0 for v, m in zip(var, mean, strict=True)])
         sd[sd == 0] = 1.0
         out[pops[r["pop"]]] = {
             "median": np.array(med), "indicators": [i for i, _ in ind], "mean": np.array(mean), "sd": sd,

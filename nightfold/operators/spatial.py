@@ -30,23 +30,32 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], how: st
 # ---------- radius joins ----------
 
 
-def _lon_width(band: Column, delta: float, radius_km: float) -> Column:
-    """Cell width of a latitude band: the radius in degrees of longitude at the band's poleward edge."""
-    edge = F.greatest(F.abs(band), F.abs(band + 1)) * delta
-    return radius_km / (KM_PER_DEG * F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.0175)))
+def _columns(band: Column, delta: float, radius_km: float) -> Column:
+    """How many cells a latitude band has around the globe: none narrower than the radius anywhere in the band or
+    its neighbours' edge, and one where a circle of the radius may reach round the pole."""
+    edge = F.radians(F.greatest(F.abs(band), F.abs(band + 1)) * delta)  # the poleward edge
+    # Half the longitudes that a circle around a point at that edge spans.
+    reach = F.when(edge < math.pi / 2 - radius_km / EARTH_KM, F.asin(math.sin(min(radius_km / EARTH_KM, math.pi / 2)) / F.cos(edge)))
+    return F.coalesce(F.greatest(F.floor(math.pi * 2 / reach), F.lit(1)), F.lit(1)).cast("long")
+
+
+def _cell(lon: Column, columns: Column, step: Column | int = 0) -> Column:
+    """The cell of a longitude, `step` cells on, counted around the globe."""
+    return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / 360 * columns) + step, columns).cast("long")
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_km: float, within: Column | None = None) -> DataFrame:
-    """Pairs (left.*, right.*, km) within `radius_km`. Both need lat/lon; the right side's are renamed
-    lat2/lon2 and it is listed in the nine cells around it. `within` replaces the fixed limit by one that
-    depends on the row (no larger than radius_km)."""
-    delta = radius_km / KM_PER_DEG * 1.001
-    band = F.floor(F.col("lat") / delta)
-    width = _lon_width(F.col("_band"), delta, radius_km * 1.001)
-    lt = left.withColumn("_band", band).withColumn("_cell", F.floor(F.col("lon") / width))
+    """Pairs (left.*, right.*, km) within `radius_km`, on the whole sphere: cells go round the globe, and bands
+    that touch a pole have one. Both need lat/lon; the right side's are renamed lat2/lon2 and it is listed in the
+    cells around it. `within` replaces the fixed limit by one that depends on the row (no larger than
+    radius_km)."""
+    wide = radius_km * 1.001
+    delta = wide / KM_PER_DEG
+    columns = _columns(F.col("_band"), delta, wide)
+    lt = left.withColumn("_band", F.floor(F.col("lat") / delta)).withColumn("_cell", _cell(F.col("lon"), columns))
     three = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    rt = right.withColumn("_band", F.explode(F.transform(three, lambda d: band + d)))
-    rt = rt.withColumn("_cell", F.explode(F.transform(three, lambda d: F.floor(F.col("lon") / width) + d)))
+    rt = right.withColumn("_band", F.explode(F.transform(three, lambda d: F.floor(F.col("lat") / delta) + d)))
+    rt = rt.withColumn("_cell", F.explode(F.array_distinct(F.transform(three, lambda d: _cell(F.col("lon"), columns, d)))))
     rt = rt.withColumnRenamed("lat", "lat2").withColumnRenamed("lon", "lon2")
     km = haversine_km("lat", "lon", "lat2", "lon2")
     limit = F.lit(radius_km) if within is None else within
@@ -54,14 +63,18 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, within: Col
 
 
 def not_near(left: DataFrame, right: DataFrame, key: str, radius_km: float) -> DataFrame:
-    """Left rows with no right row of the same key closer than the radius."""
-    near = right.select(key, F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
-    delta = radius_km / KM_PER_DEG * 1.001
+    """Left rows with no right row of the same key closer than the radius; the cells of `radius_join`."""
+    wide = radius_km * 1.001
+    delta = wide / KM_PER_DEG
+    columns = _columns(F.col("_band"), delta, wide)
     three = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = near.withColumn("_band", F.explode(F.transform(three, lambda d: F.floor(F.col("_la") / delta) + d))).distinct()
-    lt = left.withColumn("_band", F.floor(F.col("lat") / delta))
-    on = (lt[key] == near[key]) & (lt["_band"] == near["_band"]) & (haversine_km(lt["lat"], lt["lon"], near["_la"], near["_lo"]) < radius_km)
-    return lt.join(near, on, "left_anti").drop("_band")
+    near = right.select(F.col(key).alias("_key"), F.col("lat").alias("_la"), F.col("lon").alias("_lo")).distinct()
+    near = near.withColumn("_band", F.explode(F.transform(three, lambda d: F.floor(F.col("_la") / delta) + d)))
+    near = near.withColumn("_cell", F.explode(F.array_distinct(F.transform(three, lambda d: _cell(F.col("_lo"), columns, d)))))
+    near = near.withColumnsRenamed({"_band": "_band2", "_cell": "_cell2"})
+    lt = left.withColumn("_band", F.floor(F.col("lat") / delta)).withColumn("_cell", _cell(F.col("lon"), columns))
+    on = (F.col(key) == F.col("_key")) & (F.col("_band") == F.col("_band2")) & (F.col("_cell") == F.col("_cell2"))
+    return lt.join(near, on & (haversine_km("lat", "lon", "_la", "_lo") < radius_km), "left_anti").drop("_band", "_cell")
 
 
 # ---------- nearest ----------
@@ -71,13 +84,16 @@ CELL_DEG = (0.05, 0.2, 0.9, 3.6, 18.0, 90.0, 180.0)
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, right_id: str, k: int = 1, payload: Sequence[str] = (), keys: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, right_id: str, k: int = 1, payload: Sequence[str] = (), keys: Sequence[str] = (),
+    within: Column | None = None,
 ) -> DataFrame:
     """The k nearest right rows (sharing `keys`, if given) of every left row that has any: left.*, rank,
     km, right_id, payload.
 
     Distinct left points are matched in growing cells; a point is settled once its k-th candidate is
-    nearer than the edge of the searched block. Ties go to the lower id. Exact on the whole sphere.
+    nearer than the edge of the searched block. Ties go to the lower id. Exact on the whole sphere. A point whose
+    keys no right row has is not searched at all; one is given up once the searched block reaches past `within`
+    (km, of the left row), and rows farther than that are left out.
     """
     keys = list(keys)
     item = F.struct(F.col(right_id).alias("id"), *payload)
@@ -85,7 +101,10 @@ def nearest(
     if k == 1:
         places = places.groupBy(*keys, "lat2", "lon2").agg(F.min("_p").alias("_p"))
     here = [*keys, "lat", "lon"]
-    todo = left.select(*here).distinct()
+    limit = F.lit(None).cast("double") if within is None else within.cast("double")
+    todo = left.select(*here, limit.alias("_within")).groupBy(*here).agg(F.max("_within").alias("_within"))
+    if keys:
+        todo = todo.join(places.select(*keys).distinct(), keys, "left_semi")
     settled: DataFrame | None = None
     three = F.array(F.lit(-1), F.lit(0), F.lit(1))
     for deg in CELL_DEG:
@@ -94,19 +113,21 @@ def nearest(
         around = places.withColumn("_a", F.explode(F.transform(three, lambda d: row("lat2") + d)))
         around = around.withColumn("_b", F.explode(F.array_distinct(F.transform(three, lambda d: cell("lon2", d)))))
         cand = todo.withColumn("_a", row("lat")).withColumn("_b", cell("lon")).join(around, [*keys, "_a", "_b"])
-        cand = cand.select(*here, haversine_km("lat", "lon", "lat2", "lon2").alias("km"), "_p")
+        cand = cand.select(*here, "_within", haversine_km("lat", "lon", "lat2", "lon2").alias("km"), "_p")
         order = F.struct("km", "_p")
         if k == 1:
-            best = cand.groupBy(*here).agg(F.array(F.min(order)).alias("_best"))
+            best = cand.groupBy(*here, "_within").agg(F.array(F.min(order)).alias("_best"))
         else:
-            rank = F.row_number().over(W.partitionBy(*here).orderBy("km", "_p"))
+            rank = F.row_number().over(W.partitionBy(*here, "_within").orderBy("km", "_p"))
             top = cand.withColumn("_r", rank).filter(F.col("_r") <= k)
-            best = top.groupBy(*here).agg(F.array_sort(F.collect_list(order)).alias("_best"))
+            best = top.groupBy(*here, "_within").agg(F.array_sort(F.collect_list(order)).alias("_best"))
         if deg != CELL_DEG[-1]:
             side = F.lit(EARTH_KM) * F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(deg, 90))))
             safe = F.least(F.lit(deg * KM_PER_DEG), side) * 0.999
-            best = best.filter((F.size("_best") >= k) & (F.element_at("_best", -1)["km"] <= safe))
-        best = cut_lineage(best)
+            over = F.coalesce(F.col("_within") <= safe, F.lit(False))  # all there is within the limit was looked at
+            best = best.filter(((F.size("_best") >= k) & (F.element_at("_best", -1)["km"] <= safe)) | over)
+            todo = todo.filter(~over)
+        best = cut_lineage(best.drop("_within"))
         settled = best if settled is None else settled.unionByName(best)
         todo = cut_lineage(todo.join(best.select(*here), here, "left_anti"))
         if todo.isEmpty():
@@ -117,7 +138,10 @@ def nearest(
             (i + 1).alias("rank"), x["km"].alias("km"), x["_p"]["id"].alias(right_id), *[x["_p"][c].alias(c) for c in payload]
         ),
     )
-    return salted_lookup(left, settled.withColumn("_best", out), here, "inner").select(*left.columns, F.inline("_best"))
+    found = salted_lookup(left, settled.withColumn("_best", out), here, "inner")
+    if within is None:
+        return found.select(*left.columns, F.inline("_best"))
+    return found.select(*left.columns, limit.alias("_within"), F.inline("_best")).filter("km <= _within").drop("_within")
 
 
 def nearest_scaled(points: DataFrame, places: DataFrame, point_id: str, near_score: float = 2.0) -> DataFrame:
@@ -245,9 +269,11 @@ def unique_ids(places: DataFrame, order: str) -> DataFrame:
     joined = salted_lookup(base, counts, ["_s"], "inner")
     with_county = F.concat_ws("-", "_s", slug(F.coalesce("county", F.lit("ca"))))
     joined = joined.withColumn("_id", F.when(F.col("_c") == 1, F.col("_s")).otherwise(with_county))
-    ranks = ranked_cumsum(joined.select("_id", order, F.lit(1).alias("_r")), ["_id"], order, ["_r"])
+    clash = joined.groupBy("_id").agg(F.count("*").alias("_k")).filter("_k > 1").select("_id")  # the few that need a number
+    clashing = joined.join(clash, "_id", "left_semi").select("_id", order, F.lit(1).alias("_r"))
+    ranks = ranked_cumsum(clashing, ["_id"], order, ["_r"])
     ranks = ranks.select("_id", order, (F.col("_r_below") + 1).alias("_r"))
-    numbered = joined.join(ranks, ["_id", order])
+    numbered = joined.join(ranks, ["_id", order], "left").withColumn("_r", F.coalesce("_r", F.lit(1)))
     return numbered.withColumn("id", F.when(F.col("_r") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", F.col("_r").cast("string")))).drop("_s", "_c", "_id", "_r")
 
 
@@ -258,7 +284,7 @@ def town_centres(places: DataFrame, towns: DataFrame, max_radii: float = 2.5, mi
     p = places.withColumn("_key", F.lower("name"))
     t = towns.withColumn("_key", F.lower("name"))
     t = t.withColumn("lat2", F.col("lat")).withColumn("lon2", F.col("lon"))
-    best = nearest(p, t, "town_id", payload=["lat2", "lon2"], keys=["_key", "county"]).filter(F.col("km") <= limit)
+    best = nearest(p, t, "town_id", payload=["lat2", "lon2"], keys=["_key", "county"], within=limit)
     out = places.join(best.select("place_id", "town_id", "km", "lat2", "lon2"), "place_id", "left")
     return out.select(
         "place_id", F.coalesce("lat2", "lat").alias("lat"), F.coalesce("lon2", "lon").alias("lon"), "town_id", "km",

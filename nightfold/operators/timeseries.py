@@ -70,9 +70,10 @@ def hourly_cover(
         return r.groupBy(*keys, "hour").agg(F.max(cover).alias(out))
     if method != "nearest":
         raise ValueError(f"unknown method {method!r}")
-    away = F.abs(F.unix_micros(as_ts(ts)) - F.unix_micros("hour"))
-    best = F.when(F.col(cover).isNotNull(), F.struct(away.alias("d"), (-F.col(cover)).alias("c")))
-    return r.groupBy(*keys, "hour").agg((-F.min(best)["c"]).alias(out))
+    # First the cloudiest of equally near reports, then the nearest: two hash aggregates, no sort of raw rows.
+    away = F.when(F.col(cover).isNotNull(), F.abs(F.unix_micros(as_ts(ts)) - F.unix_micros("hour")))
+    by_distance = r.withColumn("_d", away).groupBy(*keys, "hour", "_d").agg(F.max(cover).alias("_c"))
+    return by_distance.groupBy(*keys, "hour").agg(F.min_by("_c", "_d").alias(out))
 
 
 # ---------- windows and their hours ----------
@@ -115,40 +116,50 @@ def attach_windows(
 # ---------- runs ----------
 
 
-def bits_of(flag: Column, slot: Column) -> Column:
-    """Aggregate: the slots (0..62) where `flag` holds, as the bits of a long."""
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot)
-    return F.bit_or(F.when(flag, one).otherwise(F.lit(0).cast("long")))
+WORD_HOURS = 62  # slots in a word: a long without its sign
 
 
-def longest_bit_run(bits: Column) -> Column:
-    """Length of the longest run of set bits."""
-    return F.array_max(F.transform(F.split(F.bin(bits), "0+"), F.length))
+def bits_of(flag: Column, slot: Column, word: int = 0, words: int = 1) -> Column:
+    """Aggregate: the slots of the given word where `flag` holds, as the bits of a long. A slot beyond the last
+    word is an error: it would fall on another slot's bit."""
+    in_word = slot - word * WORD_HOURS
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), in_word)
+    beyond = F.raise_error(F.lit(f"a window of more than {words * WORD_HOURS} hours needs more words")).cast("long")
+    here = F.when(slot >= words * WORD_HOURS, beyond).when((in_word >= 0) & (in_word < WORD_HOURS) & flag, one)
+    return F.bit_or(here.otherwise(F.lit(0).cast("long")))
 
 
-def summary_aggs(value: Column, rules: RunRules, prefix: str = "", slot: str = "slot") -> list[Column]:
-    """The order-free partial aggregates a period summary needs for one value column."""
+def longest_bit_run(*bits: Column) -> Column:
+    """Length of the longest run of set bits over words, the first word first; a run may go on from word to word."""
+    text = F.bin(bits[0]) if len(bits) == 1 else F.concat(*[F.lpad(F.bin(b), WORD_HOURS, "0") for b in reversed(bits)])
+    return F.array_max(F.transform(F.split(text, "0+"), F.length))
+
+
+def summary_aggs(value: Column, rules: RunRules, prefix: str = "", slot: str = "slot", words: int = 1) -> list[Column]:
+    """The order-free partial aggregates a period summary needs for one value column, for windows of up to
+    words * WORD_HOURS hours (a longer one is an error)."""
+    clear = is_clear(value, rules.clear_threshold)
     return [
         F.count(value).alias(f"{prefix}_n"),
         F.avg(value).alias(f"{prefix}_mean"),
-        bits_of(is_clear(value, rules.clear_threshold), F.col(slot)).alias(f"{prefix}_bits"),
+        *[bits_of(clear, F.col(slot), k, words).alias(f"{prefix}_bits{k or ''}") for k in range(words)],
     ]
 
 
-def summary_columns(n_hours: Column, rules: RunRules, prefix: str = "", out: str = "") -> list[Column]:
+def summary_columns(n_hours: Column, rules: RunRules, prefix: str = "", out: str = "", words: int = 1) -> list[Column]:
     """Final summary columns from `summary_aggs`; NULL aggregates (no row at all) read as all missing.
 
     Too much missing: only missing_frac is kept. No hours at all: everything is NULL.
     """
     n = F.coalesce(F.col(f"{prefix}_n"), F.lit(0))
-    bits = F.coalesce(F.col(f"{prefix}_bits"), F.lit(0))
+    bits = [F.coalesce(F.col(f"{prefix}_bits{k or ''}"), F.lit(0)) for k in range(words)]
     some = n_hours > 0
     missing = F.when(some, (n_hours - n) / n_hours)
     ok = some & (missing <= rules.max_missing)
-    run = longest_bit_run(bits)
+    run = longest_bit_run(*bits)
     return [
         missing.alias(f"{out}missing_frac"),
-        F.when(ok & (n > 0), F.bit_count(bits) / n).alias(f"{out}frac_clear"),
+        F.when(ok & (n > 0), sum((F.bit_count(b) for b in bits), F.lit(0)) / n).alias(f"{out}frac_clear"),
         F.when(ok, run.cast("double")).alias(f"{out}longest_clear_run"),
         F.when(ok, run / n_hours).alias(f"{out}longest_clear_run_frac"),
         F.when(ok, F.col(f"{prefix}_mean")).alias(f"{out}mean_cover"),
@@ -166,22 +177,27 @@ def run_summary(
     value: str,
     rules: RunRules = RunRules(),
     by: Sequence[str] = (),
+    words: int = 1,
 ) -> DataFrame:
     """Gap-aware run summary per (keys, period, by): one row for every window with at least one hour and
-    every `by` value seen in the series. Windows of up to 63 hours; `run_summary_windowed` has no limit.
+    every `by` value seen in the series. Windows of up to words * WORD_HOURS hours are summed in bits, longer ones by
+    `run_summary_windowed`; the result is the same.
     """
     n_hours = hours_inside(as_ts(start), as_ts(end))
-    spans = windows.select(*keys, period, n_hours.alias("n_hours")).filter("n_hours > 0")
     dims = series.select(*keys, *by).distinct() if by else None
-    if dims is not None:
-        spans = spans.join(dims, list(keys))
+    with_dims = lambda d: d if dims is None else d.join(dims, list(keys))
+    spans = windows.select(*keys, period, start, end, n_hours.alias("n_hours")).filter("n_hours > 0")
+    short, long = spans.filter(F.col("n_hours") <= words * WORD_HOURS), spans.filter(F.col("n_hours") > words * WORD_HOURS)
     parts = (
-        attach_windows(series, windows, keys, period, start, end)
+        attach_windows(series, short, keys, period, start, end)
         .groupBy(*keys, period, *by)
-        .agg(*summary_aggs(F.col(value), rules))
+        .agg(*summary_aggs(F.col(value), rules, words=words))
     )
-    full = spans.join(parts, [*keys, period, *by], "left")
-    return full.select(*keys, period, *by, "n_hours", *summary_columns(F.col("n_hours"), rules))
+    full = with_dims(short.select(*keys, period, "n_hours")).join(parts, [*keys, period, *by], "left")
+    out = full.select(*keys, period, *by, "n_hours", *summary_columns(F.col("n_hours"), rules, words=words))
+    hours = with_dims(backbone(long.select(*keys, period, start, end), [*keys, period], start, end))
+    found = lookup_at(hours, series.select(*keys, *by, "hour", value), [*keys, *by])
+    return out.unionByName(run_summary_windowed(found, [*keys, period, *by], "hour", value, rules).withColumn("n_hours", F.col("n_hours").cast(out.schema["n_hours"].dataType)))
 
 
 def run_summary_windowed(

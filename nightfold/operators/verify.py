@@ -32,8 +32,8 @@ ALPHAS = [i * 5 / 100 for i in range(1, 20)]
 
 
 def climatology(rows: DataFrame, label: str, period: Sequence[str] = ("month",)) -> DataFrame:
-    """(site, *period, rate, n): base rate of known labels, each night counted once."""
-    nights = rows.filter(F.col(label).isNotNull()).groupBy("site", "night_date", *period).agg(F.first(label).alias("_y"))
+    """(site, *period, rate, n): base rate of known labels, each night counted once (copies that differ count as true)."""
+    nights = rows.filter(F.col(label).isNotNull()).groupBy("site", "night_date", *period).agg(F.max(label).alias("_y"))
     return nights.groupBy("site", *period).agg(F.avg(F.col("_y").cast("double")).alias("rate"), F.count("*").alias("n"))
 
 
@@ -56,8 +56,9 @@ def hourly_climatology(rows: DataFrame, train: DataFrame, label: str, out: str =
 
 
 def persistence(rows: DataFrame, nights: DataFrame, label: str, out: str = "persistence") -> DataFrame:
-    """The site's own label exactly `lead` nights earlier (by date, so gaps give NULL)."""
-    past = nights.groupBy("site", "night_date").agg(F.first(label).alias(out))
+    """The site's own label exactly `lead` nights earlier (by date, so gaps give NULL); of copies that differ, a known
+    one before NULL and true before false."""
+    past = nights.groupBy("site", "night_date").agg(F.max(label).alias(out))
     now = rows.withColumn("_then", F.date_sub("night_date", F.col("lead")))
     return now.join(past.withColumnRenamed("night_date", "_then"), ["site", "_then"], "left").drop("_then")
 

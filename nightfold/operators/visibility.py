@@ -54,15 +54,17 @@ def clear_moonless(hours: DataFrame, intervals: DataFrame, min_hours: float = 2.
 
 
 def viewing_night(moments: DataFrame, windows: DataFrame, moment: str, keys: Sequence[str] = ("site",)) -> DataFrame:
-    """The night containing a moment, otherwise the one whose middle is nearest. Only the nights of the
-    days around the moment are looked at."""
+    """The night containing a moment, otherwise the one whose middle is nearest. Each day lists the nights within
+    two days of it, and a moment picks from its day's list, so equal moments stay separate rows."""
     mid = F.unix_micros("dusk") / 2e6 + F.unix_micros("dawn") / 2e6
-    w = windows.filter("dusk is not null").withColumn("_mid", mid)
-    m = moments.withColumn("_day", F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.date_add(F.to_date(moment), i))))
-    j = m.join(w.withColumn("_day", F.col("night_date")), [*keys, "_day"])
-    inside = (F.col("dusk") <= F.col(moment)) & (F.col("dawn") >= F.col(moment))
-    pick = F.struct((~inside).alias("o"), F.abs(F.col("_mid") - F.unix_micros(moment) / 1e6).alias("d"), "night_date", "dusk", "dawn")
-    return j.groupBy(*moments.columns).agg(F.min(pick).alias("_w")).select(*moments.columns, "_w.night_date", "_w.dusk", "_w.dawn")
+    day = F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.date_add("night_date", i)))
+    w = windows.filter("dusk is not null").select(*keys, day.alias("_day"), F.struct(mid.alias("mid"), "night_date", "dusk", "dawn").alias("_n"))
+    lists = w.groupBy(*keys, "_day").agg(F.collect_list("_n").alias("_nights"))  # five nights at most
+    at = F.unix_micros(moment)
+    inside = lambda n: (F.unix_micros(n["dusk"]) <= at) & (F.unix_micros(n["dawn"]) >= at)
+    rank = lambda n: F.struct((~inside(n)).alias("o"), F.abs(n["mid"] - at / 1e6).alias("d"), n["night_date"].alias("night_date"), n["dusk"].alias("dusk"), n["dawn"].alias("dawn"))
+    j = moments.withColumn("_day", F.to_date(moment)).join(lists, [*keys, "_day"])
+    return j.withColumn("_w", F.array_min(F.transform("_nights", rank))).select(*moments.columns, "_w.night_date", "_w.dusk", "_w.dawn")
 
 
 def overlapping(periods: DataFrame, start: str, end: str, lo: Column, hi: Column) -> DataFrame:
@@ -74,9 +76,9 @@ def overlapping(periods: DataFrame, start: str, end: str, lo: Column, hi: Column
 
 
 def with_moon(tracks: DataFrame, moon: DataFrame) -> DataFrame:
-    """Each sample with the Moon's state at that moment and its separation from it."""
+    """Each sample with the Moon's state at that moment and its separation from it (NULL where no Moon sample is)."""
     m = moon.select(*NIGHT, "t", F.col("alt").alias("moon_alt"), F.col("az").alias("moon_az"), "phase_angle", "illum")
-    return tracks.join(m, [*NIGHT, "t"]).withColumn("moon_sep", K.separation_deg(F.col("az"), F.col("alt"), F.col("moon_az"), F.col("moon_alt")))
+    return tracks.join(m, [*NIGHT, "t"], "left").withColumn("moon_sep", K.separation_deg(F.col("az"), F.col("alt"), F.col("moon_az"), F.col("moon_alt")))
 
 
 def best_moments(samples: DataFrame, min_alt: Column | float = 10.0) -> DataFrame:
@@ -204,7 +206,8 @@ def pick_first(items: DataFrame, keys: Sequence[str], order: dict[str, int], kin
 
 def glow_lookup(samples: DataFrame, glow: DataFrame, alts: Sequence[float], az_step: float = 10.0, out: str = "glow") -> DataFrame:
     """Bilinear value of a glow grid (site, alt_node, az_node, value) at each sample's (alt, az); azimuth
-    wraps. Each sample meets four grid rows."""
+    wraps. A site's grid is one map of fixed size, from which a sample reads its four corners (one that is missing
+    counts as 0), so equal samples stay separate rows. Samples of a site without a grid are left out."""
     nodes = F.array(*[F.lit(float(a)) for a in alts])
     n_az = int(360 / az_step)
     alt = clip(F.col("alt"), float(alts[0]), float(alts[-1]))
@@ -213,10 +216,8 @@ def glow_lookup(samples: DataFrame, glow: DataFrame, alts: Sequence[float], az_s
     pos = F.pmod(F.col("az"), F.lit(360.0)) / az_step
     j = (F.floor(pos) % n_az).cast("int")
     fz = pos - F.floor(pos)
-    corner = lambda di, dj: F.struct(
-        (i + di).alias("alt_node"), F.pmod(j + dj, F.lit(n_az)).alias("az_node"),
-        ((fa if di else 1 - fa) * (fz if dj else 1 - fz)).alias("_w"),
-    )
-    four = samples.select(*samples.columns, F.inline(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])))
-    joined = four.join(glow, ["site", "alt_node", "az_node"])
-    return joined.groupBy(*samples.columns).agg(F.sum(F.col("_w") * F.col("value")).alias(out))
+    cell = F.struct((F.col("alt_node") * n_az + F.col("az_node")).cast("int").alias("k"), F.col("value").cast("double").alias("v"))
+    grids = glow.groupBy("site").agg(F.map_from_entries(F.collect_list(cell)).alias("_grid"))  # len(alts) * n_az values
+    read = lambda di, dj: F.coalesce(F.try_element_at("_grid", ((i + di) * n_az + F.pmod(j + dj, F.lit(n_az))).cast("int")), F.lit(0.0))
+    value = sum(((fa if di else 1 - fa) * (fz if dj else 1 - fz) * read(di, dj) for di in (0, 1) for dj in (0, 1)), F.lit(0.0))
+    return samples.join(grids, "site").withColumn(out, value).select(*samples.columns, out)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from nightfold.plans.registry import CATALOG, Entry
 
-PARTS = ("catalog_time", "catalog_verify", "catalog_quality", "catalog_spatial", "catalog_models", "catalog_sky", "catalog_forecast")
+PARTS = ("catalog_time", "catalog_verify", "catalog_quality", "catalog_spatial", "catalog_models", "catalog_sky", "catalog_forecast", "catalog_edges")
 
 
 def load_catalog() -> dict[str, Entry]:

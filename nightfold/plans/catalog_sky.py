@@ -235,8 +235,9 @@ def clear_moonless_span(spark, sf):
 
 @query("viewing_night", "J19", with_(REP, WIN) + f""", j AS (SELECT r.event_id, w.night_date, w.dusk, NOT (w.dusk <= r.valid AND w.dawn >= r.valid) AS o, abs(epoch_us(w.dusk) / 2e6 + epoch_us(w.dawn) / 2e6 - epoch_us(r.valid) / 1e6) AS d FROM rep r JOIN win w ON w.site = r.site AND w.dusk IS NOT NULL AND abs(date_diff('day', CAST(r.valid AS DATE), w.night_date)) <= 2)
   SELECT event_id, {ts('arg_min(night_date, (o, d))', 'night_date')}, {ts('arg_min(dusk, (o, d))', 'dusk')} FROM j GROUP BY event_id""")
-def viewing_night(spark, sf):
+def viewing_night(spark, sf, twice=False):
     m = reports(spark, sf).select("event_id", "site", "valid")
+    m = m.unionAll(m) if twice else m
     v = Y.viewing_night(m, windows(spark, sf), "valid")
     return v.select("event_id", text("night_date").alias("night_date"), text("dusk").alias("dusk"))
 
@@ -385,11 +386,12 @@ def events_worth_showing(spark, sf):
 @query("best_pairing_view", "W16", with_(REP) + f""", e AS (SELECT event_id, site, valid AS utc FROM rep), p AS (SELECT site, time_bucket(INTERVAL 15 MINUTE, valid) AS t, -(avg(k) - 30.0::DOUBLE) AS sun, avg(value) AS a, avg(k) * 0.9::DOUBLE AS b FROM rep GROUP BY ALL),
   j AS (SELECT e.event_id, p.t, (p.a + p.b) / 2 AS alt, abs(epoch_us(p.t) - epoch_us(e.utc)) AS g FROM e JOIN p ON p.site = e.site AND p.t BETWEEN e.utc - INTERVAL 18 HOUR AND e.utc + INTERVAL 18 HOUR AND p.sun <= -8 AND least(p.a, p.b) >= 8)
   SELECT event_id, {ts('arg_min(t, (g, t))', 'view')}, {R('arg_min(alt, (g, t))')} AS alt FROM j GROUP BY event_id""")
-def best_pairing_view(spark, sf):
+def best_pairing_view(spark, sf, twice=False):
     r = reports(spark, sf)
     slot = F.timestamp_seconds(F.floor(F.unix_timestamp("valid") / 900) * 900)
     pos = r.groupBy("site", slot.alias("t")).agg((-(F.avg("k") - 30.0)).alias("sun_alt"), F.avg("value").alias("alt_a"), F.avg("k").alias("az_a"), (F.avg("k") * 0.9).alias("alt_b"))
-    v = E.best_view(r.select("event_id", "site", F.col("valid").alias("utc")), pos)
+    e = r.select("event_id", "site", F.col("valid").alias("utc"))
+    v = E.best_view(e.unionAll(e) if twice else e, pos)
     return v.select("event_id", text("view").alias("view"), r6("alt").alias("alt"))
 
 
@@ -411,9 +413,10 @@ def dark_week(spark, sf):
 @query("glow_grid_lookup", "F18 F28", with_(*TRK) + f"""SELECT site, {NIGHT}, object, {ts('t')}, {R('v')} AS glow FROM (SELECT *, (1 - fa) * ((1 - fz) * (1 + i * 0.5 + j0 / 10.0) + fz * (1 + i * 0.5 + j1 / 10.0)) + fa * ((1 - fz) * (1 + (i + 1) * 0.5 + j0 / 10.0) + fz * (1 + (i + 1) * 0.5 + j1 / 10.0)) AS v FROM
   (SELECT *, (a - [0.0, 20.0, 45.0, 90.0][i + 1]) / ([0.0, 20.0, 45.0, 90.0][i + 2] - [0.0, 20.0, 45.0, 90.0][i + 1]) AS fa, az / 10 - floor(az / 10) AS fz, CAST(floor(az / 10) AS INTEGER) % 36 AS j0, (CAST(floor(az / 10) AS INTEGER) + 1) % 36 AS j1 FROM
     (SELECT *, {s_clip('alt', 0, 90)} AS a, least(2, {count_le([0, 20, 45, 90], s_clip('alt', 0, 90))} - 1) AS i FROM tk)))""")
-def glow_grid_lookup(spark, sf):
+def glow_grid_lookup(spark, sf, twice=False):
     grid = reports(spark, sf).select("site").distinct()
     grid = grid.withColumn("alt_node", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("az_node", F.explode(F.sequence(F.lit(0), F.lit(35))))
     grid = grid.withColumn("value", 1 + F.col("alt_node") * 0.5 + F.col("az_node") / 10.0)
-    g = Y.glow_lookup(tracks(spark, sf).select("site", "night_date", "object", "t", "alt", "az"), grid, [0, 20, 45, 90])
+    samples = tracks(spark, sf).select("site", "night_date", "object", "t", "alt", "az")
+    g = Y.glow_lookup(samples.unionAll(samples) if twice else samples, grid, [0, 20, 45, 90])
     return g.select("site", text("night_date").alias("night_date"), big("object").alias("object"), text("t").alias("t"), r6("glow").alias("glow"))

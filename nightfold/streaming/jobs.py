@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,12 +27,13 @@ from nightfold.util import as_ts
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Everything written so far (with its batch number); empty when nothing is."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("long"))
     full = StructType(list(schema.fields)).add("batch", "long")
-    return spark.read.schema(full).parquet(path)
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:

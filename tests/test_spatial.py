@@ -169,3 +169,32 @@ def test_satellite_hides_the_far_side(spark):
     # The worked example of the imager's public user guide: 33.846162 N, 84.690932 W.
     near, far = spark.createDataFrame([(33.846162, -84.690932), (0.0, 105.0)], "lat double, lon double").select(x.alias("x"), y.alias("y")).collect()
     assert (near["x"], near["y"]) == (pytest.approx(-0.024052, abs=1e-6), pytest.approx(0.095340, abs=1e-6)) and far["x"] is None
+
+
+def test_radius_join_round_the_globe(spark):
+    rnd = random.Random(11)
+    pole = [(rnd.choice([-1, 1]) * rnd.uniform(88.8, 90), rnd.uniform(-180, 180)) for _ in range(60)]
+    line = [(rnd.uniform(-60, 60), rnd.choice([-1, 1]) * rnd.uniform(179.2, 180)) for _ in range(120)]
+    rest = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(60)]
+    pts = [(10.0, 179.95), (10.0, -179.95), (89.9, 0.0), (89.9, 90.0), (-90.0, 5.0), (90.0, 0.0), *pole, *line, *rest]
+    a = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "a int, lat double, lon double")
+    b = a.withColumnRenamed("a", "b")
+
+    km = lambda p, q: hav(*p, *q)
+    for r in (50.0, 400.0, 9000.0):
+        got = {(x["a"], x["b"]) for x in P.radius_join(a, b, r).select("a", "b").collect()}
+        assert got == {(i, j) for i, p in enumerate(pts) for j, q in enumerate(pts) if km(p, q) <= r}
+    keyed = a.withColumn("k", F.col("a") % 2)
+    other = b.filter("b % 3 = 0").withColumn("k", F.col("b") % 2)
+    got = {x["a"] for x in P.not_near(keyed, other, "k", 50.0).collect()}
+    assert got == {i for i, p in enumerate(pts) if not any(j % 3 == 0 and j % 2 == i % 2 and km(p, q) < 50 for j, q in enumerate(pts))}
+
+
+def test_nearest_within_a_limit(spark):
+    rnd = random.Random(12)
+    left = spark.createDataFrame([(i, rnd.choice("abz"), rnd.uniform(30, 31), rnd.uniform(10, 11), rnd.uniform(0, 40)) for i in range(80)], "i int, k string, lat double, lon double, lim double")
+    right = spark.createDataFrame([(i, rnd.choice("ab"), rnd.uniform(30, 31), rnd.uniform(10, 11)) for i in range(60)], "r int, k string, lat double, lon double")
+    whole = P.nearest(left, right, "r", k=2, keys=["k"]).filter("km <= lim")
+    cut = P.nearest(left, right, "r", k=2, keys=["k"], within=F.col("lim"))
+    rows = lambda d: sorted((x["i"], x["rank"], x["r"]) for x in d.collect())
+    assert rows(whole) == rows(cut) and rows(cut)

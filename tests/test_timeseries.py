@@ -116,3 +116,38 @@ def test_wall_clock_across_dst(spark):
     got = sorted(r["hour"] for r in proxy_night_hours(days, ["site"], "d", "America/Los_Angeles", [23, 0, 1, 2, 3]).collect())
     # Spring: 02:00 moves to 03:00 and merges with it. Autumn: the ambiguous 01:00 is dropped.
     assert len(got) == 4 + 4
+
+
+def test_long_windows_in_words_and_by_blocks(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(8)
+    start = datetime(2024, 3, 1)
+    lengths = {"a": 62, "b": 63, "c": 64, "d": 99, "e": 200}
+    covers, rows = {}, []
+    for k, n in lengths.items():
+        covers[k] = [rnd.choice([0.0, 0.1, 0.1, 0.1, None if rnd.random() < 0.2 else 0.05, 0.9 if rnd.random() < 0.2 else 0.0]) for _ in range(n)]
+        if k == "c":
+            covers[k] = [0.0] * n
+        rows += [(k, start + timedelta(hours=i), c) for i, c in enumerate(covers[k]) if c is not None]
+    windows = spark.createDataFrame([(k, "p", start, start + timedelta(hours=n - 1)) for k, n in lengths.items()], "site string, night_date string, dusk timestamp, dawn timestamp")
+    series = spark.createDataFrame(rows, "site string, hour timestamp, cover double")
+
+    def longest(c):
+        best = run = 0
+        for v in c:
+            run = run + 1 if v is not None and v <= 0.2 else 0
+            best = max(best, run)
+        return float(best)
+
+    for words in (1, 2, 4):
+        out = S.run_summary(windows, series, ["site"], "night_date", "dusk", "dawn", "cover", words=words).collect()
+        assert {r["site"]: (r["n_hours"], r["longest_clear_run"]) for r in out} == {k: (n, longest(covers[k])) for k, n in lengths.items()}
+
+
+def test_slots_beyond_the_words_are_an_error(spark):
+    h = spark.createDataFrame([("n", i, 0.0) for i in range(70)], "night string, slot int, cover double")
+    bad = h.groupBy("night").agg(*S.summary_aggs(F.col("cover"), S.RunRules()))
+    with pytest.raises(Exception, match="needs more words"):
+        bad.collect()
