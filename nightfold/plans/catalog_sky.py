@@ -297,11 +297,24 @@ def figure_positions(spark, sf):
     return p.select("figure", *[r6(c).alias(c) for c in ("ra", "dec", "mag", "faint_mag")])
 
 
-@query("band_description", "A37")
+BAND = (
+    "bd AS (SELECT site, night_date, t, object * 9.0::DOUBLE AS l, alt, az, 'C' || (object % 12) AS con FROM tk)",
+    "bw AS (SELECT *, coalesce(lead(alt) OVER w, first_value(alt) OVER w) AS a1, coalesce(lead(az) OVER w, first_value(az) OVER w) AS z1 FROM bd WINDOW w AS (PARTITION BY site, night_date, t ORDER BY l))",
+    "bz AS (SELECT *, ((az + alt / (alt - a1) * ((z1 - az + 540) % 360 - 180)) % 360 + 360) % 360 AS way FROM bw WHERE (alt > 0) <> (a1 > 0))",
+    f"be AS (SELECT site, night_date, t, string_agg(c, ',' ORDER BY l) AS ends FROM (SELECT *, {comp('way', G.COMPASS16)} AS c, row_number() OVER (PARTITION BY site, night_date, t ORDER BY l) AS k FROM bz) WHERE k <= 2 GROUP BY ALL)",
+    "ba AS (SELECT site, night_date, t, con, min(r) AS r FROM (SELECT *, row_number() OVER (PARTITION BY site, night_date, t ORDER BY -alt, con) AS r FROM bd WHERE alt > 15) GROUP BY ALL)",
+    "bt AS (SELECT site, night_date, t, string_agg(con, ',' ORDER BY r) AS through FROM (SELECT *, row_number() OVER (PARTITION BY site, night_date, t ORDER BY r) AS k FROM ba) WHERE k <= 4 GROUP BY ALL)",
+    "bp AS (SELECT site, night_date, t, max(alt) AS top_alt, arg_min(az, (-alt, l)) AS top_az, max(CASE WHEN abs((l + 180) % 360 - 180) <= 10 THEN alt END) AS core_alt FROM bd GROUP BY ALL)",
+)
+
+
+@query("band_description", "A37", with_(*TRK, *BAND) + f"""SELECT site, {NIGHT}, {ts('t')}, {R('top_alt')} AS top_alt, {R('top_az')} AS top_az, coalesce(ends, '') AS ends, {R('core_alt')} AS core_alt, coalesce(through, '') AS through
+  FROM bp LEFT JOIN be USING (site, night_date, t) LEFT JOIN bt USING (site, night_date, t) WHERE top_alt > 0""")
 def band_description(spark, sf):
     con = F.concat(F.lit("C"), (F.col("object") % 12).cast("string"))
     band = tracks(spark, sf).withColumn("l", F.col("object") * 9.0).withColumn("con", con)
-    return Y.describe_band(band, ["site", "night_date", "t"])
+    d = Y.describe_band(band, ["site", "night_date", "t"])
+    return d.select("site", text("night_date").alias("night_date"), text("t").alias("t"), r6("top_alt").alias("top_alt"), r6("top_az").alias("top_az"), F.array_join("ends", ",").alias("ends"), r6("core_alt").alias("core_alt"), F.array_join("through", ",").alias("through"))
 
 
 # ---------- showers and pairings ----------

@@ -260,7 +260,19 @@ def region_quotas(spark, sf):
     return P.quotas(stations(spark, sf), 60, 2)
 
 
-@query("spread_out_selection", "O5")
+def _picks(count=15, per_region=3):
+    """The greedy walk written out: one CTE a pick, farthest from all earlier ones among regions that are still open."""
+    far = f"sqrt(pow({hav('s.lat', 's.lon', 'k.lat', 'k.lon')}, 2) + pow((s.elevation_m - k.elevation_m) * 0.1, 2))"
+    ctes = ["so AS (SELECT id, region, lat, lon, elevation_m FROM st WHERE online)", "ct AS (SELECT avg(lat) AS lat, avg(lon) AS lon FROM so)",
+            f"p0 AS (SELECT 0 AS pick, s.* FROM so s, ct k ORDER BY round({hav('s.lat', 's.lon', 'k.lat', 'k.lon')}, 6), s.id LIMIT 1)"]
+    for i in range(1, count):
+        ctes.append(f"k{i} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM p{j}' for j in range(i))})")
+        ctes.append(f"""p{i} AS MATERIALIZED (SELECT {i} AS pick, s.id, s.region, s.lat, s.lon, s.elevation_m FROM so s, k{i} k
+  WHERE s.id NOT IN (SELECT id FROM k{i}) AND s.region NOT IN (SELECT region FROM k{i} GROUP BY region HAVING count(*) >= {per_region}) GROUP BY ALL ORDER BY round(min({far}), 6) DESC, s.id LIMIT 1)""")
+    return [*ctes, f"pk AS ({' UNION ALL '.join(f'SELECT * FROM p{j}' for j in range(count))})"]
+
+
+@query("spread_out_selection", "O5", with_(PLACES, STA, *_picks()) + "SELECT pick, id, region FROM pk")
 def spread_out_selection(spark, sf):
     st = stations(spark, sf)
     quota = {f"R{i}": 3 for i in range(5)}
@@ -497,7 +509,19 @@ def glow_over_the_sky(spark, sf):
     return s.select("site", big("alt").alias("alt"), big("az").alias("az"), r6("value").alias("value"))
 
 
-@query("spaced_dark_spots", "O4", None)
+def _spot(r):
+    return f"d{r} AS (SELECT site, lat2, lon2, sqm, km FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, lat2, lon2) AS rn FROM (SELECT *, max(sqm) OVER (PARTITION BY site) AS best FROM nr WHERE km <= {r}.0) WHERE sqm >= best - 0.15) WHERE rn = 1)"
+
+
+SPACED = (
+    *[_spot(r) for r in (25, 50, 100)],
+    "o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY -sqm, lat2, lon2) AS n FROM (SELECT DISTINCT site, sqm, lat2, lon2 FROM (SELECT * FROM d25 UNION ALL SELECT * FROM d50 UNION ALL SELECT * FROM d100) WHERE km >= 1.5))",
+    f"o2 AS (SELECT b.* FROM o b JOIN o a ON a.site = b.site AND a.n = 1 WHERE b.n = 2 AND {hav('a.lat2', 'a.lon2', 'b.lat2', 'b.lon2')} >= 4.0)",
+    f"o3 AS (SELECT c.* FROM o c JOIN o a ON a.site = c.site AND a.n = 1 LEFT JOIN o2 ON o2.site = c.site WHERE c.n = 3 AND {hav('a.lat2', 'a.lon2', 'c.lat2', 'c.lon2')} >= 4.0 AND (o2.site IS NULL OR {hav('o2.lat2', 'o2.lon2', 'c.lat2', 'c.lon2')} >= 4.0))",
+)
+
+
+@query("spaced_dark_spots", "O4", with_(SITES, CELLS, NEAR, *SPACED) + f"SELECT site, {R('sqm')} AS sqm, {R('lat2')} AS lat2, {R('lon2')} AS lon2 FROM (SELECT * FROM o WHERE n = 1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o3)")
 def spaced_dark_spots(spark, sf):
     near = L.around(sites(spark, sf), cells(spark, sf), 100.0)
     spots = None
