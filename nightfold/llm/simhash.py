@@ -219,18 +219,3 @@ def groups_of(rows: DataFrame, id_col: str) -> DataFrame:
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     return stored(rooted.select("fp", "root").join(lows, "root").select("fp", "root", "component_id"), "groups")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """The rows of `docs`, all columns, of which exactly one stays per near-duplicate group: the smallest id
-    (a null id only where the group has no other), and among rows of that id any one.
-
-    Null and empty texts form one group. Works for any other columns; names beginning with `_nd_` are taken.
-    """
-    rows = stored(with_fingerprint(docs, text_col, "_nd_fp", words).withColumn("_nd_row", F.monotonically_increasing_id()), "rows")
-    slim = rows.select(F.col("_nd_fp").alias("fp"), F.col(id_col).cast("long").alias("id"), F.col("_nd_row").alias("row"))
-    groups = groups_of(slim, "id")
-    first = slim.groupBy("fp", "id").agg(F.min("row").alias("row"))  # repeated ids
-    first = stored(first.join(groups, "fp").where("id <=> component_id"), "first")
-    chosen = stored(first.groupBy("root").agg(F.min("row").alias("_nd_row")).select("_nd_row"), "chosen")
-    return rows.join(chosen, "_nd_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
