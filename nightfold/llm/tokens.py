@@ -27,7 +27,9 @@ END = 0
 BLOCK = 1024
 MAX_BITS = 20
 CHUNK = 1 << 20  # ids that are coded or decoded at once, whole documents
-PIECES = 500_000  # cached pieces of text in a worker
+PIECES = 500_000  # known pieces of text in a worker, more only if one call has more
+WORDS = 1_000_000  # known words in a worker
+SIGNS = frozenset(".,;:!?")
 #: Pre-tokenisation of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,50 +56,53 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cuts = self.cuts and all(s and not s[0].isspace() and not s[-1].isspace() and " " not in s for s in self.special) and not any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
-        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+        self.words: dict[str, bytes] = {}  # ids of what pre-tokenisation separates
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # of pieces at the beginning of a text, and after a space
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
 
-    def piece(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.library(text)
-        words, out = self.words, []
-        for w in _PRE.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = self.library(w)
-                if len(w) <= 64:
-                    if len(words) >= PIECES:
-                        words.clear()
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of one text, little-endian, without an end id; null counts as empty."""
-        if not text:
-            return b""
-        if not self.cuts:
-            return self.library(text)
-        pieces = _CUT.split(text) if _SPACES.search(text) else text.split(" ")
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
-
-
-class _Pieces(dict):
-    """Ids of pieces with a fixed beginning, filled on demand."""
-
-    def __init__(self, encoder: Encoder, begin: str):
-        self.encoder, self.begin = encoder, begin
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece(self.begin + piece)
-        if len(piece) <= 64:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def _learn_words(self, seen: set[str]) -> None:
+        """Encodes those of `seen` that are not known yet, all in one call."""
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+            new = seen
+        if not new:
+            return
+        words = list(new)
+        found = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+        owner = np.array(found.word_ids, dtype=np.int64)
+        cut = np.searchsorted(owner, np.arange(len(words) + 1)) * self.type.itemsize
+        ids = np.array(found.ids, dtype=self.type).tobytes()
+        self.words.update((w, ids[a:b]) for w, a, b in zip(words, cut.tolist(), cut[1:].tolist()))
+
+    def _learn(self, known: dict[str, bytes], begin: str, seen: set[str]) -> None:
+        """Makes `known` hold the ids of every piece in `seen`."""
+        new = seen.difference(known)
+        if len(known) + len(new) > PIECES:
+            known.clear()
+            new = seen
+        plain = [p for p in new if p.isalpha()]
+        signed = [p for p in new if p[-1:] in SIGNS and p[:-1].isalpha()]  # as the pattern cuts them, without its cost
+        other = {p: _PRE.findall(begin + p) for p in new if not p.isalpha() and not (p[-1:] in SIGNS and p[:-1].isalpha())}
+        whole, stems = [begin + p for p in plain], [begin + p[:-1] for p in signed]
+        self._learn_words(set(whole).union(stems, *other.values(), SIGNS))
+        get = self.words.__getitem__
+        known.update(zip(plain, map(get, whole)))
+        known.update((p, get(w) + get(p[-1])) for p, w in zip(signed, stems))
+        known.update((p, b"".join(map(get, own))) for p, own in other.items())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts, little-endian, without an end id; null counts as empty."""
+        if not self.cuts or any(s in t for t in texts if t for s in self.special):
+            return [self.library(t) if t else b"" for t in texts] if len(texts) < 2 else [x for t in texts for x in self.encode([t])]
+        cut = [(_CUT.split(t) if _SPACES.search(t) else t.split(" ")) if t else [""] for t in texts]
+        first, later = self.pieces
+        self._learn(first, "", {p[0] for p in cut})
+        self._learn(later, " ", set().union(*(p[1:] for p in cut)))
+        get = later.__getitem__
+        return [first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
 
 
 _encoders: dict[str, Encoder] = {}  # one per worker and file
@@ -240,7 +245,7 @@ def _encode(path: str) -> Callable:
             texts = b.column(1)
             for lo in range(0, len(texts), 1024):
                 part = b.slice(lo, 1024)
-                ids = [encoder.encode(t.as_py()) + end for t in part.column(1)]
+                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run

@@ -61,15 +61,20 @@ def test_pack_and_unpack():
     assert (tokens.unpack(one, np.array([0]), n[5:6], offsets[first[5] : first[6]], table, top) == ids[n[:5].sum() : n[:6].sum()]).all()
 
 
-def test_encoder_equals_the_library():
+def test_encoder_equals_the_library(monkeypatch):
     t = Tokenizer.from_file(PATH)
     e = tokens.Encoder(PATH)
     assert e.cuts
     rng = random.Random(3)
     odd = ["a", "B", " ", "  ", "\n", "\t", ",", ".", "'s", "'", "é", "ß", "1", "²", "<|endoftext|>", " ", " ", "\x1c", "日本", "🙂", "!!", "́", "Ⅷ", "word", "don't"]
     texts = ["", " ", "a b", " a", "a ", "x  y", "a \n b"] + ["".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    for x in texts:
-        assert np.frombuffer(e.encode(x), e.type).tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    for x, got in zip(texts, e.encode(texts)):
+        assert np.frombuffer(got, e.type).tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    monkeypatch.setattr(tokens, "PIECES", 40)
+    monkeypatch.setattr(tokens, "WORDS", 30)
+    small = tokens.Encoder(PATH)
+    assert [y for i in range(0, len(texts), 50) for y in small.encode(texts[i : i + 50])] == e.encode(texts)
+    assert e.encode([]) == [] and e.encode([None]) == [b""]
 
 
 def test_files_round_trip_with_odd_rows(spark, tmp_path):
