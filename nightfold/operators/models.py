@@ -143,11 +143,12 @@ def _pass(rows: DataFrame, n_keys: int, work: list, kind: str) -> dict[int, np.n
         if acc:
             yield pd.DataFrame({"id": list(acc), "v": [a.tolist() for a in acc.values()]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:  # one short vector per partition
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0).tolist()]})
-
-    parts = rows.mapInPandas(sums, "id int, v array<double>")
-    return {r["id"]: np.array(r["v"]) for r in parts.groupBy("id").applyInPandas(add, "id int, v array<double>").collect()}
+    # Element-wise sums: partial ones in each task, then one number per fit and place, however many partitions.
+    parts = rows.mapInPandas(sums, "id int, v array<double>").select("id", F.posexplode("v").alias("at", "x"))
+    out: dict[int, dict[int, float]] = {}
+    for r in parts.groupBy("id", "at").agg(F.sum("x").alias("x")).collect():
+        out.setdefault(r["id"], {})[r["at"]] = r["x"]
+    return {i: np.array([v[k] for k in range(len(v))]) for i, v in out.items()}
 
 
 def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Population, dict], max_passes: int = 200) -> None:

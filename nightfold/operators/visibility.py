@@ -55,7 +55,8 @@ def clear_moonless(hours: DataFrame, intervals: DataFrame, min_hours: float = 2.
 
 def viewing_night(moments: DataFrame, windows: DataFrame, moment: str, keys: Sequence[str] = ("site",)) -> DataFrame:
     """The night containing a moment, otherwise the one whose middle is nearest. Each day lists the nights within
-    two days of it, and a moment picks from its day's list, so equal moments stay separate rows."""
+    two days of it, and a moment picks from its day's list, so equal moments stay separate rows; NULLs where no
+    night is that near."""
     mid = F.unix_micros("dusk") / 2e6 + F.unix_micros("dawn") / 2e6
     day = F.explode(F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.date_add("night_date", i)))
     w = windows.filter("dusk is not null").select(*keys, day.alias("_day"), F.struct(mid.alias("mid"), "night_date", "dusk", "dawn").alias("_n"))
@@ -63,7 +64,7 @@ def viewing_night(moments: DataFrame, windows: DataFrame, moment: str, keys: Seq
     at = F.unix_micros(moment)
     inside = lambda n: (F.unix_micros(n["dusk"]) <= at) & (F.unix_micros(n["dawn"]) >= at)
     rank = lambda n: F.struct((~inside(n)).alias("o"), F.abs(n["mid"] - at / 1e6).alias("d"), n["night_date"].alias("night_date"), n["dusk"].alias("dusk"), n["dawn"].alias("dawn"))
-    j = moments.withColumn("_day", F.to_date(moment)).join(lists, [*keys, "_day"])
+    j = moments.withColumn("_day", F.to_date(moment)).join(lists, [*keys, "_day"], "left")
     return j.withColumn("_w", F.array_min(F.transform("_nights", rank))).select(*moments.columns, "_w.night_date", "_w.dusk", "_w.dawn")
 
 
@@ -115,13 +116,18 @@ def stars_visible(stars: DataFrame) -> DataFrame:
 def group_magnitude(clusters: DataFrame, stars: DataFrame, nth: int = 3) -> DataFrame:
     """Magnitude of the nth brightest star within each cluster's radius (the faintest if there are fewer).
 
-    Stars are met through one-degree declination zones, each cluster listing the zones its radius spans.
+    Stars are met through cells of one degree of declination and 15 of right ascension; a cluster lists those that its
+    radius touches, all around where it reaches a pole.
     """
     lo, hi = F.floor(F.col("dec") - F.col("radius")), F.floor(F.col("dec") + F.col("radius"))
-    c = clusters.withColumn("_z", F.explode(F.sequence(lo, hi)))
-    s = stars.select(F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "mag", F.floor("dec").alias("_z"))
+    r, d = F.radians("radius"), F.radians("dec")
+    half = F.when(F.abs(F.col("dec")) + F.col("radius") < 90, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(r) / F.cos(d)))) + 1e-9)
+    span = F.sequence(F.floor((F.col("ra") - half) / 15), F.floor((F.col("ra") + half) / 15))
+    cells = F.array_distinct(F.transform(F.coalesce(span, F.sequence(F.lit(0), F.lit(23)).cast("array<bigint>")), lambda a: F.pmod(a, F.lit(24))))
+    c = clusters.withColumn("_z", F.explode(F.sequence(lo, hi))).withColumn("_a", F.explode(cells))
+    s = stars.select(F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "mag", F.floor("dec").alias("_z"), F.pmod(F.floor(F.col("ra") / 15), F.lit(24)).alias("_a"))
     sep = K.separation_deg(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))
-    near = c.join(s, "_z").filter(sep <= F.col("radius"))
+    near = c.join(s, ["_z", "_a"]).filter(sep <= F.col("radius"))
     w = W.partitionBy("cluster").orderBy("mag", "_ra", "_dec")
     top = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= nth)
     return clusters.select("cluster").join(top.groupBy("cluster").agg(F.max("mag").alias("mag")), "cluster", "left")
@@ -207,7 +213,7 @@ def pick_first(items: DataFrame, keys: Sequence[str], order: dict[str, int], kin
 def glow_lookup(samples: DataFrame, glow: DataFrame, alts: Sequence[float], az_step: float = 10.0, out: str = "glow") -> DataFrame:
     """Bilinear value of a glow grid (site, alt_node, az_node, value) at each sample's (alt, az); azimuth
     wraps. A site's grid is one map of fixed size, from which a sample reads its four corners (one that is missing
-    counts as 0), so equal samples stay separate rows. Samples of a site without a grid are left out."""
+    counts as 0), so equal samples stay separate rows; NULL at a site without a grid."""
     nodes = F.array(*[F.lit(float(a)) for a in alts])
     n_az = int(360 / az_step)
     alt = clip(F.col("alt"), float(alts[0]), float(alts[-1]))
@@ -220,4 +226,4 @@ def glow_lookup(samples: DataFrame, glow: DataFrame, alts: Sequence[float], az_s
     grids = glow.groupBy("site").agg(F.map_from_entries(F.collect_list(cell)).alias("_grid"))  # len(alts) * n_az values
     read = lambda di, dj: F.coalesce(F.try_element_at("_grid", ((i + di) * n_az + F.pmod(j + dj, F.lit(n_az))).cast("int")), F.lit(0.0))
     value = sum(((fa if di else 1 - fa) * (fz if dj else 1 - fz) * read(di, dj) for di in (0, 1) for dj in (0, 1)), F.lit(0.0))
-    return samples.join(grids, "site").withColumn(out, value).select(*samples.columns, out)
+    return samples.join(grids, "site", "left").withColumn(out, F.when(F.col("_grid").isNotNull(), value)).select(*samples.columns, out)

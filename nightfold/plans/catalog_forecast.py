@@ -98,21 +98,20 @@ def night_odds(spark, sf):
     return s.groupBy("site", "night_date").agg((1 - F.avg("cover")).alias("p"))
 
 
-@query("next_better_night", "O7", with_(*BASE, FC, FEA) + f""", q AS (SELECT site, CAST(month(night_date) * 10 + floor(day(night_date) / 7) AS BIGINT) AS week, night_date, gfs_frac_clear AS p FROM fe WHERE lead = 1), f AS (SELECT site, week, min(night_date) AS d0, any_value(p0) AS p0 FROM (SELECT *, first_value(p) OVER (PARTITION BY site, week ORDER BY night_date) AS p0 FROM q) GROUP BY ALL),
-  l AS (SELECT site, week, arg_min(night_date, (-p, night_date)) AS night_date, max(p) AS p, any_value(p0) AS p0 FROM q JOIN f USING (site, week) WHERE night_date > d0 AND p IS NOT NULL AND p0 IS NOT NULL GROUP BY ALL) SELECT site, week, {NIGHT}, {R('p')} AS p FROM l WHERE p >= greatest(0.6, p0 + 0.25)""")
+@query("next_better_night", "O7", with_(*BASE, FC, FEA) + f""", q AS (SELECT site, lead, CAST(month(night_date) * 10 + floor(day(night_date) / 7) AS BIGINT) AS week, night_date, gfs_frac_clear AS p FROM fe), f AS (SELECT site, lead, week, min(night_date) AS d0, any_value(p0) AS p0 FROM (SELECT *, first_value(p) OVER (PARTITION BY site, lead, week ORDER BY night_date) AS p0 FROM q) GROUP BY ALL),
+  l AS (SELECT site, lead, week, arg_min(night_date, (-p, night_date)) AS night_date, max(p) AS p, any_value(p0) AS p0 FROM q JOIN f USING (site, lead, week) WHERE night_date > d0 AND p IS NOT NULL AND p0 IS NOT NULL GROUP BY ALL) SELECT site, lead, week, {NIGHT}, {R('p')} AS p FROM l WHERE p >= greatest(0.6, p0 + 0.25)""")
 def next_better_night(spark, sf):
     d = F.col("night_date")
-    n = features(spark, sf).filter("lead = 1").select("site", "night_date", (F.month(d) * 10 + F.floor(F.dayofmonth(d) / 7)).cast("long").alias("week"), F.col("gfs_frac_clear").alias("p"))
-    b = C.next_better_night(n, ["site", "week"])
-    return b.select("site", "week", text("night_date").alias("night_date"), r6("p").alias("p"))
+    n = features(spark, sf).select("site", "lead", "night_date", (F.month(d) * 10 + F.floor(F.dayofmonth(d) / 7)).cast("long").alias("week"), F.col("gfs_frac_clear").alias("p"))
+    b = C.next_better_night(n, ["site", "lead", "week"])
+    return b.select("site", "lead", "week", text("night_date").alias("night_date"), r6("p").alias("p"))
 
 
-@query("place_ranking", "W15", with_(REP) + """SELECT site, user_id AS place, row_number() OVER (PARTITION BY site ORDER BY met DESC, p DESC NULLS LAST, sqm DESC NULLS LAST, user_id) AS rank FROM (SELECT site, user_id, max(k) % 4 AS met, CASE WHEN max(k) % 5 > 0 THEN avg(k) / 100 END AS p, 18 + avg(value) / 20 AS sqm FROM rep GROUP BY ALL)
-  QUALIFY rank <= 10""")
+@query("place_ranking", "W15", with_(REP) + """SELECT site, user_id AS place, row_number() OVER (PARTITION BY site ORDER BY met DESC, p DESC NULLS LAST, sqm DESC NULLS LAST, user_id) AS rank FROM (SELECT site, user_id, max(k) % 4 AS met, CASE WHEN max(k) % 5 > 0 THEN avg(k) / 100 END AS p, 18 + avg(value) / 20 AS sqm FROM rep GROUP BY ALL)""")
 def place_ranking(spark, sf):
     k = F.max("k")
     p = reports(spark, sf).groupBy("site", F.col("user_id").alias("place")).agg((k % 4).alias("met"), F.when(k % 5 > 0, F.avg("k") / 100).alias("p"), (18 + F.avg("value") / 20).alias("sqm"))
-    return C.rank_places(p, ["site"]).filter("rank <= 10").select("site", "place", big("rank").alias("rank"))  # the list's first ten
+    return C.rank_places(p, ["site"]).select("site", "place", big("rank").alias("rank"))
 
 
 @query("odds_for_event_places", "J21", with_(*BASE, PH) + f"SELECT r.event_id, {R('p')} AS odds FROM rep r LEFT JOIN ph ON ph.site = r.site AND ph.night_date = CAST(r.valid - INTERVAL 12 HOUR AS DATE)")

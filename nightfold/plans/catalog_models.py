@@ -140,7 +140,7 @@ def shipping_decision(spark, sf):
 
 @query("weight_shares", "F25 Q13", None)
 def weight_shares(spark, sf):
-    d = dataset(spark, sf).filter("lead = 1 and usable_era5 is not null").withColumn("y", F.col("usable_era5").cast("int"))
+    d = dataset(spark, sf).filter("usable_era5 is not null").withColumn("y", F.col("usable_era5").cast("int"))
     feats = [f"{m}_{f}" for m in MODELS for f in N.MODEL_INPUTS]
     arts = M.fit_logistic_grid(d, ["lead"], feats, "y", "night_date", folds=2, c_grid=(0.1,))
     return M.weight_shares(_artifact_rows(spark, arts), ["lead"], list(MODELS))
@@ -149,7 +149,7 @@ def weight_shares(spark, sf):
 @query("largest_coefficients", "O10 M36 Q13", None)
 def largest_coefficients(spark, sf):
     arts = M.fit_logistic_grid(shipments(spark, sf), KEYS, FEATS, "y", "day", c_grid=(1.0,), folds=2)
-    return M.largest_coefficients(_artifact_rows(spark, arts), ["lead"], 3)
+    return M.largest_coefficients(_artifact_rows(spark, arts), ["lead"], 12)
 
 
 @query("trained_before_test", "M1", with_(SHIP) + "SELECT lead, CAST(max(day) AS VARCHAR) AS train_end FROM sp GROUP BY lead HAVING CAST(max(day) AS VARCHAR) >= '2001-08-01'")

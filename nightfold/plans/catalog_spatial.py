@@ -216,13 +216,13 @@ def nearest_darker_site(spark, sf):
     return P.nearest_darker(n.drop("sqm"), n, 20.3).select("site", "place", r6("km").alias("km"))
 
 
-@query("search_ranking", "O6 P24", with_(PLACES) + "SELECT * FROM (SELECT county, place_id, row_number() OVER (PARTITION BY county ORDER BY kind = 'zip', population DESC, name, place_id) AS place FROM pl) WHERE place <= 20")
+@query("search_ranking", "O6 P24", with_(PLACES) + "SELECT county, place_id, row_number() OVER (PARTITION BY county ORDER BY kind = 'zip', population DESC, name, place_id) AS place FROM pl")
 def search_ranking(spark, sf):
     from pyspark.sql import Window as W
 
     p = places(spark, sf)
     rank = F.row_number().over(W.partitionBy("county").orderBy(*P.search_order(p), "place_id"))
-    return p.select("county", "place_id", big(rank).alias("place")).filter("place <= 20")  # a menu's first entries
+    return p.select("county", "place_id", big(rank).alias("place"))
 
 
 @query("bounds_check", "P22", with_(PLACES) + "SELECT lat BETWEEN 34.0 AND 42.0 AND lon BETWEEN -124.0 AND -115.0 AS inside, count(*) AS n, count(CASE WHEN elevation_m > 0 THEN elevation_m END) AS known_elevation FROM pl GROUP BY 1")
