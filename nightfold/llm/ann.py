@@ -9,7 +9,9 @@ SUCCESS, in each of TABLES tables; what the tables find is merged and ranked by
 c is the SAMPLE_QUANTILE quantile of the cosine of the k-th neighbour over SAMPLE queries, found exactly.
 
 m grows with the logarithm of the number of vectors, so that buckets keep their mean size. Equal vectors are one
-vector with its k + 1 smallest ids: no more of them can be among the k nearest of anything. A query that found fewer
+vector with its k + 1 smallest ids: no more of them can be among the k nearest of anything. A bucket with more than
+SPLIT vectors (and more than a share of 1 / HOT of all: so at most TABLES * HOT buckets) is cut into pieces that lie in
+different parts, each of which the bucket's queries visit. A query that found fewer
 than k vectors (few or strange data) is repeated against all buckets.
 """
 
@@ -32,6 +34,8 @@ BUCKET = 64  # vectors in a bucket, about
 SAMPLE = 32
 SAMPLE_QUANTILE = 0.25
 PART_ROWS = 50_000  # hashed vectors that a task holds
+SPLIT = 256
+HOT = 10_000
 SEED = 20_240_607
 
 
@@ -117,17 +121,48 @@ def _placed(part: np.ndarray, kind: int, bucket: np.ndarray, buckets: pa.Array,
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(n, kind), pa.int32()), pa.array(bucket, pa.int64()), buckets, cid, low, v], names=["part", "kind", "bucket", "buckets", "cid", "low", "v"])
 
 
-def _index_rows(hashing: Hashing, parts: int):
+class Places:
+    """Which part holds a bucket, or a piece of one that is cut."""
+
+    def __init__(self, parts: int, pieces: dict[int, int]):
+        order = sorted(pieces)
+        self.parts, self.cut = parts, np.array(order, dtype=np.int64)
+        self.counts = np.array([pieces[b] for b in order], dtype=np.int64)
+
+    def pieces(self, keys: np.ndarray) -> np.ndarray:
+        """In how many pieces each bucket is."""
+        out = np.ones(len(keys), dtype=np.int64)
+        if len(self.cut):
+            at = np.minimum(np.searchsorted(self.cut, keys), len(self.cut) - 1)
+            out = np.where(self.cut[at] == keys, self.counts[at], out)
+        return out
+
+    def part(self, keys: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) + piece.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(7)) % np.uint64(self.parts)).astype(np.int64)
+
+
+def _bucket_rows(hashing: Hashing):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashing.buckets(_matrix(b.column(0)))))], names=["bucket"])
+
+    return run
+
+
+def _index_rows(hashing: Hashing, places: Places):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
+                spread = b.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 for key in hashing.buckets(_matrix(b.column(2))):
-                    yield _placed(key.view(np.uint64) % np.uint64(parts), 0, key, pa.nulls(len(key), pa.list_(pa.int64())), *b.columns)
+                    piece = spread % places.pieces(key).astype(np.uint64)
+                    yield _placed(places.part(key, piece), 0, key, pa.nulls(len(key), pa.list_(pa.int64())), *b.columns)
 
     return run
 
 
-def _query_rows(hashing: Hashing, parts: int, everywhere: bool):
+def _query_rows(hashing: Hashing, places: Places, everywhere: bool):
     """A query goes once to each part that has buckets of its, with those buckets (none: all of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +171,16 @@ def _query_rows(hashing: Hashing, parts: int, everywhere: bool):
                 some = b.slice(lo, 256)
                 row, part, lists = [], [], []
                 if everywhere:
-                    row, part = np.repeat(np.arange(some.num_rows), parts), np.tile(np.arange(parts), some.num_rows)
+                    row, part = np.repeat(np.arange(some.num_rows), places.parts), np.tile(np.arange(places.parts), some.num_rows)
                     lists = [np.zeros(0, np.int64)] * len(row)
                 else:
                     for i, keys in enumerate(hashing.probes(_matrix(some.column(2)))):
-                        at = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                        order = np.argsort(at, kind="stable")
+                        n = places.pieces(keys)
+                        keys = np.repeat(keys, n)
+                        at = places.part(keys, np.arange(len(keys)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n))
+                        order = np.lexsort((keys, at))
+                        fresh = np.r_[True, (at[order][1:] != at[order][:-1]) | (keys[order][1:] != keys[order][:-1])]
+                        order = order[fresh]  # pieces of a bucket may share a part
                         own, first = np.unique(at[order], return_index=True)
                         lists += np.split(keys[order], first[1:])
                         part += own.tolist()
@@ -255,12 +294,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     m = max(3, round(log(max(2.0, facts.n / BUCKET)) / log(3.2)))
     hashing = Hashing(lengths.d, m, scale, _kth_cosine(slim, scale, min(k, facts.n - 1)))
     parts = max(shuffle_partitions(spark), ceil(TABLES * facts.n / PART_ROWS))
-    index = slim.mapInArrow(_index_rows(hashing, parts), ROW)
+    most = max(SPLIT, facts.n // HOT)
+    full = slim.select("v").mapInArrow(_bucket_rows(hashing), "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    places = Places(parts, {r.bucket: ceil(r.n / most) for r in full.collect()})  # at most TABLES * HOT
+    index = slim.mapInArrow(_index_rows(hashing, places), ROW)
     wanted = stored(slim.join(asked.select("cid").distinct(), "cid", "left_semi"), "queries")
 
     def found(queries: DataFrame, everywhere: bool) -> DataFrame:
         """(qid, vec_id, score): the k + 1 best ids for each queried vector."""
-        both = index.unionAll(queries.select("cid", "low", "v").mapInArrow(_query_rows(hashing, parts, everywhere), ROW))
+        both = index.unionAll(queries.select("cid", "low", "v").mapInArrow(_query_rows(hashing, places, everywhere), ROW))
         best = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "bucket").mapInArrow(_search(k + 1), "qid long, cid long, low long, score double")
         best = best.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.min("low").alias("low"))
         best = best.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)

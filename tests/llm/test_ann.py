@@ -63,6 +63,15 @@ def test_copies_ties_and_odd_vectors(spark):
     assert recall >= 0.9
 
 
+def test_a_full_bucket_is_cut_and_nothing_lost(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ann, "SPLIT", 40)
+    near = np.array([1.0, 2.0, -1.0, 0.5]) + rng.normal(0, 1e-3, (700, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.r_[near, rng.standard_normal((300, 4))].astype(np.float32).astype(float))]
+    got, want = answers(ann.search(spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA))), brute(rows, 20, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
 def test_few_vectors_and_none(spark):
     rows = [(i, [1.0 + i, 2.0, -1.0 * i]) for i in range(0, 120, 10)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
