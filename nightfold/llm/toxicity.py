@@ -153,7 +153,7 @@ class Model:
         rate = (sum(y for _, y, _, _ in examples) + 0.5) / (len(examples) + 1.0)
         self.blank = (sum(blank) + rate) / (len(blank) + 1.0)  # a text without any feature, and an empty one
         kept = [(d, y, *self._sparse(i, c)) for d, y, i, c in examples if i]
-        kept.sort(key=lambda e: (e[1], int(e[2][np.argmax(e[3])]), e[0]))  # alike examples share blocks
+        kept.sort(key=lambda e: (int(e[2][np.argmax(e[3])]), e[0]))  # alike examples share blocks; labels have no part in the order
         self.ids = np.array([e[0] for e in kept], dtype=np.int64)
         self.y = np.array([e[1] for e in kept], dtype=np.float64)
         self.index = BlockMaxIndex([(i, w) for _, _, i, w in kept], vocabulary.size)
