@@ -139,7 +139,7 @@ def local_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarra
     live, s = np.flatnonzero(left >= 1), 1
     u = fps.astype(np.int64).view(np.uint64)
     while len(live):
-        near = np.bitwise_count(u[live] ^ u[live + s]) <= bits
+        near = (np.bitwise_count(u[live] ^ u[live + s]) <= bits) & (label[live] != label[live + s])  # what is joined already adds nothing
         if near.any():
             us.append(live[near])
             vs.append(live[near] + s)
