@@ -130,5 +130,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
     slim = rows.select(_source_key(source_col).alias("src"), words_in(text_col).alias("size"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col("_mix_row").alias("row"))
     taken = stored(_copies(stored(slim, "sized")).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").cast("int").alias("_mix_copies")), "taken")
-    out = rows.join(taken, "_mix_row").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    out = rows.join(taken.hint("merge"), "_mix_row").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -64,4 +64,4 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     rows = stored(docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_row", F.monotonically_increasing_id()), "rows")
     slim = with_shard(rows.select(F.col("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_tie")), "_id", shards, "shard")
     ranked = gapless_rank(slim, ["shard"], [F.col("_id"), F.col("_tie"), F.col("_row")], F.xxhash64("_id", "_tie", "_row"), "slot", 4 * shuffle_partitions(docs.sparkSession))
-    return rows.join(ranked.select("_row", "shard", "slot"), "_row").drop("_row")
+    return rows.join(ranked.select("_row", "shard", "slot").hint("merge"), "_row").drop("_row")
