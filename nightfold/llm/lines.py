@@ -3,7 +3,7 @@
 Every line of every document is hashed. A line that sets documents apart (at least ANCHOR_WORDS words, or in at most
 RARE documents) pairs each later document that holds it with the first one that does: one pair per document and
 line, never all pairs of a line's holders. A pair is aligned by patience diff over line hashes; runs of aligned
-lines that contain such a line are deleted from the later document. Documents with equal lines are one class: its
+lines that contain such a line are deleted from the later document, and so are further copies of them in it. Documents with equal lines are one class: its
 first document is aligned, the others lose all lines.
 """
 
@@ -36,7 +36,8 @@ def line_hash(line: str) -> int:
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (in a, in b), rising in both: equal beginnings and ends, then lines that occur once on either
-    side in their longest common order, then the same between those. Blank lines (0) never align."""
+    side in their longest common order, then the same between those; where no line occurs once on either side, the first
+    occurrences of a line meet, the second ones, and so on. Blank lines (0) never align."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -54,6 +55,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         ca, cb = Counter(a[i:j]), Counter(b[k:m])
         at = {h: p for p, h in enumerate(b[k:m], k) if cb[h] == 1}
         once = [(p, at[h]) for p, h in enumerate(a[i:j], i) if h and ca[h] == 1 and h in at]
+        if not once:
+            places: dict[int, list[int]] = {}
+            for q in range(m - 1, k - 1, -1):
+                places.setdefault(b[q], []).append(q)
+            once = [(p, places[h].pop()) for p, h in enumerate(a[i:j], i) if h and places.get(h)]
         piles: list[int] = []  # the smallest end of a rising run of each length
         tops: list[int] = []
         back = [-1] * len(once)
@@ -81,7 +87,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(later: list[int], earlier: list[int], anchors: set[int]) -> list[int]:
-    """Places in `later` of the runs of aligned lines, adjacent on both sides up to blank ones, that hold an anchor."""
+    """Places in `later` of the runs of aligned lines, adjacent on both sides up to blank ones, that hold an anchor; then
+    of anchors that are still there, with the equal lines around them."""
     gone, run, prev = [], [], None
     blank = lambda lines, lo, hi: not any(lines[lo:hi])
     for p, q in [*patience(later, earlier), (None, None)]:
@@ -92,7 +99,32 @@ def common_blocks(later: list[int], earlier: list[int], anchors: set[int]) -> li
         if p is not None:
             run.append(p)
             prev = (p, q)
-    return gone
+    return sorted(gone + _further(later, earlier, [(p, p, h) for p, h in enumerate(later) if h in anchors], [(q, q, h) for q, h in enumerate(earlier) if h in anchors], set(gone)))
+
+
+def _further(later: list[int], earlier: list[int], wanted: list[tuple[int, int, int]], known: list[tuple[int, int, int]], gone: set[int]) -> list[int]:
+    """Places outside `gone` of the passages (first, last, key) of `later` that `earlier` has at its first passage of that
+    key, and of equal lines before and after."""
+    at: dict[int, tuple[int, int]] = {}
+    for first, last, key in known:
+        at.setdefault(key, (first, last))
+    out: set[int] = set()
+    for first, last, key in wanted:
+        own = [p for p in range(first, last + 1) if later[p]]
+        if key not in at or any(p in gone or p in out for p in own):
+            continue
+        out.update(own)
+        for step, p, q in ((-1, first - 1, at[key][0] - 1), (1, last + 1, at[key][1] + 1)):
+            while True:
+                while 0 <= p < len(later) and not later[p]:
+                    p += step
+                while 0 <= q < len(earlier) and not earlier[q]:
+                    q += step
+                if not (0 <= p < len(later) and 0 <= q < len(earlier)) or later[p] != earlier[q] or p in gone or p in out:
+                    break
+                out.add(p)
+                p, q = p + step, q + step
+    return list(out)
 
 
 def _key(id_col: str, text: Column) -> Column:

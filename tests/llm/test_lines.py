@@ -77,3 +77,11 @@ def test_operator_equals_plain_version_and_odd_rows(spark):
     by = {r.doc_id: r for r in got}
     assert list(by[1001].removed) == [1] and by[3001].text == "" and by[4001].text == "short" and list(by[7003].removed) == [30_000]
     assert lines.dedup(df.limit(0)).count() == 0
+
+
+def test_repeated_lines_go_as_well():
+    assert lines.common_blocks([8, 5, 9], [1, 5, 2, 5, 3], {5}) == [1]  # twice in the first holder
+    assert lines.common_blocks([8, 5, 9, 5, 7, 5, 6], [1, 5, 2, 5, 3], {5}) == [1, 3, 5]
+    assert lines.common_blocks([1, 8, 5, 6, 0, 4, 9, 5, 6, 4, 7], [2, 5, 6, 4, 3], {5}) == [2, 3, 5, 7, 8, 9]  # a passage twice
+    assert lines.common_blocks([5, 8, 1, 2, 3, 9], [7, 1, 2, 3, 6, 5, 4], {5, 2}) == [0, 2, 3, 4]  # in another order
+    assert lines.patience([4, 4, 9, 4], [8, 4, 4, 4, 8]) == [(0, 1), (1, 2), (3, 3)]
