@@ -85,3 +85,15 @@ def test_repeated_lines_go_as_well():
     assert lines.common_blocks([1, 8, 5, 6, 0, 4, 9, 5, 6, 4, 7], [2, 5, 6, 4, 3], {5}) == [2, 3, 5, 7, 8, 9]  # a passage twice
     assert lines.common_blocks([5, 8, 1, 2, 3, 9], [7, 1, 2, 3, 6, 5, 4], {5, 2}) == [0, 2, 3, 4]  # in another order
     assert lines.patience([4, 4, 9, 4], [8, 4, 4, 4, 8]) == [(0, 1), (1, 2), (3, 3)]
+
+
+def test_passages_of_frequent_short_lines(spark):
+    verse = [f"verse {i} of it" for i in range(14)]  # over 50 words, no line of eight
+    rows = [(i, "\n".join([f"head {i}", *verse[:7], "", *verse[7:], f"tail {i}"])) for i in range(120)]
+    rows += [(1000 + i, "a\nb c\nd") for i in range(70)] + [(2000 + i, "two words") for i in range(70)]
+    rows += [(3000 + i, f"mine {i}\ntwo words\nyours {i}") for i in range(3)]
+    by = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert list(by[0].removed) == [] and by[0].text == rows[0][1]
+    assert all(by[i].text == f"head {i}\n\ntail {i}" and list(by[i].partners) == [0] for i in range(1, 120))
+    assert by[1000].text == "a\nb c\nd" and all(by[1000 + i].text == "" for i in range(1, 70))
+    assert all(by[2000 + i].text == "two words" for i in range(70)) and all(not len(by[3000 + i].removed) for i in range(3))
