@@ -82,110 +82,150 @@ def _days(d: date | None) -> int | None:
     return None if d is None else (d - EPOCH).days
 
 
-def _mask(pop: Population, day: np.ndarray, group: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(day), dtype=bool)
-    if pop.before is not None:
-        keep &= day < pop.before
-    if pop.exclude is not None:
-        keep &= group != pop.exclude
-    return keep
+@dataclass(frozen=True)
+class Basis:
+    """The columns that all fits of one table share: inputs about a common centre (0 where missing), a flag for every
+    input that is ever missing, the constant. Each model's own design is a linear map of them, so a batch is laid
+    out once, whatever the number of models."""
+
+    centre: np.ndarray
+    unit: np.ndarray
+    gappy: tuple[int, ...]
+
+    @property
+    def width(self) -> int:
+        return len(self.centre) + len(self.gappy) + 1
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        gaps = np.isnan(x)
+        u = np.where(gaps, 0.0, (x - self.centre) / self.unit)
+        return np.hstack([u, gaps[:, list(self.gappy)].astype(float), np.ones((len(x), 1))])
+
+    def design(self, prep: dict[str, Any]) -> np.ndarray:
+        """The map to a model's design: imputed and standardised inputs, its indicators, the constant."""
+        d, at = len(self.centre), {i: len(self.centre) + k for k, i in enumerate(self.gappy)}
+        a = np.zeros((len(prep["mean"]) + 1, self.width))
+        mean, sd = prep["mean"], prep["sd"]
+        for i in range(d):
+            a[i, i], a[i, -1] = self.unit[i] / sd[i], (self.centre[i] - mean[i]) / sd[i]
+            if i in at:
+                a[i, at[i]] = (prep["median"][i] - self.centre[i]) / sd[i]
+        for k, i in enumerate(prep["indicators"], start=d):
+            a[k, at[i]], a[k, -1] = 1 / sd[k], -mean[k] / sd[k]
+        a[-1, -1] = 1.0
+        return a
 
 
-def _design(x: np.ndarray, prep: dict[str, Any]) -> np.ndarray:
-    """Impute, add indicators, standardise, append the constant."""
-    gaps = np.isnan(x)
-    z = np.where(gaps, prep["median"], x)
-    z = np.hstack([z, gaps[:, prep["indicators"]].astype(float)])
-    z = (z - prep["mean"]) / prep["sd"]
-    return np.hstack([z, np.ones((len(z), 1))])
+CELLS = 1 << 22  # numbers of a batch's products that are held at once
 
 
-def _pass(rows: DataFrame, n_keys: int, work: list, kind: str) -> dict[int, np.ndarray]:
+def _pass(rows: DataFrame, n_keys: int, work: list, kind: str, basis: Basis) -> dict[int, np.ndarray]:
     """One pass over the rows: for each work item its summed vector.
 
-    work: (id, Population, prep, beta, val). kind 'newton' gives [loss, gradient, curvature]; kind
-    'loss' gives [clipped log loss, rows] over the item's validation dates.
+    work: (id, Population, coefficients in the basis, val). kind 'newton' gives [loss, gradient, upper half of the curvature]
+    in the basis; kind 'loss' gives [clipped log loss, rows] over the item's validation dates. Models of one
+    population (all values of C) are evaluated together, as matrix products.
     """
-
     cols = [c for c in rows.columns if c.startswith("f")]
+    by_key: dict[tuple, list] = {}
+    by_pop: dict[Population, list] = {}
+    for item in work:
+        by_pop.setdefault(item[1], []).append(item)
+    for pop, items in by_pop.items():
+        by_key.setdefault(pop.key, []).append((pop, [i[0] for i in items], np.stack([i[2] for i in items], axis=1), [i[3] for i in items]))
+    left, right = np.triu_indices(basis.width)
+    step = max(1, CELLS // (len(left) if kind == "newton" else basis.width))
+
+    def add(x: np.ndarray, y: np.ndarray, day: np.ndarray, group: np.ndarray, pops: list, acc: dict[int, np.ndarray]) -> None:
+        products = x[:, left] * x[:, right] if kind == "newton" else None
+        y = y[:, None]
+        for pop, ids, gamma, vals in pops:
+            if kind == "newton":
+                n = len(x) if pop.before is None else int(np.searchsorted(day, pop.before))
+                if not n:
+                    continue
+                t = x[:n] @ gamma
+                e = np.exp(-np.abs(t))
+                p = np.where(t >= 0, 1.0, e) / (1 + e)
+                loss, res, curve = np.maximum(t, 0) + np.log1p(e) - y[:n] * t, p - y[:n], p * (1 - p)
+                if pop.exclude is not None:
+                    keep = (group[:n] != pop.exclude)[:, None]
+                    loss, res, curve = loss * keep, res * keep, curve * keep
+                found = np.vstack([loss.sum(axis=0), x[:n].T @ res, products[:n].T @ curve])
+            else:
+                found = np.zeros((2, len(ids)))
+                for k, (lo, hi) in enumerate(vals):
+                    a, b = np.searchsorted(day, lo), len(day) if hi is None else np.searchsorted(day, hi)
+                    q = np.clip(1 / (1 + np.exp(-np.clip(x[a:b] @ gamma[:, k], -700, 700))), P_CLIP, 1 - P_CLIP)
+                    keep = np.ones(b - a, bool) if pop.exclude is None else group[a:b] != pop.exclude
+                    found[:, k] = -(y[a:b, 0] * np.log(q) + (1 - y[a:b, 0]) * np.log(1 - q))[keep].sum(), keep.sum()
+            for k, ident in enumerate(ids):
+                acc[ident] = acc[ident] + found[:, k] if ident in acc else found[:, k].copy()
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
-        by_pop: dict[Population, list] = {}
-        for item in work:
-            by_pop.setdefault(item[1], []).append(item)
-        by_key: dict[tuple, list] = {}
-        for pop, items in by_pop.items():
-            by_key.setdefault(pop.key, []).append((pop, items))
         for pdf in batches:
             if pdf.empty:
                 continue
             for key, part in pdf.groupby([f"k{i}" for i in range(n_keys)], sort=False):
-                x = part[cols].to_numpy(float)
+                pops = by_key.get(tuple(str(v) for v in key))
+                if not pops:
+                    continue
+                part = part.sort_values("day", kind="stable")  # training rows are then a leading stretch
                 y, day, group = part["y"].to_numpy(float), part["day"].to_numpy(), part["grp"].to_numpy()
-                for pop, items in by_key.get(tuple(str(v) for v in key), []):
-                    keep = _mask(pop if kind == "newton" else replace(pop, before=None), day, group)
-                    if not keep.any():
-                        continue
-                    z, yy, dd = _design(x[keep], items[0][2]), y[keep], day[keep]
-                    for ident, _, _, beta, val in items:
-                        if kind == "loss":
-                            v = (dd >= val[0]) & (dd < val[1] if val[1] is not None else True)
-                            q = np.clip(1 / (1 + np.exp(-np.clip(z[v] @ beta, -700, 700))), P_CLIP, 1 - P_CLIP)
-                            out = np.array([-(yy[v] * np.log(q) + (1 - yy[v]) * np.log(1 - q)).sum(), float(v.sum())])
-                        else:
-                            t = z @ beta
-                            p = 1 / (1 + np.exp(-np.clip(t, -700, 700)))
-                            loss = (np.logaddexp(0, t) - yy * t).sum()
-                            h = (z * (p * (1 - p))[:, None]).T @ z
-                            out = np.concatenate([[loss], z.T @ (p - yy), h.ravel()])
-                        acc[ident] = acc[ident] + out if ident in acc else out
+                x = basis.rows(part[cols].to_numpy(float))
+                for lo in range(0, len(x), step):
+                    at = slice(lo, lo + step)
+                    add(x[at], y[at], day[at], group[at], pops, acc)
         if acc:
             yield pd.DataFrame({"id": list(acc), "v": [a.tolist() for a in acc.values()]})
 
     # Element-wise sums: partial ones in each task, then one number per fit and place, however many partitions.
     parts = rows.mapInPandas(sums, "id int, v array<double>").select("id", F.posexplode("v").alias("at", "x"))
-    out: dict[int, dict[int, float]] = {}
-    for r in parts.groupBy("id", "at").agg(F.sum("x").alias("x")).collect():
-        out.setdefault(r["id"], {})[r["at"]] = r["x"]
-    return {i: np.array([v[k] for k in range(len(v))]) for i, v in out.items()}
+    got = parts.groupBy("id", "at").agg(F.sum("x").alias("x")).toArrow().to_pandas().sort_values(["id", "at"])
+    return {int(i): v.to_numpy() for i, v in got.groupby("id")["x"]}
 
 
-def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Population, dict], max_passes: int = 200) -> None:
+def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Population, dict], basis: Basis, max_passes: int = 200) -> None:
     """Damped Newton on C * loss + |w|^2 / 2 (constant unpenalised) for every fit at once; an error if one does not
     converge. A fit whose value can no longer fall, however short the step, is at its numerical optimum."""
+    design = {pop: basis.design(prep[pop]) for pop in {f.pop for f in fits}}
+    left, right = np.triu_indices(basis.width)
     for f in fits:
         width = len(prep[f.pop]["mean"]) + 1
-        f.beta, f.step, f.value, f.done = np.zeros(width), np.zeros(width), math.inf, False
+        f.beta, f.step, f.value, f.scale, f.done = np.zeros(width), np.zeros(width), math.inf, 1.0, False
     for _ in range(max_passes):
         live = [(i, f) for i, f in enumerate(fits) if not f.done]
         if not live:
             return
-        got = _pass(rows, n_keys, [(i, f.pop, prep[f.pop], f.beta + f.scale * f.step, None) for i, f in live], "newton")
+        got = _pass(rows, n_keys, [(i, f.pop, design[f.pop].T @ (f.beta + f.scale * f.step), None) for i, f in live], "newton", basis)
         for i, f in live:
             if i not in got:
                 f.done = True
                 continue
-            trial, v = f.beta + f.scale * f.step, got[i]
-            width = len(trial)
-            free = np.ones(width)
+            trial, v, a = f.beta + f.scale * f.step, got[i], design[f.pop]
+            free = np.ones(len(trial))
             free[-1] = 0.0
             value = f.c * v[0] + 0.5 * float(free @ (trial * trial))
             if value > f.value + 1e-12 * abs(f.value):
                 f.scale /= 2
                 f.done = f.scale < 1e-9
                 continue
-            grad = f.c * v[1 : 1 + width] + free * trial
-            curve = f.c * v[1 + width :].reshape(width, width) + np.diag(free)
+            shared = np.zeros((basis.width, basis.width))
+            shared[left, right] = shared[right, left] = v[1 + basis.width :]
+            grad = f.c * (a @ v[1 : 1 + basis.width]) + free * trial
+            curve = f.c * (a @ shared @ a.T) + np.diag(free)
             step = -np.linalg.lstsq(curve, grad, rcond=None)[0]
             f.beta, f.value, f.step, f.scale = trial, value, step, 1.0
             f.done = float(-grad @ step) <= 1e-12 * (1 + abs(value))
+            if f.done:
+                f.beta = trial + step  # what little is left is quadratically smaller after one more step
     open_ = [f.pop for f in fits if not f.done]
     if open_:
         raise RuntimeError(f"{len(open_)} fits did not converge in {max_passes} passes, the first for {open_[0]}")
 
 
-def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool, complete: set[Population]) -> dict[Population, dict]:
+def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool, complete: set[Population]) -> tuple[dict[Population, dict], Basis]:
     """Medians, missing indicators, means and population standard deviations per population.
 
     Sums are gathered once per (key, group, date) and added up per population; medians come from
@@ -205,10 +245,12 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
     for i in range(d):
         aggs += [F.count(x(i)).alias(f"n{i}"), F.sum(x(i)).alias(f"s{i}"), F.sum(x(i) * x(i)).alias(f"q{i}")]
     cells = cut_lineage(rows.groupBy(*key_cols, "grp", "day").agg(*aggs))
-    whole = cells.agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(d)]).first()
+    whole = cells.agg(F.sum("n").alias("n"), *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nq" for i in range(d)]).first()
     if not whole["n"]:
-        return {}  # no rows, no models
+        return {}, Basis(np.zeros(d), np.ones(d), ())  # no rows, no models
     gappy = [i for i in range(d) if whole[f"n{i}"] < whole["n"]]
+    spread = [math.sqrt(max((whole[f"q{i}"] or 0.0) / max(whole[f"n{i}"], 1), 0.0)) for i in range(d)]
+    basis = Basis(np.array(pilot), np.array([v or 1.0 for v in spread]), tuple(gappy))
     kept = [i for i, p in enumerate(pops) if p in complete]
     names = [a for a in cells.columns if a not in (*key_cols, "grp", "day")]
     stats = cells.join(pop, key_cols).filter(seen).groupBy("pop").agg(*[F.sum(c).alias(c) for c in names]).collect()
@@ -248,7 +290,7 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
             "median": np.array(med), "indicators": [i for i, _ in ind], "mean": np.array(mean), "sd": sd,
             "n": n, "pos": float(r["pos"]),
         }
-    return out
+    return out, basis
 
 
 def _pack(rows: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, day: str, group: str | None) -> DataFrame:
@@ -284,11 +326,11 @@ def fit_logistic_grid(
     for p in pops:
         for lo, hi in fold_table.get(p, []):
             inner += [Fit(replace(p, before=lo), c, (lo, hi if hi is not None else p.before), p) for c in c_grid]
-    prep = _prepare(packed, keys, features, sorted({*pops, *(f.pop for f in inner)}, key=repr), impute, set(pops))
+    prep, basis = _prepare(packed, keys, features, sorted({*pops, *(f.pop for f in inner)}, key=repr), impute, set(pops))
     inner = [f for f in inner if f.pop in prep and 0 < prep[f.pop]["pos"] < prep[f.pop]["n"]]
     pops = [p for p in pops if p in prep and 0 < prep[p]["pos"] < prep[p]["n"]]
-    _solve_all(packed, len(keys), inner, prep)
-    losses = _pass(packed, len(keys), [(i, f.pop, prep[f.pop], f.beta, f.val) for i, f in enumerate(inner)], "loss") if inner else {}
+    _solve_all(packed, len(keys), inner, prep, basis)
+    losses = _pass(packed, len(keys), [(i, f.pop, basis.design(prep[f.pop]).T @ f.beta, f.val) for i, f in enumerate(inner)], "loss", basis) if inner else {}
     table: dict[Population, dict[float, list[float]]] = {}
     for i, f in enumerate(inner):
         v = losses.get(i)
@@ -299,7 +341,7 @@ def fit_logistic_grid(
     for p in pops:
         scores[p] = {c: float(np.mean(v)) for c, v in table.get(p, {}).items()}
         best.append(Fit(p, choose_c(scores[p], tolerance) if scores[p] else min(c_grid)))
-    _solve_all(packed, len(keys), best, prep)
+    _solve_all(packed, len(keys), best, prep, basis)
     spans = {tuple(r[c] for c in key_cols): (r["a"], r["b"]) for r in packed.groupBy(*key_cols).agg(F.min("day").alias("a"), F.max("day").alias("b")).collect()}
     fitted = {f.pop: f for f in best}
     out = []
@@ -409,9 +451,9 @@ def out_of_fold(rows: DataFrame, keys: Sequence[str], types: Sequence[str], feat
         for i, start in bounds.get(k, []):
             fits.append(Fit(Population(k, _days(start)), a["c"]))
             tags.append((a, i))
-    prep = _prepare(packed, keys, features, sorted({f.pop for f in fits}, key=repr), True, set())
+    prep, basis = _prepare(packed, keys, features, sorted({f.pop for f in fits}, key=repr), True, set())
     live = [(f, t) for f, t in zip(fits, tags, strict=True) if f.pop in prep and 0 < prep[f.pop]["pos"] < prep[f.pop]["n"]]
-    _solve_all(packed, len(keys), [f for f, _ in live], prep)
+    _solve_all(packed, len(keys), [f for f, _ in live], prep, basis)
     frames = []
     for f, (a, i) in live:
         pr = prep[f.pop]
