@@ -19,14 +19,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nightfold.llm.common import stored
 from nightfold.llm.tokens import Encoder
 
+_SPACES = regex.compile(r"\s\s")
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
+
 SPACE = "▁"  # how pieces spell a space
 CHARS = 500_000  # characters of texts that are tokenized at once, whole texts
+BPE = 2  # how a sentencepiece model states its kind
+KNOWN = 500_000  # known parts of texts in a worker
 PAIRS = 2_000_000  # distinct pairs that a task counts before it passes them on
 FREQUENT = 1 << 20  # pairs whose counts are sent to every task, at most
 
@@ -102,12 +108,53 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Pieces:
+    """Ids of texts under a sentencepiece model.
+
+    If no piece goes on beyond a space, the model never joins what a single space separates, so texts are cut there and
+    parts are looked up; only new ones reach the library. Models that change texts, or have such pieces, get whole texts.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.bytes = []
+        crossing = False
+        for i in range(self.model.get_piece_size()):
+            piece = self.model.id_to_piece(i)
+            crossing |= SPACE in piece.lstrip(SPACE)
+            self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode())
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(self.model.serialized_model_proto())
+        how = spec.normalizer_spec
+        self.cuts = not crossing and how.add_dummy_prefix and how.escape_whitespaces and not how.remove_extra_whitespaces and not how.precompiled_charsmap and spec.trainer_spec.model_type == BPE
+        self.known: dict[str, bytes | None] = {}  # None: not given back as it is
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes | None]:
+        for t, ids in zip(texts, self.model.encode(texts, num_threads=1)):
+            same = b"".join(map(self.bytes.__getitem__, ids)) == b" " + t.encode("utf-8", "surrogatepass")
+            yield np.array(ids, dtype="<i4").tobytes() if same else None
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids as little-endian 32-bit integers; None where their bytes are not those of a space and the text."""
+        if not self.cuts:
+            return list(self._ids(texts))
+        cut = [_CUT.split(t) if _SPACES.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = set().union(*cut)
+        new = list(new)
+        self.known.update(zip(new, self._ids(new)))
+        found = [list(map(self.known.__getitem__, parts)) for parts in cut]
+        return [None if None in f else b"".join(f) for f in found]
+
+
 class Pair:
     """The two tokenizers of a worker: ids and bytes of tokens."""
 
     def __init__(self, byte_level: str, pieces: str):
-        from sentencepiece import SentencePieceProcessor
-
         self.a = Encoder(byte_level)
         self.a.tokenizer.encode_special_tokens = True
         self.a.special = []  # their strings are ordinary text here
@@ -117,11 +164,8 @@ class Pair:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.b = SentencePieceProcessor(model_file=pieces)
-        self.bytes_b = []
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode())
+        self.b = Pieces(pieces)
+        self.bytes_b = self.b.bytes
         self.length_a, self.length_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
         # Decimal ids with what follows them in a digest: inside a group, and at its end.
         self.digits_a = [f"{i}{end}".encode() for end in ",|" for i in range(len(self.bytes_a))]
@@ -132,12 +176,11 @@ class Pair:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both for each text; None where the bytes of a side are not those of a space and the text."""
         from_a = self.a.encode([" " + t for t in texts])
-        from_b = self.b.encode(texts, num_threads=1)
+        from_b = self.b.encode(texts)
         for t, x, y in zip(texts, from_a, from_b):
-            whole = b" " + t.encode("utf-8", "surrogatepass")
             ids = np.frombuffer(x, dtype=self.a.type)
-            same = b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == whole and b"".join(map(self.bytes_b.__getitem__, y)) == whole
-            yield (ids.astype(np.int64), np.array(y, dtype=np.int64)) if same else None
+            same = y is not None and b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == b" " + t.encode("utf-8", "surrogatepass")
+            yield (ids.astype(np.int64), np.frombuffer(y, dtype="<i4").astype(np.int64)) if same else None
 
     def digest(self, a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> str:
         """SHA-256 of `a1,a2|b1;a3|b2,b3`: a group's ids of either side, groups in order."""
