@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from nightfold.util import cut_lineage, exact_quantiles
+from nightfold.util import cut_lineage, exact_quantiles, place_in_buckets
 
 P_CLIP = 1e-3
 C_GRID = tuple(10.0 ** (-3 + i * 0.5) for i in range(13))
@@ -101,9 +101,14 @@ class Basis:
         u = np.where(gaps, 0.0, (x - self.centre) / self.unit)
         return np.hstack([u, gaps[:, list(self.gappy)].astype(float), np.ones((len(x), 1))])
 
-    def design(self, prep: dict[str, Any]) -> np.ndarray:
-        """The map to a model's design: imputed and standardised inputs, its indicators, the constant."""
+    def design(self, prep: dict[str, Any]) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
+        """(map, rows, columns): a model's design (imputed and standardised inputs, its indicators, the constant) as a map of
+        the basis. Inputs that never vary in its training rows have no weight; neither their rows nor columns that
+        only they need are there, so a model costs what it uses."""
         d, at = len(self.centre), {i: len(self.centre) + k for k, i in enumerate(self.gappy)}
+        live = [i for i in range(d) if prep["varies"][i]]
+        rows = np.array([*live, *range(d, len(prep["mean"]) + 1)])
+        cols = (*live, *sorted(at[i] for i in {*live, *prep["indicators"]} if i in at), self.width - 1)
         a = np.zeros((len(prep["mean"]) + 1, self.width))
         mean, sd = prep["mean"], prep["sd"]
         for i in range(d):
@@ -113,7 +118,7 @@ class Basis:
         for k, i in enumerate(prep["indicators"], start=d):
             a[k, at[i]], a[k, -1] = 1 / sd[k], -mean[k] / sd[k]
         a[-1, -1] = 1.0
-        return a
+        return a[np.ix_(rows, cols)], rows, cols
 
 
 CELLS = 1 << 22  # numbers of a batch's products that are held at once
@@ -122,8 +127,8 @@ CELLS = 1 << 22  # numbers of a batch's products that are held at once
 def _pass(rows: DataFrame, n_keys: int, work: list, kind: str, basis: Basis) -> dict[int, np.ndarray]:
     """One pass over the rows: for each work item its summed vector.
 
-    work: (id, Population, coefficients in the basis, val). kind 'newton' gives [loss, gradient, upper half of the curvature]
-    in the basis; kind 'loss' gives [clipped log loss, rows] over the item's validation dates. Models of one
+    work: (id, Population, columns of the basis, coefficients of them, val). kind 'newton' gives [loss, gradient, upper half
+    of the curvature] for the columns; kind 'loss' gives [clipped log loss, rows] over the item's validation dates. Models of one
     population (all values of C) are evaluated together, as matrix products.
     """
     cols = [c for c in rows.columns if c.startswith("f")]
@@ -132,14 +137,18 @@ def _pass(rows: DataFrame, n_keys: int, work: list, kind: str, basis: Basis) ->
     for item in work:
         by_pop.setdefault(item[1], []).append(item)
     for pop, items in by_pop.items():
-        by_key.setdefault(pop.key, []).append((pop, [i[0] for i in items], np.stack([i[2] for i in items], axis=1), [i[3] for i in items]))
-    left, right = np.triu_indices(basis.width)
-    step = max(1, CELLS // (len(left) if kind == "newton" else basis.width))
+        by_key.setdefault(pop.key, []).append((pop, [i[0] for i in items], items[0][2], np.stack([i[3] for i in items], axis=1), [i[4] for i in items]))
+    widest = max((len(item[2]) for item in work), default=1)
+    step = max(1, CELLS // (widest * (widest + 1) // 2 if kind == "newton" else basis.width))
 
     def add(x: np.ndarray, y: np.ndarray, day: np.ndarray, group: np.ndarray, pops: list, acc: dict[int, np.ndarray]) -> None:
-        products = x[:, left] * x[:, right] if kind == "newton" else None
-        y = y[:, None]
-        for pop, ids, gamma, vals in pops:
+        laid_out: dict[tuple, tuple] = {}
+        every, y = x, y[:, None]
+        for pop, ids, columns, gamma, vals in pops:
+            if columns not in laid_out:
+                part, (left, right) = every[:, columns], np.triu_indices(len(columns))
+                laid_out[columns] = part, part[:, left] * part[:, right] if kind == "newton" else None
+            x, products = laid_out[columns]
             if kind == "newton":
                 n = len(x) if pop.before is None else int(np.searchsorted(day, pop.before))
                 if not n:
@@ -190,20 +199,21 @@ def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Populat
     """Damped Newton on C * loss + |w|^2 / 2 (constant unpenalised) for every fit at once; an error if one does not
     converge. A fit whose value can no longer fall, however short the step, is at its numerical optimum."""
     design = {pop: basis.design(prep[pop]) for pop in {f.pop for f in fits}}
-    left, right = np.triu_indices(basis.width)
     for f in fits:
-        width = len(prep[f.pop]["mean"]) + 1
+        width = len(design[f.pop][1])
         f.beta, f.step, f.value, f.scale, f.done = np.zeros(width), np.zeros(width), math.inf, 1.0, False
     for _ in range(max_passes):
         live = [(i, f) for i, f in enumerate(fits) if not f.done]
         if not live:
-            return
-        got = _pass(rows, n_keys, [(i, f.pop, design[f.pop].T @ (f.beta + f.scale * f.step), None) for i, f in live], "newton", basis)
+            break
+        work = [(i, f.pop, design[f.pop][2], design[f.pop][0].T @ (f.beta + f.scale * f.step), None) for i, f in live]
+        got = _pass(rows, n_keys, work, "newton", basis)
         for i, f in live:
             if i not in got:
                 f.done = True
                 continue
-            trial, v, a = f.beta + f.scale * f.step, got[i], design[f.pop]
+            trial, v, (a, _, columns) = f.beta + f.scale * f.step, got[i], design[f.pop]
+            m = len(columns)
             free = np.ones(len(trial))
             free[-1] = 0.0
             value = f.c * v[0] + 0.5 * float(free @ (trial * trial))
@@ -211,9 +221,9 @@ def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Populat
                 f.scale /= 2
                 f.done = f.scale < 1e-9
                 continue
-            shared = np.zeros((basis.width, basis.width))
-            shared[left, right] = shared[right, left] = v[1 + basis.width :]
-            grad = f.c * (a @ v[1 : 1 + basis.width]) + free * trial
+            shared, (left, right) = np.zeros((m, m)), np.triu_indices(m)
+            shared[left, right] = shared[right, left] = v[1 + m :]
+            grad = f.c * (a @ v[1 : 1 + m]) + free * trial
             curve = f.c * (a @ shared @ a.T) + np.diag(free)
             step = -np.linalg.lstsq(curve, grad, rcond=None)[0]
             f.beta, f.value, f.step, f.scale = trial, value, step, 1.0
@@ -223,6 +233,16 @@ def _solve_all(rows: DataFrame, n_keys: int, fits: list[Fit], prep: dict[Populat
     open_ = [f.pop for f in fits if not f.done]
     if open_:
         raise RuntimeError(f"{len(open_)} fits did not converge in {max_passes} passes, the first for {open_[0]}")
+    for f in fits:  # back to all inputs
+        whole = np.zeros(len(prep[f.pop]["mean"]) + 1)
+        whole[design[f.pop][1]] = f.beta
+        f.beta = whole
+
+
+def _to_basis(f: Fit, prep: dict[str, Any], basis: Basis) -> tuple[tuple[int, ...], np.ndarray]:
+    """(columns, coefficients of them) of a solved fit."""
+    a, rows, columns = basis.design(prep)
+    return columns, a.T @ f.beta[rows]
 
 
 def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops: list[Population], impute: bool, complete: set[Population]) -> tuple[dict[Population, dict], Basis]:
@@ -285,10 +305,11 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
         var += [g * (1 - g) for _, g in ind]
         # A spread that is rounding noise next to the mean counts as none.
         sd = np.array([math.sqrt(v) if v > 1e-28 * m * m else 0.0 for v, m in zip(var, mean, strict=True)])
+        varies = sd[:d] > 0
         sd[sd == 0] = 1.0
         out[pops[r["pop"]]] = {
             "median": np.array(med), "indicators": [i for i, _ in ind], "mean": np.array(mean), "sd": sd,
-            "n": n, "pos": float(r["pos"]),
+            "varies": varies, "n": n, "pos": float(r["pos"]),
         }
     return out, basis
 
@@ -330,7 +351,7 @@ def fit_logistic_grid(
     inner = [f for f in inner if f.pop in prep and 0 < prep[f.pop]["pos"] < prep[f.pop]["n"]]
     pops = [p for p in pops if p in prep and 0 < prep[p]["pos"] < prep[p]["n"]]
     _solve_all(packed, len(keys), inner, prep, basis)
-    losses = _pass(packed, len(keys), [(i, f.pop, basis.design(prep[f.pop]).T @ f.beta, f.val) for i, f in enumerate(inner)], "loss", basis) if inner else {}
+    losses = _pass(packed, len(keys), [(i, f.pop, *_to_basis(f, prep[f.pop], basis), f.val) for i, f in enumerate(inner)], "loss", basis) if inner else {}
     table: dict[Population, dict[float, list[float]]] = {}
     for i, f in enumerate(inner):
         v = losses.get(i)
@@ -464,30 +485,65 @@ def out_of_fold(rows: DataFrame, keys: Sequence[str], types: Sequence[str], feat
     return predict(inside, models, features, [*keys, "fold"]).drop("val_from", "val_before").filter("p is not null")
 
 
-def calibrate(oof: DataFrame, keys: Sequence[str], y: str, artifacts: list[dict], threshold: float = 0.05) -> list[dict]:
-    """Adds an isotonic map to the models whose out-of-fold calibration error exceeds the threshold.
+def _pooled(pdf: pd.DataFrame) -> list[tuple[float, float, float, float]]:
+    """Blocks (first p, last p, sum of y, weight) of the best rising step function, by pooling neighbours that fall.
+    Blocks go in as points do, so that pooled ranges can be pooled again."""
+    blocks: list[list[float]] = []
+    for lo, hi, sy, w in pdf[["lo", "hi", "sy", "w"]].sort_values("lo").itertuples(index=False):
+        blocks.append([lo, hi, sy, w])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, last, s, n = blocks.pop()
+            blocks[-1][1], blocks[-1][2], blocks[-1][3] = last, blocks[-1][2] + s, blocks[-1][3] + n
+    return [tuple(b) for b in blocks]
 
-    The error is an aggregate over ten bins; only the models that need it run pyspark.ml's isotonic
-    regression, on scores collapsed to distinct values with weights.
+
+def isotonic_knots(scored: DataFrame, keys: Sequence[str], buckets: int = 16) -> DataFrame:
+    """(keys, isotonic_x, isotonic_y): isotonic regression of y on p per key, as knots at both ends of each step.
+
+    All keys share one job: equal p are collapsed, ranges of p are pooled by themselves, then their blocks are pooled;
+    pooling in parts gives the same steps. A key's last task holds its blocks only.
     """
-    from pyspark.ml.regression import IsotonicRegression
+    keys = list(keys)
+    types = dict(scored.dtypes)
+    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    points = scored.groupBy(*keys, "p").agg(F.sum(F.col("y").cast("double")).alias("sy"), F.count("*").cast("double").alias("w"))
+    points = place_in_buckets(points, keys, "p", buckets).select(*keys, "_bucket", F.col("p").alias("lo"), F.col("p").alias("hi"), "sy", "w")
 
+    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_pooled(pdf), columns=["lo", "hi", "sy", "w"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "lo", "hi", "sy", "w"]]
+
+    def knots(pdf: pd.DataFrame) -> pd.DataFrame:
+        xs, ys = [], []
+        for lo, hi, sy, w in _pooled(pdf):
+            ends = [lo] if lo == hi else [lo, hi]
+            xs += ends
+            ys += [sy / w] * len(ends)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "isotonic_x": [xs], "isotonic_y": [ys]})
+
+    parts = points.groupBy(*keys, "_bucket").applyInPandas(blocks, f"{head}, lo double, hi double, sy double, w double")
+    return parts.groupBy(*keys).applyInPandas(knots, f"{head}, isotonic_x array<double>, isotonic_y array<double>")
+
+
+def calibrate(oof: DataFrame, keys: Sequence[str], y: str, artifacts: list[dict], threshold: float = 0.05) -> list[dict]:
+    """Adds an isotonic map to the models whose out-of-fold calibration error (over ten bins) exceeds the threshold.
+    Errors of all models are one aggregation, the maps of those that need one are one job."""
     from nightfold.operators.verify import brier_decomposition
 
-    scored = oof.withColumn("y", F.col(y).cast("double"))
-    ece = {tuple(str(r[k]) for k in keys): r for r in brier_decomposition(scored, keys).collect()}
+    keys = list(keys)
+    scored = cut_lineage(oof.select(*keys, "p", F.col(y).cast("double").alias("y")))
+    errors = cut_lineage(brier_decomposition(scored, keys).select(*keys, "n", "ece"))
+    of = lambda r: tuple(str(r[k]) for k in keys)
+    ece = {of(r): r for r in errors.collect()}  # one row a model
+    due = scored.join(errors.filter(F.col("ece") > threshold).select(*keys), keys, "left_semi")
+    maps = {of(r): r for r in isotonic_knots(due, keys).collect()}
     out = []
     for a in artifacts:
         k = tuple(str(a["keys"][c]) for c in keys)
-        r = ece.get(k)
-        a = {**a, "oof_ece": None if r is None else r["ece"], "n_oof": 0 if r is None else r["n"], "applied": bool(r is not None and r["ece"] > threshold)}
-        if a["applied"]:
-            mine = scored
-            for c in keys:
-                mine = mine.filter(F.col(c).cast("string") == str(a["keys"][c]))
-            pts = mine.groupBy("p").agg(F.avg("y").alias("label"), F.count("*").cast("double").alias("weight"))
-            m = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(pts)
-            a["isotonic_x"], a["isotonic_y"] = [float(v) for v in m.boundaries.toArray()], [float(v) for v in m.predictions.toArray()]
+        r, m = ece.get(k), maps.get(k)
+        a = {**a, "oof_ece": None if r is None else r["ece"], "n_oof": 0 if r is None else r["n"], "applied": m is not None}
+        if m is not None:
+            a["isotonic_x"], a["isotonic_y"] = list(m["isotonic_x"]), list(m["isotonic_y"])
         out.append(a)
     return out
 
@@ -532,8 +588,8 @@ def trained_before(artifacts: DataFrame, test_start: str) -> DataFrame:
 
 
 def best_single(cv: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The method with the lowest training-time validation loss, per key."""
-    return cv.groupBy(*keys).agg(F.min_by("method", F.struct("cv_log_loss", "method")).alias("best_single"))
+    """The method with the lowest training-time validation loss, per key; one without a loss comes last."""
+    return cv.groupBy(*keys).agg(F.min_by("method", F.struct(F.coalesce("cv_log_loss", F.lit(math.inf)), F.col("method"))).alias("best_single"))
 
 
 def shipping_decision(paired: DataFrame, incumbent: str = "geo_airports", challenger: str = "statewide_loro") -> DataFrame:

@@ -43,23 +43,20 @@ def expanding_months(spark, sf):
     return m.select("lead", "period", F.col("month_start").cast("string").alias("month_start"), F.col("month_end").cast("string").alias("month_end"))
 
 
-C_SMALL = (0.001, 0.1, 10.0)
-
-
 def _artifact_rows(spark, arts):
     return M.artifact_frame(spark, arts, KEYS, TYPES)
 
 
 @query("tuned_logistic", "M3 M4 M18")
 def tuned_logistic(spark, sf):
-    arts = M.fit_logistic_grid(shipments(spark, sf), KEYS, FEATS, "y", "day", c_grid=C_SMALL)
+    arts = M.fit_logistic_grid(shipments(spark, sf), KEYS, FEATS, "y", "day")
     return M.artifact_summary(_artifact_rows(spark, arts), KEYS)
 
 
 @query("calibrated_blend", "M18 M19")
 def calibrated_blend(spark, sf):
     rows = shipments(spark, sf)
-    arts = M.fit_logistic_grid(rows, KEYS, FEATS, "y", "day", c_grid=(1.0,))
+    arts = M.fit_logistic_grid(rows, KEYS, FEATS, "y", "day")
     oof = M.out_of_fold(rows, KEYS, TYPES, FEATS, "y", "day", arts)
     arts = M.calibrate(oof, KEYS, "y", arts, threshold=0.02)
     return spark.createDataFrame([(a["keys"]["lead"], a["oof_ece"], a["n_oof"], a["applied"], len(a["isotonic_x"])) for a in arts], "lead string, oof_ece double, n_oof long, applied boolean, knots int")
@@ -68,14 +65,14 @@ def calibrated_blend(spark, sf):
 @query("held_out_groups", "M22 M23 M35")
 def held_out_groups(spark, sf):
     rows = shipments(spark, sf)
-    p = M.leave_group_out(rows, rows, KEYS, TYPES, FEATS, "y", "day", "group", c_grid=(1.0,))
+    p = M.leave_group_out(rows, rows, KEYS, TYPES, FEATS, "y", "day", "group")
     return p.groupBy("lead", "group").agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
 
 
 @query("walk_forward_skill", "M25 Q14")
 def walk_forward_skill(spark, sf):
     rows = shipments(spark, sf).withColumn("p_climatology", F.lit(0.5))
-    p = M.walk_forward(rows, KEYS, TYPES, FEATS, "y", "day", "2001-06-01", c_grid=(1.0,))
+    p = M.walk_forward(rows, KEYS, TYPES, FEATS, "y", "day", "2001-06-01")
     return M.monthly_skill(p, ["lead"], ["p"])
 
 
@@ -111,7 +108,7 @@ def spread_quantile(spark, sf):
     return M.spread_threshold(shipments(spark, sf), ["lead"], "price").select("lead", r6("spread_threshold").alias("spread_threshold"))
 
 
-@query("equal_weight_forecast", "M15 M16", with_(*FULL) + f"SELECT site, {NIGHT}, lead, {R('CASE WHEN lead <= 2 AND gfs_frac_clear IS NOT NULL AND ecmwf_frac_clear IS NOT NULL THEN (gfs_frac_clear + ecmwf_frac_clear) / 2 ELSE coalesce(gfs_frac_clear, ecmwf_frac_clear) END')} AS equal_weight, {R('nbm_frac_clear')} AS nbm_raw, CAST(nbm_pred_usable AS DOUBLE) AS nbm_rule FROM dat")
+@query("equal_weight_forecast", "M15 M16", with_(*FULL) + f"SELECT site, {NIGHT}, lead, {R('CASE WHEN lead <= 5 AND gfs_frac_clear IS NOT NULL AND ecmwf_frac_clear IS NOT NULL THEN (gfs_frac_clear + ecmwf_frac_clear) / 2 ELSE coalesce(gfs_frac_clear, ecmwf_frac_clear) END')} AS equal_weight, {R('nbm_frac_clear')} AS nbm_raw, CAST(nbm_pred_usable AS DOUBLE) AS nbm_rule FROM dat")
 def equal_weight_forecast(spark, sf):
     d = dataset(spark, sf)
     return d.select("site", text("night_date").alias("night_date"), "lead", r6(N.mean_present([F.col(f"{m}_frac_clear") for m in MODELS])).alias("equal_weight"),
@@ -142,13 +139,13 @@ def shipping_decision(spark, sf):
 def weight_shares(spark, sf):
     d = dataset(spark, sf).filter("usable_era5 is not null").withColumn("y", F.col("usable_era5").cast("int"))
     feats = [f"{m}_{f}" for m in MODELS for f in N.MODEL_INPUTS]
-    arts = M.fit_logistic_grid(d, ["lead"], feats, "y", "night_date", folds=2, c_grid=(0.1,))
+    arts = M.fit_logistic_grid(d, ["lead"], feats, "y", "night_date")
     return M.weight_shares(_artifact_rows(spark, arts), ["lead"], list(MODELS))
 
 
 @query("largest_coefficients", "O10 M36 Q13", None)
 def largest_coefficients(spark, sf):
-    arts = M.fit_logistic_grid(shipments(spark, sf), KEYS, FEATS, "y", "day", c_grid=(1.0,), folds=2)
+    arts = M.fit_logistic_grid(shipments(spark, sf), KEYS, FEATS, "y", "day")
     return M.largest_coefficients(_artifact_rows(spark, arts), ["lead"], 12)
 
 

@@ -35,7 +35,7 @@ def observation_coverage(spark, sf):
     return o.select("site", r6("asos_missing").alias("asos_missing"), "asos_excluded", r6("era5_missing").alias("era5_missing"), "era5_excluded", r6("single_source_share").alias("single_source_share"))
 
 
-@q("forecast_coverage", "Q3 W12", f""", l AS (SELECT night_date, lead, 'gfs' AS model, gfs_frac_clear AS v FROM dat UNION ALL SELECT night_date, lead, 'ecmwf', ecmwf_frac_clear FROM dat WHERE lead <= 2 UNION ALL SELECT night_date, lead, 'nbm', nbm_frac_clear FROM dat),
+@q("forecast_coverage", "Q3 W12", f""", l AS (SELECT night_date, lead, 'gfs' AS model, gfs_frac_clear AS v FROM dat UNION ALL SELECT night_date, lead, 'ecmwf', ecmwf_frac_clear FROM dat WHERE lead <= 5 UNION ALL SELECT night_date, lead, 'nbm', nbm_frac_clear FROM dat),
   f AS (SELECT model, lead, min(night_date) AS first_night FROM l WHERE v IS NOT NULL GROUP BY ALL)
   SELECT l.model, l.lead, CAST(first_night AS VARCHAR) AS first_night, {R('coalesce(count(CASE WHEN night_date >= first_night THEN v END) / nullif(count(CASE WHEN night_date >= first_night THEN 1 END), 0), 0.0)')} AS coverage FROM l LEFT JOIN f USING (model, lead) GROUP BY ALL""")
 def forecast_coverage(spark, sf):
