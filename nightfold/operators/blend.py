@@ -167,3 +167,12 @@ def all_methods(rows: DataFrame, members: Members, predictions: DataFrame, clima
     )
     modelled = wide.select(*keep).join(named, ["label", "lead", "site", "night_date"])
     return simple.unionByName(modelled.select(*simple.columns))
+
+
+def cross_truth(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """Models trained on one label judged by every label: predictions (label, lead, site, night_date, p, ...) meet truths
+    (label, site, night_date, season, y). The result has the judging label as `label` and `blend_{trained label}` as method."""
+    p = predictions.select(F.concat(F.lit("blend_"), "label").alias("method"), "lead", "site", "night_date", "p")
+    own = F.when(F.col("method") == F.concat(F.lit("blend_"), "label"), "blend").otherwise("cross_truth")
+    judged = p.join(truths.filter("y is not null"), ["site", "night_date"])
+    return judged.select("label", "lead", "site", "night_date", "season", "y", "method", F.lit("prob").alias("kind"), own.alias("family"), "p")

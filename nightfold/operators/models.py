@@ -263,7 +263,7 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
     x = lambda i: F.col(f"f{i}") - pilot[i]
     aggs = [F.count("*").alias("n"), F.sum("y").alias("pos")]
     for i in range(d):
-        aggs += [F.count(x(i)).alias(f"n{i}"), F.sum(x(i)).alias(f"s{i}"), F.sum(x(i) * x(i)).alias(f"q{i}")]
+        aggs += [F.count(x(i)).alias(f"n{i}"), F.sum(x(i)).alias(f"s{i}"), F.sum(x(i) * x(i)).alias(f"q{i}"), F.min(f"f{i}").alias(f"lo{i}"), F.max(f"f{i}").alias(f"hi{i}")]
     cells = cut_lineage(rows.groupBy(*key_cols, "grp", "day").agg(*aggs))
     whole = cells.agg(F.sum("n").alias("n"), *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nq" for i in range(d)]).first()
     if not whole["n"]:
@@ -273,7 +273,7 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
     basis = Basis(np.array(pilot), np.array([v or 1.0 for v in spread]), tuple(gappy))
     kept = [i for i, p in enumerate(pops) if p in complete]
     names = [a for a in cells.columns if a not in (*key_cols, "grp", "day")]
-    stats = cells.join(pop, key_cols).filter(seen).groupBy("pop").agg(*[F.sum(c).alias(c) for c in names]).collect()
+    stats = cells.join(pop, key_cols).filter(seen).groupBy("pop").agg(*[(F.min if c[:2] == "lo" else F.max if c[:2] == "hi" else F.sum)(c).alias(c) for c in names]).collect()
     medians: dict[tuple[int, int], float] = {}
     if impute:
         cuts = sorted({p.before for p in pops if p.before is not None})
@@ -297,8 +297,10 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
             med.append(m)
             off = m - pilot[i]
             s, q = (r[f"s{i}"] or 0.0) + gaps * off, (r[f"q{i}"] or 0.0) + gaps * off * off
-            mean.append(pilot[i] + s / n)
-            var.append(max(q / n - (s / n) ** 2, 0.0))
+            lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+            constant = lo == hi and (not gaps or lo is None or m == lo)  # exactly, whatever the sums' rounding
+            mean.append((m if lo is None else lo) if constant else pilot[i] + s / n)
+            var.append(0.0 if constant else max(q / n - (s / n) ** 2, 0.0))
             if impute and gaps:
                 ind.append((i, gaps / n))
         mean += [g for _, g in ind]

@@ -8,7 +8,7 @@ method, kind ('prob' | 'hard'), family, p.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -110,7 +110,7 @@ def rate_tables(nights: DataFrame, years: DataFrame, labels: dict[str, str]) ->
 
 def base_rates_by_split(rows: DataFrame, label: str) -> DataFrame:
     nights = rows.filter(F.col("split").isin("train", "test") & F.col(label).isNotNull())
-    once = nights.groupBy("site", "split", "night_date").agg(F.first(label).alias("y"))
+    once = nights.groupBy("site", "split", "night_date").agg(F.max(label).alias("y"))
     return once.groupBy("site", "split").agg(F.avg(F.col("y").cast("double")).alias("base_rate"), F.count("*").alias("n"))
 
 
@@ -126,22 +126,28 @@ def to_predictions(rows: DataFrame, methods: dict[str, tuple[str, str, Column]],
 # ---------- partial sums and metrics ----------
 
 
+def collapsed(preds: DataFrame, by: Sequence[str] = ("site", "season")) -> DataFrame:
+    """Equal forecasts of a method and week as one row (pos, neg: outcomes): weekly sums and AUC are both made of these."""
+    y = F.col("y").cast("long")
+    return preds.groupBy(*METHOD, *by, week_code(F.col("night_date")).alias("week"), "p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+
+
 def row_sums(threshold: float) -> list[Column]:
-    """Aggregates of one group of prediction rows, from which every metric but AUC follows."""
-    y, p = F.col("y").cast("double"), F.col("p")
+    """Aggregates of collapsed prediction rows, from which every metric but AUC follows."""
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     q = clip(p, P_CLIP, 1 - P_CLIP)
+    where = lambda c, n: F.sum(F.when(c, n).otherwise(0)).cast("long")
     go = p >= threshold
     return [
-        F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum((p - y) * (p - y)).alias("sq"),
-        F.sum(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("ll"),
-        count_if(go & (y == 1)).alias("tp"), count_if(go & (y == 0)).alias("fp"),
-        count_if(~go & (y == 1)).alias("fn"), count_if(go == (y == 1)).alias("hit"),
+        F.sum(pos + neg).alias("n"), F.sum(pos).cast("double").alias("sy"), F.sum(pos * (p - 1) * (p - 1) + neg * p * p).alias("sq"),
+        F.sum(-(pos * F.log(q) + neg * F.log(1 - q))).alias("ll"),
+        where(go, pos).alias("tp"), where(go, neg).alias("fp"), where(~go, pos).alias("fn"), F.sum(F.when(go, pos).otherwise(neg)).cast("long").alias("hit"),
     ]
 
 
-def week_partials(preds: DataFrame, threshold: float = 0.5, by: Sequence[str] = ("site", "season")) -> DataFrame:
+def week_partials(collapsed_rows: DataFrame, threshold: float = 0.5, by: Sequence[str] = ("site", "season")) -> DataFrame:
     """Sums per method, week and the columns that subsets will need."""
-    return preds.groupBy(*METHOD, *by, week_code(F.col("night_date")).alias("week")).agg(*row_sums(threshold))
+    return collapsed_rows.groupBy(*METHOD, *by, "week").agg(*row_sums(threshold))
 
 
 def subset_partials(partials: DataFrame, by: Sequence[str] = ("site", "season")) -> DataFrame:
@@ -175,9 +181,13 @@ def metric_columns() -> dict[str, Column]:
 
 def auc(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """ROC AUC per key, ties counted half, without sorting any key in one task."""
-    scored = preds.groupBy(*keys, "p").agg(
-        F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg")
-    )
+    y = F.col("y").cast("long")
+    return _auc(preds.select(*keys, "p", y.alias("pos"), (1 - y).alias("neg")), keys)
+
+
+def _auc(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AUC of rows (keys, p, pos, neg)."""
+    scored = counted.groupBy(*keys, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     r = ranked_cumsum(scored, keys, "p", ["pos", "neg"], distinct=True)
     won = F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
     return r.groupBy(*keys).agg(ratio(won, F.sum("pos") * F.sum("neg")).alias("auc"))
@@ -186,36 +196,58 @@ def auc(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------- week-block bootstrap ----------
 
 
-def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
-    """Which of n weeks slot `slot` of a replicate draws: from md5, so any engine can repeat it."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), slot.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n
+@lru_cache(maxsize=32)
+def md5_week_counts(n_weeks: int, resamples: int, seed: int) -> np.ndarray:
+    """How often each replicate draws each week, as a (resamples x weeks) matrix. Draws come from md5 of
+    "seed|replicate|slot", so any engine can repeat them."""
+    out = np.zeros((resamples, n_weeks))
+    for r in range(resamples):
+        for s in range(n_weeks):
+            h = hashlib.md5(f"{seed}|{r}|{s}".encode()).hexdigest()[:8]
+            out[r, int(h, 16) % n_weeks] += 1
+    return out
 
 
-def week_weights(weeks: DataFrame, resamples: int, seed: int, keys: Sequence[str] = CASE) -> DataFrame:
-    """(keys, replicate, week, w): how often each week was drawn. `weeks`: distinct (keys, week).
-    Its size depends on the number of weeks and resamples, never on the number of predictions."""
-    keys = list(keys)
-    ranked = weeks.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("week")) - 1)
-    n = weeks.groupBy(*keys).agg(F.count("*").cast("long").alias("_n"))
-    draws = n.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
-    picked = draws.withColumn("_i", draw(seed, F.col("replicate"), F.col("_slot"), F.col("_n")).cast("int"))
-    counts = picked.groupBy(*keys, "replicate", "_i").agg(F.count("*").alias("w"))
-    return counts.join(ranked, [*keys, "_i"]).select(*keys, "replicate", "week", "w")
+def with_week_place(weekly: DataFrame) -> DataFrame:
+    """Adds `_i`, the week's place among the weeks of its (label, lead), and `_nw`, how many there are. One row a week is ranked."""
+    weeks = weekly.select(*CASE, "week").distinct()
+    weeks = weeks.withColumn("_i", F.row_number().over(W.partitionBy(*CASE).orderBy("week")) - 1).withColumn("_nw", F.count("*").over(W.partitionBy(*CASE)))
+    return weekly.join(weeks, [*CASE, "week"])
 
 
-def bootstrap(sums: DataFrame, resamples: int, seed: int, group: Sequence[str]) -> DataFrame:
-    """Resampled sums: one row per (group, replicate)."""
-    weights = week_weights(sums.select(*CASE, "week").distinct(), resamples, seed)
-    cols = [c for c in (*SUMS, "ref_sq") if c in sums.columns]
-    joined = sums.join(weights, [*CASE, "week"])
-    return joined.groupBy(*group, "replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols])
+def resampled(weekly: DataFrame, group: Sequence[str], sums: Sequence[str], statistics: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], names: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """(group, {name}_lo, {name}_hi, {name}_below): the 2.5 / 97.5 percentiles of each statistic over the replicates, and the
+    share of replicates in which it is negative.
 
-
-def interval(values: Column) -> list[Column]:
-    """2.5 / 97.5 percentile of the replicates that have a value (as many as there are resamples)."""
-    return [F.percentile(values, 0.025), F.percentile(values, 0.975)]
+    A group's weekly sums (one row a week) meet the matrix of draws inside the task: replicates are the columns of a matrix
+    product, never rows of a table.
+    """
+    group = list(group)
+    placed = with_week_place(weekly).select(*group, "_i", "_nw", *[F.col(c).cast("double").alias(c) for c in sums])
+    types = dict(placed.dtypes)
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = md5_week_counts(int(pdf["_nw"].iloc[0]), resamples, seed)[:, pdf["_i"].to_numpy()]
+        values = counts @ pdf[list(sums)].to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = statistics({c: values[:, k] for k, c in enumerate(sums)})
+        row = {c: [pdf[c].iloc[0]] for c in group}
+        for m in names:
+            known = found[m][np.isfinite(found[m])]
+            lo, hi = np.percentile(known, [2.5, 97.5]) if len(known) else (None, None)
+            row |= {f"{m}_lo": [lo], f"{m}_hi": [hi], f"{m}_below": [float((known < 0).mean()) if len(known) else None]}
+        return pd.DataFrame(row)
+
+    head = ", ".join(f"`{c}` {types[c]}" for c in group)
+    return placed.groupBy(*group).applyInPandas(ends, head + "".join(f", `{m}_lo` double, `{m}_hi` double, `{m}_below` double" for m in names))
+
+
+def metric_values(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """`metric_columns` of resampled sums, for methods that have all of them."""
+    return {
+        "brier": s["sq"] / s["n"], "bss": 1 - s["sq"] / s["ref_sq"], "log_loss": s["ll"] / s["n"], "false_clear_rate": s["fp"] / (s["tp"] + s["fp"]),
+        "miss_rate": s["fn"] / (s["tp"] + s["fn"]), "accuracy": s["hit"] / s["n"],
+    }
 
 
 def score(
@@ -224,22 +256,22 @@ def score(
 ) -> DataFrame:
     """One record per method and subset: n, weeks, base rate, every metric with its interval."""
     group = [*METHOD, "subset_type", "subset"]
-    weekly = with_reference(subset_partials(week_partials(preds, threshold, by), by), [*CASE, "subset_type", "subset", "week"], reference)
+    rows = collapsed(preds, by)
+    weekly = with_reference(subset_partials(week_partials(rows, threshold, by), by), [*CASE, "subset_type", "subset", "week"], reference)
     metrics = metric_columns()
     point = weekly.groupBy(*group).agg(*[F.sum(c).alias(c) for c in (*SUMS, "ref_sq")], F.count("*").alias("n_weeks"))
     point = point.select(*group, "n", "n_weeks", ratio(F.col("sy"), F.col("n")).alias("base_rate"), *[c.alias(m) for m, c in metrics.items()])
     tags = [F.struct(F.lit("overall").alias("subset_type"), F.lit("all").alias("subset"))]
     tags += [F.struct(F.lit(c).alias("subset_type"), F.col(c).cast("string").alias("subset")) for c in by]
-    prob = preds.filter("kind = 'prob' and family <> 'rule'").select(*METHOD, "y", "p", F.inline(F.array(*tags)))
-    out = point.join(auc(prob, group), group, "left")
+    prob = rows.filter("kind = 'prob' and family <> 'rule'").select(*METHOD, "pos", "neg", "p", F.inline(F.array(*tags)))
+    out = point.join(_auc(prob, group), group, "left")
     if not resamples:
         return out
-    boot = bootstrap(weekly, resamples, seed, group).select(*group, *[c.alias(m) for m, c in metrics.items()])
-    lohi = [c.alias(f"{m}_{s}") for m in metrics for s, c in zip(("lo", "hi"), interval(F.col(m)), strict=True)]
-    out = out.join(boot.groupBy(*group).agg(*lohi), group, "left")
-    enough = F.col("n_weeks") >= min_weeks
-    return out.select(*[c for c in out.columns if not c.endswith(("_lo", "_hi"))],
-                      *[F.when(enough, F.col(f"{m}_{s}")).alias(f"{m}_{s}") for m in metrics for s in ("lo", "hi")])
+    boot = resampled(weekly, group, [*SUMS, "ref_sq"], metric_values, list(metrics), resamples, seed)
+    out = out.join(boot, group, "left")
+    known = lambda m: (F.col("n_weeks") >= min_weeks) & F.col(m).isNotNull()  # noqa: E731  a metric that the method does not have has no interval
+    return out.select(*[c for c in out.columns if not c.endswith(("_lo", "_hi", "_below"))],
+                      *[F.when(known(m), F.col(f"{m}_{s}")).alias(f"{m}_{s}") for m in metrics for s in ("lo", "hi")])
 
 
 def paired(preds: DataFrame, pairs: DataFrame, resamples: int = 1000, seed: int = 20260101) -> DataFrame:
@@ -253,27 +285,12 @@ def paired(preds: DataFrame, pairs: DataFrame, resamples: int = 1000, seed: int
     key = [*CASE, "a", "b"]
     diff = ratio(F.sum("sq_a"), F.sum("n_a")) - ratio(F.sum("sq_b"), F.sum("n_b"))
     point = both.groupBy(*key).agg(diff.alias("brier_diff"))
-    weights = week_weights(weekly.select(*CASE, "week").distinct(), resamples, seed)
-    w = lambda c: F.sum(F.col(c) * F.col("w"))
-    boot = both.join(weights, [*CASE, "week"]).groupBy(*key, "replicate").agg(
-        (ratio(w("sq_a"), w("n_a")) - ratio(w("sq_b"), w("n_b"))).alias("d")
-    )
-    lo, hi = interval(F.col("d"))
-    ci = boot.groupBy(*key).agg(lo.alias("lo"), hi.alias("hi"), F.avg((F.col("d") < 0).cast("double")).alias("share_a_better"))
+    d = lambda s: {"d": s["sq_a"] / s["n_a"] - s["sq_b"] / s["n_b"]}
+    ci = resampled(both, key, ["n_a", "sq_a", "n_b", "sq_b"], d, ["d"], resamples, seed)
+    ci = ci.select(*key, F.col("d_lo").alias("lo"), F.col("d_hi").alias("hi"), F.col("d_below").alias("share_a_better"))
     return point.join(ci, key).withColumn("significant", (F.col("hi") < 0) | (F.col("lo") > 0))
 
 
-@lru_cache(maxsize=32)
-def md5_week_counts(n_weeks: int, resamples: int, seed: int) -> np.ndarray:
-    """The draws of `week_weights` as a (resamples x weeks) count matrix, for use inside a task."""
-    out = np.zeros((resamples, n_weeks))
-    for r in range(resamples):
-        for s in range(n_weeks):
-            h = hashlib.md5(f"{seed}|{r}|{s}".encode()).hexdigest()[:8]
-            out[r, int(h, 16) % n_weeks] += 1
-    return out
-
-
 def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000, seed: int = 20260101, buckets: int = 32) -> DataFrame:
     """AUC interval per key (keys include label and lead) from the same week draws.
 
@@ -284,10 +301,7 @@ def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000,
     vals = preds.groupBy(*keys, "p", week_code(F.col("night_date")).alias("week")).agg(
         F.sum(F.col("y").cast("double")).alias("pos"), F.sum(1.0 - F.col("y").cast("double")).alias("neg")
     )
-    weeks = vals.select(*CASE, "week").distinct()
-    order = W.partitionBy(*CASE).orderBy("week")
-    weeks = weeks.withColumn("_i", F.row_number().over(order) - 1).withColumn("_nw", F.count("*").over(W.partitionBy(*CASE)))
-    placed = place_in_buckets(vals.join(weeks, [*CASE, "week"]), keys, "p", buckets)
+    placed = place_in_buckets(with_week_place(vals), keys, "p", buckets)
     placed = placed.select(*keys, "_bucket", "p", "_i", "_nw", "pos", "neg")
 
     def bucket_sums(pdf: pd.DataFrame) -> pd.DataFrame:

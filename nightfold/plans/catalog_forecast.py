@@ -8,9 +8,8 @@ from nightfold.functions import timefn as T
 from nightfold.operators import forecast as C, timeseries as S
 from nightfold.plans.catalog_quality import PT, records
 from nightfold.plans.catalog_sky import ts
-from nightfold.plans.catalog_time import MED, _median_hours, first_longest, island_sql
 from nightfold.plans.catalog_verify import PRE, REF, SUB
-from nightfold.plans.derived import BASE, FC, FEA, FULL, R, REP, features, WIN, big, dataset, hourly_base, labels, LAB, r6, reports, series, table, text, windows, with_
+from nightfold.plans.derived import BASE, FC, FEA, R, REP, features, WIN, big, hourly_base, labels, LAB, r6, reports, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
 NIGHT = "strftime(night_date, '%Y-%m-%d %H:%M:%S') AS night_date"
@@ -122,31 +121,6 @@ def odds_for_event_places(spark, sf):
     return with_odds(e, night_odds(spark, sf)).select("event_id", r6("odds").alias("odds"))
 
 
-# ---------- the assembled forecast ----------
-
-ASM = f"""fo AS (SELECT site, night_date, lead, 0.1::DOUBLE + 0.8::DOUBLE * gfs_frac_clear AS p FROM dat),
-bw AS (SELECT * FROM {first_longest(island_sql('med', 'site, night_date', 'cover <= 0.2 + 1e-9'), 'site, night_date')}),
-sl AS (SELECT lead, quantile_cont(spread_frac_clear, 0.75) AS spread_threshold FROM dat WHERE split = 'train' GROUP BY lead)"""
-
-
-@query("assembled_forecast", "M27 P14 P16 W2", with_(*FULL, MED, UPC, PRE, SUB, REF, PT, ASM) + f"""SELECT u.site, strftime(u.night_date, '%Y-%m-%d %H:%M:%S') AS night_date, u.lead, {R('f.p')} AS p, {VER.format('f.p')} AS verdict, {R('d.spread_frac_clear')} AS spread,
-  CASE WHEN d.spread_frac_clear IS NULL OR sl.spread_threshold IS NULL THEN 'Not enough models' WHEN d.spread_frac_clear > sl.spread_threshold THEN 'Models split' ELSE 'Models agree' END AS agreement, CAST(bw.length AS BIGINT) AS window_hours,
-  CASE WHEN t.bss IS NULL THEN 'Unknown' WHEN t.bss >= 0.5 THEN 'High' WHEN t.bss >= 0.3 THEN 'Medium' ELSE 'Low' END AS trust
-  FROM up u LEFT JOIN dat d ON d.site = u.site AND d.night_date = u.night_date AND d.lead = u.lead LEFT JOIN fo f ON f.site = u.site AND f.night_date = u.night_date AND f.lead = u.lead LEFT JOIN sl ON sl.lead = u.lead
-  LEFT JOIN bw ON bw.site = u.site AND bw.night_date = u.night_date LEFT JOIN rec t ON t.lead = u.lead AND t.method = 'blend' AND t.subset_type = 'overall'""")
-def assembled_forecast(spark, sf):
-    from nightfold.operators.models import spread_threshold
-    from nightfold.util import cut_lineage
-
-    d = cut_lineage(dataset(spark, sf))  # read four times below
-    feats = d.select("site", "night_date", "lead", "spread_frac_clear")
-    probs = d.select("site", "night_date", "lead", (0.1 + 0.8 * F.col("gfs_frac_clear")).alias("p"))
-    best = S.best_window(_median_hours(spark, sf), ["site", "night_date"], "cover", 0.2, "dawn").select("site", "night_date", F.col("length").alias("window_hours"))
-    limits = spread_threshold(d.filter("split = 'train'"), ["lead"])
-    out = C.assemble(nights_ahead(spark, sf), feats, probs, records(spark, sf), best, limits)
-    return out.select("site", text("night_date").alias("night_date"), "lead", r6("p").alias("p"), "verdict", r6("spread_frac_clear").alias("spread"), "agreement", big("window_hours").alias("window_hours"), "trust")
-
-
 # ---------- the forecast log ----------
 
 LOG = """lg AS (SELECT r.site, CAST(r.valid AS DATE) AS issue_date, CAST(r.valid AS DATE) + CAST(r.k % 4 AS INTEGER) AS night_date, CAST(1 + r.k % 4 AS INTEGER) AS lead, r.valid AS issued_at, r.value % 1 AS p_usable, CASE WHEN r.k >= 0 THEN r.k / 100.0::DOUBLE END AS nbm, event_id FROM rep r),

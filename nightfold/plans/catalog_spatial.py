@@ -391,6 +391,51 @@ def light_kernel_cv(spark, sf):
     return L.error_summary(L.spatial_cv(kernel_rows(spark, sf), [f"r{i}" for i in range(5)]))
 
 
+def _three_rings() -> tuple[str, ...]:
+    """Non-negative least squares on three rings in SQL: each set of rings that may be lit is solved by determinants; the best
+    solution without a negative weight is the answer. One system without each longitude band, and one of all (fold -1)."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    names = [*[f"a{i}{j}" for i, j in pairs], *[f"b{i}" for i in range(3)]]
+    sums = [*[f"sum(r{i} * r{j} * w) AS a{i}{j}" for i, j in pairs], *[f"sum(r{i} * target * w) AS b{i}" for i in range(3)]]
+    at = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    cands = ["SELECT fold, b0, b1, b2, 0.0 AS w0, 0.0 AS w1, 0.0 AS w2 FROM ne"]
+    for i in range(3):
+        cands.append("SELECT fold, b0, b1, b2, " + ", ".join(f"b{i} / a{i}{i}" if k == i else "0.0" for k in range(3)) + " FROM ne")
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        det = f"({at(i, i)} * {at(j, j)} - {at(i, j)} * {at(i, j)})"
+        sol = {i: f"(b{i} * {at(j, j)} - {at(i, j)} * b{j}) / {det}", j: f"(b{j} * {at(i, i)} - {at(i, j)} * b{i}) / {det}"}
+        cands.append("SELECT fold, b0, b1, b2, " + ", ".join(sol.get(k, "0.0") for k in range(3)) + " FROM ne")
+    det3 = lambda c: f"({c[0][0]} * ({c[1][1]} * {c[2][2]} - {c[1][2]} * {c[2][1]}) - {c[0][1]} * ({c[1][0]} * {c[2][2]} - {c[1][2]} * {c[2][0]}) + {c[0][2]} * ({c[1][0]} * {c[2][1]} - {c[1][1]} * {c[2][0]}))"
+    whole = [[at(i, j) for j in range(3)] for i in range(3)]
+    swapped = lambda k: [[f"b{i}" if j == k else at(i, j) for j in range(3)] for i in range(3)]
+    cands.append("SELECT fold, b0, b1, b2, " + ", ".join(f"{det3(swapped(k))} / {det3(whole)}" for k in range(3)) + " FROM ne")
+    return (
+        "kr AS (SELECT *, (0.02 * r0 + 0.005 * r1 + 0.001 * r2 + 0.0002 * r3) * (1 + 0.05 * sin(gx * 1.7 + gy * 0.3)) AS target, CAST(gx AS DOUBLE) AS lon FROM ri)",
+        f"cu AS (SELECT [{', '.join(f'quantile_cont(lon, {i / 5})' for i in range(1, 5))}] AS cuts FROM kr)",
+        f"kf AS MATERIALIZED (SELECT kr.*, len(list_filter(cuts, lambda c: c <= lon)) AS fold, 1 / pow(target + {L.NATURAL_UCD}, 2) AS w FROM kr, cu)",
+        f"sm AS MATERIALIZED (SELECT fold, {', '.join(sums)} FROM kf GROUP BY fold)",
+        f"ne AS (SELECT f.fold, {', '.join(f'sum(s.{n}) AS {n}' for n in names)} FROM (SELECT fold FROM sm UNION ALL SELECT -1) f JOIN sm s ON s.fold <> f.fold GROUP BY f.fold)",
+        f"ca AS ({' UNION ALL '.join(cands)})",
+        "ks AS MATERIALIZED (SELECT fold, arg_max({'w0': w0, 'w1': w1, 'w2': w2}, b0 * w0 + b1 * w1 + b2 * w2) AS w FROM ca WHERE isfinite(w0 + w1 + w2) AND w0 >= 0 AND w1 >= 0 AND w2 >= 0 GROUP BY fold)",
+        f"er AS (SELECT 2.5 * log10((target + {L.NATURAL_UCD}) / (r0 * k.w.w0 + r1 * k.w.w1 + r2 * k.w.w2 + {L.NATURAL_UCD})) AS e FROM kf JOIN ks k USING (fold))",
+    )
+
+
+THREE = [f"r{i}" for i in range(3)]
+
+
+@query("light_kernel_three_rings", "M28", with_(CELLS, KMG, RINGS, *_three_rings()) + f"SELECT ring, {R('CASE ring WHEN 0 THEN w.w0 WHEN 1 THEN w.w1 ELSE w.w2 END', 9)} AS weight FROM ks, (SELECT unnest([0, 1, 2]) AS ring) WHERE fold = -1")
+def light_kernel_three_rings(spark, sf):
+    w = L.fit_kernel(kernel_rows(spark, sf), THREE)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "ring int, weight double").select("ring", r6("weight", 9).alias("weight"))
+
+
+@query("light_kernel_cv_three_rings", "M28", with_(CELLS, KMG, RINGS, *_three_rings()) + f"SELECT {R('sqrt(avg(e * e))')} AS rmse_mag, {R('avg(e)')} AS bias_mag, {R('avg(CASE WHEN abs(e) <= 0.15 THEN 1.0 ELSE 0.0 END)')} AS share_within_0_15, {R('avg(CASE WHEN abs(e) <= 0.30 THEN 1.0 ELSE 0.0 END)')} AS share_within_0_30, {R('quantile_cont(abs(e), 0.5)')} AS median_abs_mag FROM er")
+def light_kernel_cv_three_rings(spark, sf):
+    s = L.error_summary(L.spatial_cv(kernel_rows(spark, sf), THREE))
+    return s.select(*[r6(c).alias(c) for c in ("rmse_mag", "bias_mag", "share_within_0_15", "share_within_0_30", "median_abs_mag")])
+
+
 ATL = f"atl AS (SELECT row, col, ucd, ucd * (1 + ((row * 7 + col) % 11 - 4) / 10.0::DOUBLE) AS now, (row + col) % 15 AS zone FROM ce), up AS (SELECT *, greatest(0.1, least(10.0, (now + 5.22) / (ucd + 5.22))) AS change FROM atl)"
 
 

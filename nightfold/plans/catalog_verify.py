@@ -10,7 +10,7 @@ from nightfold.plans.derived import FULL, R, SEASON_SQL, big, dataset, r6, table
 from nightfold.plans.registry import query
 from nightfold.util import cut_lineage
 
-RESAMPLES, SEED = 100, 7
+RESAMPLES, SEED = 1000, 7
 NIGHT = "strftime(night_date, '%Y-%m-%d %H:%M:%S') AS night_date"
 
 

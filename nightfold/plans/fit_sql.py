@@ -17,11 +17,11 @@ EACH_MONTH = "SELECT DISTINCT a.*, strftime(b.m, '%Y-%m') AS split, CAST(NULL AS
 
 
 def fit_ctes(src: str, keys: Sequence[str], outer: str = ALL, folds: int = 4, tag: str = "", second: bool = False, **names: str) -> list[str]:
-    """CTEs that end in `{tag}model`, one row per key and split, and `{tag}fold`, the validation folds' models.
+    """CTEs (others begin with `f_`) that end in `{tag}model`, one row per key and split, and `{tag}fold`, the validation folds' models.
 
     src: a relation (keys, day, grp, x, y), with x2 if `second`, which then takes the place of x's missing flag.
     """
-    t, k = tag, ", ".join(keys)
+    t, k = f"f_{tag}", ", ".join(keys)
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
     grid = ", ".join(f"{c!r}::DOUBLE" for c in C_GRID)
     x2 = "x2" if second else "CAST(NULL AS DOUBLE) AS x2"
@@ -58,8 +58,8 @@ def fit_ctes(src: str, keys: Sequence[str], outer: str = ALL, folds: int = 4, ta
   (SELECT pid, c, y, w, {prob} AS p FROM (SELECT f.pid, f.c, f.b0, f.b1, f.b2, v.y, v.w, {z0} AS z0, {z1} AS z1 FROM {t}fit f JOIN {t}v v ON {on('f', 'v')} AND f.split = v.split WHERE f.fold >= 0 AND v.day >= f.val_from AND (f.val_before IS NULL OR v.day < f.val_before))) GROUP BY pid, c)""",
         f"{t}cv AS MATERIALIZED (SELECT {k}, split, c, avg(loss) AS loss FROM {t}loss JOIN {t}fit USING (pid, c) GROUP BY ALL)",
         f"{t}ch AS (SELECT {k}, split, min(c) AS c, arg_min(loss, c) AS cv_log_loss FROM (SELECT *, min(loss) OVER (PARTITION BY {k}, split) AS best FROM {t}cv) WHERE loss <= best + {TIE} GROUP BY ALL)",
-        f"{t}model AS MATERIALIZED (SELECT f.* EXCLUDE (pid, fold, val_from, val_before), h.cv_log_loss FROM {t}fit f LEFT JOIN {t}ch h ON {on('f', 'h')} AND f.split = h.split WHERE f.fold < 0 AND f.c = coalesce(h.c, {C_GRID[0]!r}::DOUBLE))",
-        f"{t}fold AS (SELECT f.* FROM {t}fit f JOIN {t}model m ON {on('f', 'm')} AND f.split = m.split AND f.c = m.c WHERE f.fold >= 0)",
+        f"{tag}model AS MATERIALIZED (SELECT f.* EXCLUDE (pid, fold, val_from, val_before), h.cv_log_loss FROM {t}fit f LEFT JOIN {t}ch h ON {on('f', 'h')} AND f.split = h.split WHERE f.fold < 0 AND f.c = coalesce(h.c, {C_GRID[0]!r}::DOUBLE))",
+        f"{tag}fold AS (SELECT f.* FROM {t}fit f JOIN {tag}model m ON {on('f', 'm')} AND f.split = m.split AND f.c = m.c WHERE f.fold >= 0)",
     ]
 
 
@@ -73,14 +73,14 @@ def model_p(row: str, model: str, x: str = "x", x2: str | None = None) -> str:
 def isotonic_ctes(src: str, keys: Sequence[str], tag: str = "") -> list[str]:
     """`{tag}iso`: (keys, p, v), the isotonic regression of y on p: the largest over lower starts of the smallest mean up to
     a higher end, for every distinct p."""
-    t, k = tag, ", ".join(keys)
+    t, k = f"i_{tag}", ", ".join(keys)
     on = " AND ".join(f"a.{c} = b.{c}" for c in keys)
     return [
         f"{t}pt AS MATERIALIZED (SELECT {k}, p, sum(y) AS sy, count(*) AS w, row_number() OVER (PARTITION BY {k} ORDER BY p) AS i FROM {src} GROUP BY {k}, p)",
         f"{t}cs AS MATERIALIZED (SELECT *, sum(sy) OVER (PARTITION BY {k} ORDER BY i) AS cy, sum(w) OVER (PARTITION BY {k} ORDER BY i) AS cw FROM {t}pt)",
         f"{t}mean AS MATERIALIZED (SELECT {', '.join(f'a.{c}' for c in keys)}, a.i, b.i AS j, (b.cy - a.cy + a.sy) / (b.cw - a.cw + a.w) AS m FROM {t}cs a JOIN {t}cs b ON {on} AND b.i >= a.i)",
         f"{t}low AS (SELECT {k}, i, j, min(m) OVER (PARTITION BY {k}, i ORDER BY j DESC) AS m FROM {t}mean)",
-        f"{t}iso AS MATERIALIZED (SELECT {', '.join(f'b.{c}' for c in keys)}, b.p, max(a.m) AS v FROM {t}low a JOIN {t}cs b ON {on} AND a.j = b.i GROUP BY ALL)",
+        f"{tag}iso AS MATERIALIZED (SELECT {', '.join(f'b.{c}' for c in keys)}, b.p, max(a.m) AS v FROM {t}low a JOIN {t}cs b ON {on} AND a.j = b.i GROUP BY ALL)",
     ]
 
 
