@@ -4,7 +4,8 @@ Both token sequences cut the text's bytes; where a token of either ends at the s
 tokens of a group whose bytes overlap are linked. Groups are found on the two arrays of token ends by skipping along
 diagonals: as long as tokens match one to one, the ends agree at a constant shift between the indices, so stretches of
 doubling length are compared at the current shift, and the last one is searched for the first difference. There the
-group is irregular; both sides are walked token by token (each step is a link) until their ends meet, which gives the new shift.
+group is irregular; both sides are walked token by token (each step is a link) until their ends meet, which gives the new
+shift.
 
 Texts are tokenized once. A document's distinct linked pairs of ids are kept with their numbers in a table; document
 frequencies are sums over it. The most frequent pairs, at most FREQUENT of them, are sent to all tasks; links of all others
@@ -15,24 +16,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nightfold.llm.common import stored
 from nightfold.llm.tokens import Encoder
 
-_SPACES = regex.compile(r"\s\s")
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
-
 SPACE = "▁"  # how pieces spell a space
 CHARS = 500_000  # characters of texts that are tokenized at once, whole texts
-BPE = 2  # how a sentencepiece model states its kind
-KNOWN = 500_000  # known parts of texts in a worker
+PROBE = 4  # tokens of a stretch's first probe
 PAIRS = 2_000_000  # distinct pairs that a task counts before it passes them on
 FREQUENT = 1 << 20  # pairs whose counts are sent to every task, at most
 
@@ -40,8 +36,9 @@ FREQUENT = 1 << 20  # pairs whose counts are sent to every task, at most
 # One document
 
 
-def runs(a: Sequence[int], b: Sequence[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Groups of two ascending arrays of token ends (plain lists) with the same last end.
+def runs(a: bytes, b: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
+    """Groups of two token sequences over the same bytes. a, b: each token's bytes (255 at most), that is the steps between
+    the ends: from a common end on, ends agree as long as steps do, and comparing steps is comparing memory.
 
     Returns (one-to-one stretches (i, j, length), irregular groups (i, i after, j, j after), and the links i, j inside the
     irregular groups).
@@ -50,10 +47,10 @@ def runs(a: Sequence[int], b: Sequence[int]) -> tuple[list[tuple[int, int, int]]
     i = j = 0
     n, m = len(a), len(b)
     while i < n and j < m:
-        # The ends agree from the current place on: probe 1, 2, 4, ... tokens further at this shift.
-        begin, width = i, 1
+        # Both stand at a common end: probe PROBE, twice as many, ... tokens further at this shift.
+        begin, width = i, PROBE
         while i < n and j < m and a[i : i + width] == b[j : j + width]:
-            step = min(width, n - i, m - j)
+            step = min(width, n - i)
             i, j, width = i + step, j + step, width * 2
         if i < n and j < m:
             # The first difference is within the last probe: halve it.
@@ -70,25 +67,25 @@ def runs(a: Sequence[int], b: Sequence[int]) -> tuple[list[tuple[int, int, int]]
         if i < n and j < m:
             # An irregular group: one step a link, until the ends meet. The shift j - i is then a new one.
             first_i, first_j = i, j
-            x, y = a[i], b[j]
-            while True:
-                left.append(i)
-                right.append(j)
-                if x < y:
+            ahead = a[i] - b[j]
+            left.append(i)
+            right.append(j)
+            while ahead:
+                if ahead < 0:
                     i += 1
-                    x = a[i]
-                elif y < x:
-                    j += 1
-                    y = b[j]
+                    ahead += a[i]
                 else:
-                    break
+                    j += 1
+                    ahead -= b[j]
+                left.append(i)
+                right.append(j)
             i, j = i + 1, j + 1
             odd.append((first_i, i, first_j, j))
     return straight, odd, left, right
 
 
-def groups(a: Sequence[int], b: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first a, first b) of every group in order, and (i, j) of all links, of two arrays of ends as in `runs`."""
+def groups(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first a, first b) of every group in order, and (i, j) of all links, of two sequences as in `runs`."""
     straight, odd, left, right = runs(a, b)
     s, o = np.array(straight, dtype=np.int64).reshape(-1, 3), np.array(odd, dtype=np.int64).reshape(-1, 4)
     place = np.arange(s[:, 2].sum()) - np.repeat(np.cumsum(s[:, 2]) - s[:, 2], s[:, 2])
@@ -109,46 +106,19 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Pieces:
-    """Ids of texts under a sentencepiece model.
-
-    If no piece goes on beyond a space, the model never joins what a single space separates, so texts are cut there and
-    parts are looked up; only new ones reach the library. Models that change texts, or have such pieces, get whole texts.
-    """
+    """Ids of texts under a sentencepiece model, and the bytes of its pieces."""
 
     def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+        from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
         self.bytes = []
-        crossing = False
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
-            crossing |= SPACE in piece.lstrip(SPACE)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode())
-        spec = sentencepiece_model_pb2.ModelProto()
-        spec.ParseFromString(self.model.serialized_model_proto())
-        how = spec.normalizer_spec
-        self.cuts = not crossing and how.add_dummy_prefix and how.escape_whitespaces and not how.remove_extra_whitespaces and not how.precompiled_charsmap and spec.trainer_spec.model_type == BPE
-        self.known: dict[str, bytes | None] = {}  # None: not given back as it is
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes | None]:
-        for t, ids in zip(texts, self.model.encode(texts, num_threads=1)):
-            same = b"".join(map(self.bytes.__getitem__, ids)) == b" " + t.encode("utf-8", "surrogatepass")
-            yield np.array(ids, dtype="<i4").tobytes() if same else None
-
-    def encode(self, texts: list[str]) -> list[bytes | None]:
-        """Ids as little-endian 32-bit integers; None where their bytes are not those of a space and the text."""
-        if not self.cuts:
-            return list(self._ids(texts))
-        cut = [_CUT.split(t) if _SPACES.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = set().union(*cut)
-        new = list(new)
-        self.known.update(zip(new, self._ids(new)))
-        found = [list(map(self.known.__getitem__, parts)) for parts in cut]
-        return [None if None in f else b"".join(f) for f in found]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 class Pair:
@@ -166,7 +136,9 @@ class Pair:
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.b = Pieces(pieces)
         self.bytes_b = self.b.bytes
-        self.length_a, self.length_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        if max(map(len, self.bytes_a + self.bytes_b)) > 255:
+            raise ValueError("tokens of more than 255 bytes")
+        self.length_a, self.length_b = (np.array([len(x) for x in t], dtype=np.uint8) for t in (self.bytes_a, self.bytes_b))
         # Decimal ids with what follows them in a digest: inside a group, and at its end.
         self.digits_a = [f"{i}{end}".encode() for end in ",|" for i in range(len(self.bytes_a))]
         self.digits_b = [f"{i}{end}".encode() for end in ",;" for i in range(len(self.bytes_b))]
@@ -178,9 +150,9 @@ class Pair:
         from_a = self.a.encode([" " + t for t in texts])
         from_b = self.b.encode(texts)
         for t, x, y in zip(texts, from_a, from_b):
-            ids = np.frombuffer(x, dtype=self.a.type)
-            same = y is not None and b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == b" " + t.encode("utf-8", "surrogatepass")
-            yield (ids.astype(np.int64), np.frombuffer(y, dtype="<i4").astype(np.int64)) if same else None
+            ids, whole = np.frombuffer(x, dtype=self.a.type), b" " + t.encode("utf-8", "surrogatepass")
+            same = b"".join(map(self.bytes_b.__getitem__, y)) == whole and b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == whole
+            yield (ids.astype(np.int64), np.array(y, dtype=np.int64)) if same else None
 
     def digest(self, a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> str:
         """SHA-256 of `a1,a2|b1;a3|b2,b3`: a group's ids of either side, groups in order."""
@@ -231,7 +203,7 @@ def _align(byte_level: str, pieces: str) -> Callable:
                     if ids is None:
                         continue
                     a, b = ids
-                    start_a, start_b, i, j = groups(np.cumsum(pair.length_a[a]).tolist(), np.cumsum(pair.length_b[b]).tolist())
+                    start_a, start_b, i, j = groups(pair.length_a[a].tobytes(), pair.length_b[b].tobytes())
                     keys, times = np.unique(a[i] * pair.wide + b[j], return_counts=True)
                     rows[k] = (len(a), len(b), len(start_a), len(i), pair.digest(a, b, start_a, start_b), keys.astype("<u4").tobytes(), times.astype("<u4").tobytes())
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(), pa.binary(), pa.binary()))]
