@@ -11,7 +11,6 @@ import corpus_pipeline
 from nightfold.llm import mixing
 
 from test_sharding import slow_jump
-from test_similar import slow_components, whole as slow_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,6 +40,25 @@ def corpus():
     return rows, labels, items
 
 
+def shingles(text):
+    """The set of five-word shingles (fewer words: the whole sequence), letters A to Z lowered."""
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def jaccard_groups(texts):
+    """{set of shingles: number of its group}: components of all pairs of sets with a Jaccard similarity of 0.8 or more."""
+    sets = sorted({shingles(t) for t in texts}, key=repr)
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return dict(zip(sets, group))
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     rows, labels, items = corpus()
@@ -65,15 +83,15 @@ def test_every_stage(spark, sf_dir):
     clean = [r for r in rows if not bad & set((r[1] or "").split())]
     assert Counter(map(key, results["toxicity"])) == Counter(map(key, clean))
 
-    group = slow_components({slow_fingerprint(r[1]) for r in clean})
+    group = jaccard_groups([r[1] for r in clean])
     best = {}
     for r in clean:
-        g = min(group[slow_fingerprint(r[1])])
+        g = group[shingles(r[1])]
         if g not in best or (r[0] is not None and (best[g] is None or r[0] < best[g])):
             best[g] = r[0]
     kept = results["near_dedup"]
     assert len(kept) == len(best)
-    assert {min(group[slow_fingerprint(r.text)]): r.doc_id for r in kept} == best
+    assert {group[shingles(r.text)]: r.doc_id for r in kept} == best
 
     left = [r for r in kept if not 600 <= (r.doc_id or 0) < 800]
     assert Counter(map(key, results["decontamination"])) == Counter(map(key, left))
