@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from nightfold.operators.merge import first_wins, later_wins
+from nightfold.operators.merge import later_wins
 from nightfold.operators.timeseries import is_clear
-from nightfold.operators.verify import METHOD, SUMS, row_sums
-from nightfold.functions.timefn import week_code
+from nightfold.operators.verify import METHOD, SUMS, collapsed, week_partials
+from nightfold.streaming.daylog import DayLog
 from nightfold.util import as_ts
 
 
@@ -61,21 +61,13 @@ def first_wins_within(stream: DataFrame, keys: Sequence[str], ts: str, retention
 
 
 def first_wins_log(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, date_key: str) -> StreamingQuery:
-    """First row of each key for ever: each batch drops the keys already in the log. Only the log's rows
-    in the batch's own date range are looked at."""
-    schema = stream.schema
-
-    def prepare(batch: DataFrame, ident: int) -> DataFrame:
-        span = batch.agg(F.min(date_key).alias("lo"), F.max(date_key).alias("hi")).first()
-        done = read_batches(batch.sparkSession, path, schema).filter((F.col("batch") < ident) & F.col(date_key).between(F.lit(span["lo"]), F.lit(span["hi"])))
-        return first_wins(batch, keys, order).join(done.select(*keys), list(keys), "left_anti")
-
-    return start(stream, path, checkpoint, prepare)
+    """First row of each key for ever, filed by `date_key` (`DayLog`): a batch opens the days that it touches and no others."""
+    return DayLog(path, stream.schema, date_key, tuple(keys), tuple(order)).stream(stream, checkpoint)
 
 
 def resolve_later(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Current value of every key in a chunk log: the later end wins, then the later name; late arrivals
-    need no rewrite, because precedence is decided when reading."""
+    """Current value of every key in a folder of batches: the later end wins, then the later name; late arrivals
+    need no rewrite, because precedence is decided when reading. For a log that grows use a `DayLog` with `later`."""
     return later_wins(read_batches(spark, path, schema).drop("batch"), keys, order)
 
 
@@ -121,7 +113,7 @@ def score_batches(stream: DataFrame, path: str, checkpoint: str, threshold: floa
     """Adds each batch's weekly sums per method to a folder; `running_scores` turns them into metrics."""
 
     def prepare(batch: DataFrame, ident: int) -> DataFrame:
-        return batch.groupBy(*METHOD, week_code(F.col("night_date")).alias("week")).agg(*row_sums(threshold))
+        return week_partials(collapsed(batch, ()), threshold, ())
 
     return start(stream, path, checkpoint, prepare)
 

@@ -90,6 +90,24 @@ def test_places_and_stations(spark, tmp_path):
     assert (s["lat"], s["lon"], s["is_awos"], s["archive_begin"]) == (38.5, -121.5, True, dt.date(1941, 1, 1))
 
 
+def test_station_lines_that_do_not_parse_are_kept_apart(spark):
+    lines = spark.createDataFrame([("TRK,2008-01-01 10:53,CLR,M,M,M,x",), ("TRK,never,CLR,M,M,M,x",), ("TRK,2008-01-01",)], "value string")
+    rows, bad = R.parse_reports(lines, ["station", "valid", "skyc1", "skyc2", "skyc3", "skyc4", "metar"])
+    assert rows.count() == 1 and sorted(tuple(r) for r in bad.collect()) == [("TRK,2008-01-01", "too few fields"), ("TRK,never,CLR,M,M,M,x", "unreadable time")]
+
+
+def test_torn_json_is_quarantined(spark):
+    p = spark.createDataFrame([('{"timezone": "GMT", "hourly": {"time": ["2025-', "a_1.json")], "value string, file string")
+    rows, bad = R.parse_hourly(p, ["cloud_cover"])
+    assert rows.isEmpty() and [r["reason"] for r in bad.collect()] == ["not JSON"]
+
+
+def test_network_list(spark, tmp_path):
+    (tmp_path / "n.yaml").write_text("# head\nquotas:\n  A: 1\nstations:\n- elevation_m: 12.5\n  id: KSFO\n  lat: 37.6\n  lon: -122.4\n  name: 'San: Francisco'\n  region: bay\n  timezone: America/Los_Angeles\n- id: KX\n  name: X\n")
+    got = {r["id"]: tuple(r)[1:] for r in R.scan_network(spark, str(tmp_path / "n.yaml")).collect()}
+    assert got == {"KSFO": ("San: Francisco", 37.6, -122.4, 12.5, "bay", "America/Los_Angeles"), "KX": ("X", None, None, None, None, None)}
+
+
 def test_json_sinks_turn_nan_into_null(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 0.5)], "i int, v double")
     K.write_json(df, str(tmp_path / "m"))

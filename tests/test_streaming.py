@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from nightfold.streaming import jobs as J
+from nightfold.streaming.daylog import DayLog
 
 T0 = dt.datetime(2025, 1, 1, 0)
 
@@ -60,10 +61,51 @@ def test_first_wins_log_across_runs_and_replays(spark, tmp_path):
     J.first_wins_log(stream(), keys, ["at"], out, ck, "issue_date").awaitTermination()
     spark.createDataFrame([(d, "a", d, T0, 0.9), (d, "c", d, T0 + dt.timedelta(hours=1), 0.4), (d, "c", d, T0, 0.3)], LOG).coalesce(1).write.mode("append").parquet(path)
     J.first_wins_log(stream(), keys, ["at"], out, ck, "issue_date").awaitTermination()
-    got = sorted((r["site"], r["p"]) for r in J.read_batches(spark, out, stream().schema).collect())
+    log = DayLog(out, stream().schema, "issue_date", keys, ["at"])
+    got = sorted((r["site"], r["p"]) for r in log.current(spark).collect())
     assert got == [("a", 0.1), ("b", 0.2), ("c", 0.3)]
 
 
+def test_a_log_is_filed_by_day_and_folded(spark, tmp_path):
+    """Replays replace, folding keeps the rows, dead folders do not count even before they are removed."""
+    day = lambda n: dt.date(2025, 1, 1) + dt.timedelta(days=n)
+    make = lambda rows: spark.createDataFrame(rows, LOG)
+    log = DayLog(str(tmp_path / "log"), make([]).schema, "issue_date", ["issue_date", "site", "night_date"], ["at"])
+    assert log.current(spark).isEmpty()
+    first = make([(day(0), "a", day(0), T0, 0.1), (day(1), "a", day(1), T0, 0.2)])
+    for _ in range(2):  # a replay
+        log.append(first, 0)
+    log.append(make([(day(0), "a", day(0), T0, 0.9), (day(0), "b", day(0), T0, 0.3)]), 1)
+    log.append(make([]), 2)
+    log.append(make([(day(0), "b", day(0), T0, 0.8), (day(0), "c", day(0), T0, 0.4), (day(5), "z", day(5), T0, 0.5)]), 3)
+    want = [("a", 0.1), ("a", 0.2), ("b", 0.3), ("c", 0.4), ("z", 0.5)]
+    values = lambda: sorted((r["site"], r["p"]) for r in log.current(spark).collect())
+    assert values() == want
+    plan = log.rows(spark, day(1), day(1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(issue_date" in plan and [r["p"] for r in log.current(spark, day(1), day(1)).collect()] == [0.2]
+    before = log.current(spark).withColumn("first", F.lit(0).cast("long")).withColumn("last", F.lit(1).cast("long")).filter("issue_date = date '2025-01-01' and site in ('a', 'b')")
+    before.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("issue_date", "first", "last").parquet(log.path)  # folded, nothing removed yet
+    assert values() == want
+    assert log.fold(spark, 3) >= 3 and values() == want
+    assert log.rows(spark).select("issue_date", "first", "last").distinct().groupBy("issue_date").count().filter("count > 1").isEmpty()
+    log.append(make([(day(0), "c", day(0), T0, 0.7), (day(0), "d", day(0), T0, 0.6)]), 4)
+    assert values() == [*want[:4], ("d", 0.6), ("z", 0.5)]
+
+
+def test_later_chunks_replace_whenever_they_come(spark, tmp_path):
+    schema = "day date, hour int, chunk_end string, cover double"
+    d = dt.date(2025, 1, 1)
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    log = DayLog(str(tmp_path / "log"), make([]).schema, "day", ["day", "hour"], ["chunk_end"], later=True)
+    log.append(make([(d, 0, "0922", 0.9), (d, 1, "0922", 0.5)]), 0)
+    log.append(make([(d, 0, "0915", 0.1), (d, 2, "0915", 0.2)]), 1)
+    log.append(make([(d, 1, "0930", 0.7)]), 2)
+    values = lambda: sorted((r["hour"], r["cover"]) for r in log.current(spark).collect())
+    assert values() == [(0, 0.9), (1, 0.7), (2, 0.2)]
+    log.fold(spark, 2)
+    assert values() == [(0, 0.9), (1, 0.7), (2, 0.2)] and log.rows(spark).count() == 3
+
+
 def test_first_wins_within_watermark(spark, tmp_path):
     path = feed(spark, tmp_path, [("a", T0, 0.1), ("a", T0, 0.2), ("b", T0, 0.3)], SCHEMA)
     s = J.first_wins_within(spark.readStream.schema(SCHEMA).parquet(path), ["site"], "valid", "1 day")
