@@ -288,3 +288,37 @@ def apart_words(sep: Column) -> Column:
     return F.when(sep < 0.75, F.format_string("%.1f° apart, less than a finger's width at arm's length", sep)).otherwise(
         F.concat(F.format_string("%.1f° apart, about ", sep), width, F.lit(" at arm's length"))
     )
+
+
+# ---------- limits from a site's tables ----------
+
+# Altitudes and distances (degrees) at which a site's tables are given.
+LIMIT_ALTS = (0, 0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24, 28, 33, 40, 48, 56, 65, 75, 90)
+LIMIT_SEPS = (0.5, 1, 1.5, 2, 3, 4, 5, 6, 7, 8.5, 9.999, 10, 11.5, 13, 15, 17, 20, 24, 28, 35, 45, 55, 70, 85, 100, 120, 140, 160, 180)
+
+
+def on_axis(nodes, values: Column, x: Column) -> Column:
+    """The array `values`, given at ascending `nodes`, at x: linear between neighbours, flat outside."""
+    at = F.array(*[F.lit(float(n)) for n in nodes])
+    inside = _clip(x, float(nodes[0]), float(nodes[-1]))
+    i = F.greatest(F.lit(0), F.least(F.lit(len(nodes) - 2), F.size(F.filter(at, lambda a: a <= inside)) - 1))
+    a, b, va, vb = F.get(at, i), F.get(at, i + 1), F.get(values, i), F.get(values, i + 1)
+    return va + (vb - va) * (inside - a) / (b - a)
+
+
+def limit_from_tables(
+    t: Column, alt: Column, glow: Column | None = None, moon_sep: Column | None = None, moon_k: Column | None = None,
+    sun_sep: Column | None = None, tw_k: Column | None = None, dark: bool = False,
+) -> Column:
+    """Faintest visible magnitude from a site's tables `t` (arrays nat, moon_alt, tw_alt, x_ext at LIMIT_ALTS, moon_sep as a
+    logarithm at LIMIT_SEPS; k, k_ref). `dark` leaves light pollution and the Moon out; twilight always counts."""
+    b = on_axis(LIMIT_ALTS, t["nat"], alt)
+    if not dark:
+        if glow is not None:
+            b = b + F.coalesce(glow, F.lit(0.0))
+        if moon_sep is not None:
+            shine = moon_k * F.pow(F.lit(10.0), on_axis(LIMIT_SEPS, t["moon_sep"], moon_sep)) * on_axis(LIMIT_ALTS, t["moon_alt"], alt)
+            b = b + F.when(moon_sep.isNotNull() & (moon_k > 0), shine).otherwise(0.0)
+    if sun_sep is not None:
+        b = b + F.when(sun_sep.isNotNull() & (tw_k > 0), tw_k * on_axis(LIMIT_ALTS, t["tw_alt"], alt) / _clip(sun_sep, 1.0, 180.0)).otherwise(0.0)
+    return limiting_magnitude(nl_to_mag(b)) - t["k"] * on_axis(LIMIT_ALTS, t["x_ext"], alt) + t["k_ref"]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from nightfold.functions.geofn import haversine_km
 from nightfold.util import count_if, exact_quantiles, ratio
 
 SEASON_ORDER = ("DJF", "MAM", "JJA", "SON")
@@ -155,6 +156,43 @@ def crosscheck_distances(df: DataFrame, keys: Sequence[str], value: str, within:
     return agg.join(q, list(keys))
 
 
+def boundary_radii(places: DataFrame) -> DataFrame:
+    """Adds `radii`: how far a place's centre lies from its boundary's inner point, in radii of a circle with its land area
+    (0.01 km2 at least)."""
+    radius = F.sqrt(F.greatest(F.col("land_km2"), F.lit(0.01)) / F.pi())
+    return places.withColumn("radii", haversine_km("lat", "lon", "lat_internal", "lon_internal") / radius)
+
+
+def boundary_check(places: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: median of the radii and the shares within one and two."""
+    r = boundary_radii(places).filter("radii is not null")
+    shares = [F.avg((F.col("radii") <= w).cast("double")).alias(f"share_within_{w}") for w in (1, 2)]
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), *shares).join(exact_quantiles(r, keys, "radii", {"median": 0.5}), list(keys))
+
+
+def over_limit(rows: DataFrame, value: str, limit: float, names: Sequence[str], digits: int = 1) -> DataFrame:
+    """The rows beyond the limit by name, with the rounded value, to be shown largest first (`value_exact` keeps the order)."""
+    return rows.filter(F.col(value) > limit).select(*names, F.round(value, digits).alias(value), F.col(value).alias("value_exact"))
+
+
+def elevation_check(table: DataFrame, keys: Sequence[str], own: str, other: str, within: float = 25.0) -> DataFrame:
+    """Per key, of the rows with both heights: how many, median and 95th percentile of the absolute difference, share within
+    the limit; and how many lack the own height."""
+    d = table.withColumn("_d", F.abs(F.col(own) - F.col(other)))
+    agg = d.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg((F.col("_d") <= within).cast("double")).alias("share_within"), F.sum(F.isnull(own).cast("int")).alias("missing"))
+    return agg.join(exact_quantiles(d, keys, "_d", {"median_abs": 0.5, "p95_abs": 0.95}), list(keys), "left")
+
+
+def place_counts(places: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: places of each kind, and how many centres come from a populated place."""
+    of = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(0))).alias
+    kind = F.col("kind")
+    return places.groupBy(*keys).agg(
+        F.count("*").alias("n_places"), of(kind.isin("city", "town"))("n_incorporated"), of(kind == "community")("n_communities"),
+        of(F.col("point") == "populated")("centre_from_populated_place"), F.count("check_km").alias("n_matched"),
+    )
+
+
 # ---------- result tables over metric records ----------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightfold.operators import nights as N, quality as Q, verify as V
+from nightfold.plans.catalog_spatial import hav
 from nightfold.plans.catalog_verify import AUC_SQL, GRP, LNG, METRICS, PRE, REF, SUB, long_nights, predictions
 from nightfold.plans.derived import BENCHMARKS, FULL, MODELS, R, big, dataset, r6, table, with_
 from nightfold.plans.registry import query
@@ -119,6 +120,52 @@ def crosscheck_distances(spark, sf):
     return c.select("grp", "n", "max", *[r6(x).alias(x) for x in ("within_10000", "within_50000", "median", "p95")])
 
 
+CENTRES = f"""ct AS (SELECT l_orderkey, l_linenumber, l_returnflag AS county, CASE l_linenumber % 4 WHEN 0 THEN 'city' WHEN 1 THEN 'town' ELSE 'community' END AS kind, CASE WHEN l_suppkey % 3 = 0 THEN 'populated' ELSE 'geonames' END AS point,
+  34 + l_quantity / 10 AS lat, -120 + l_partkey % 50 / 10.0 AS lon, 34 + l_quantity / 10 + l_discount / 4 AS lat_internal, -120 + l_partkey % 50 / 10.0 + l_tax / 5 AS lon_internal, l_linenumber * 1.5 AS land_km2,
+  CASE WHEN l_partkey % 5 > 0 THEN l_quantity / 8 END AS check_km, CASE WHEN l_partkey % 7 > 0 THEN l_extendedprice / 50 END AS elevation_m, CASE WHEN l_suppkey % 9 > 0 THEN l_extendedprice / 50 + l_quantity - 20 END AS other_m FROM lineitem),
+sp AS (SELECT *, {hav('lat', 'lon', 'lat_internal', 'lon_internal')} / sqrt(greatest(land_km2, 0.01) / pi()) AS radii FROM ct)"""
+
+
+def centres(spark, sf):
+    """Line items as places with two centres, a match distance and two heights, some of them missing."""
+    li, q, p, s = table(spark, sf, "lineitem"), F.col("l_quantity"), F.col("l_partkey"), F.col("l_suppkey")
+    n, lat, lon = F.col("l_linenumber"), 34 + F.col("l_quantity") / 10, -120 + F.col("l_partkey") % 50 / 10.0
+    return li.select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("county"), F.when(n % 4 == 0, "city").when(n % 4 == 1, "town").otherwise("community").alias("kind"), F.when(s % 3 == 0, "populated").otherwise("geonames").alias("point"),
+        lat.alias("lat"), lon.alias("lon"), (lat + F.col("l_discount") / 4).alias("lat_internal"), (lon + F.col("l_tax") / 5).alias("lon_internal"), (n * 1.5).alias("land_km2"),
+        F.when(p % 5 > 0, q / 8).alias("check_km"), F.when(p % 7 > 0, F.col("l_extendedprice") / 50).alias("elevation_m"), F.when(s % 9 > 0, F.col("l_extendedprice") / 50 + q - 20).alias("other_m"),
+    )
+
+
+@query("crosscheck_boundaries", "Q12", with_(CENTRES) + f"SELECT county, count(*) AS n, {R('avg(CASE WHEN radii <= 1 THEN 1.0 ELSE 0.0 END)')} AS share_within_1, {R('avg(CASE WHEN radii <= 2 THEN 1.0 ELSE 0.0 END)')} AS share_within_2, {R('quantile_cont(radii, 0.5)')} AS median FROM sp GROUP BY county")
+def crosscheck_boundaries(spark, sf):
+    c = Q.boundary_check(centres(spark, sf), ["county"])
+    return c.select("county", "n", *[r6(x).alias(x) for x in ("share_within_1", "share_within_2", "median")])
+
+
+@query("crosscheck_outside", "Q12", with_(CENTRES) + f"SELECT l_orderkey, l_linenumber, county, {R('radii')} AS radii FROM sp WHERE radii > 2")
+def crosscheck_outside(spark, sf):
+    out = Q.over_limit(Q.boundary_radii(centres(spark, sf)), "radii", 2.0, ["l_orderkey", "l_linenumber", "county"])
+    return out.select("l_orderkey", "l_linenumber", "county", r6("value_exact").alias("radii"))
+
+
+@query("crosscheck_heights", "Q12", with_(CENTRES) + f"SELECT county, count(abs(elevation_m - other_m)) AS n, {R('avg(CASE WHEN abs(elevation_m - other_m) <= 25 THEN 1.0 WHEN elevation_m - other_m IS NOT NULL THEN 0.0 END)')} AS share_within, CAST(sum(CASE WHEN elevation_m IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, {R('quantile_cont(abs(elevation_m - other_m), 0.5)')} AS median_abs, {R('quantile_cont(abs(elevation_m - other_m), 0.95)')} AS p95_abs FROM ct GROUP BY county")
+def crosscheck_heights(spark, sf):
+    e = Q.elevation_check(centres(spark, sf), ["county"], "elevation_m", "other_m")
+    return e.select("county", "n", r6("share_within").alias("share_within"), big("missing").alias("missing"), r6("median_abs").alias("median_abs"), r6("p95_abs").alias("p95_abs"))
+
+
+@query("crosscheck_disagree", "Q12", with_(CENTRES) + f"SELECT county, l_orderkey, l_linenumber, {R('round(check_km, 1)')} AS check_km FROM ct WHERE check_km > 5")
+def crosscheck_disagree(spark, sf):
+    out = Q.over_limit(centres(spark, sf), "check_km", 5.0, ["county", "l_orderkey", "l_linenumber"])
+    return out.select("county", "l_orderkey", "l_linenumber", r6("check_km").alias("check_km"))
+
+
+@query("crosscheck_counts", "Q12", with_(CENTRES) + "SELECT county, count(*) AS n_places, CAST(sum(CASE WHEN kind IN ('city', 'town') THEN 1 ELSE 0 END) AS BIGINT) AS n_incorporated, CAST(sum(CASE WHEN kind = 'community' THEN 1 ELSE 0 END) AS BIGINT) AS n_communities, CAST(sum(CASE WHEN point = 'populated' THEN 1 ELSE 0 END) AS BIGINT) AS centre_from_populated_place, count(check_km) AS n_matched FROM ct GROUP BY county")
+def crosscheck_counts(spark, sf):
+    return Q.place_counts(centres(spark, sf), ["county"])
+
+
 # ---------- result tables ----------
 
 PT = f"""pt AS (SELECT {GRP}, {', '.join(f'sum({c}) AS {c}' for c in (*V.SUMS, 'ref_sq'))}, count(*) AS n_weeks FROM wr GROUP BY {GRP}),

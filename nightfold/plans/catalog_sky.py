@@ -433,3 +433,51 @@ def glow_grid_lookup(spark, sf, twice=False):
     samples = tracks(spark, sf).select("site", "night_date", "object", "t", "alt", "az")
     g = Y.glow_lookup(samples.unionAll(samples) if twice else samples, grid, [0, 20, 45, 90])
     return g.select("site", text("night_date").alias("night_date"), big("object").alias("object"), text("t").alias("t"), r6("glow").alias("glow"))
+
+
+# ---------- limits from tables ----------
+
+
+def s_axis(nodes, f, x):
+    """SQL of `on_axis` for values that are f(node)."""
+    c, lst = s_clip(x, nodes[0], nodes[-1]), "[" + ", ".join(f"{n}::DOUBLE" for n in nodes) + "]"
+    i = f"least({len(nodes) - 2}, {count_le(nodes, c)} - 1)"
+    a, b = f"{lst}[{i} + 1]", f"{lst}[{i} + 2]"
+    return f"({f(a)} + ({f(b)} - {f(a)}) * ({c} - {a}) / ({b} - {a}))"
+
+
+AXES = {
+    "nat": (K.LIMIT_ALTS, lambda n: f"(55 + pow({n}, 1.5) / 40 + s)"), "moon_alt": (K.LIMIT_ALTS, lambda n: f"(1 / (1.2 - {n} / 100))"), "tw_alt": (K.LIMIT_ALTS, lambda n: f"(2 - sqrt({n}) / 10)"),
+    "x_ext": (K.LIMIT_ALTS, lambda n: f"(1 / (0.05 + {n} / 90))"), "moon_sep": (K.LIMIT_SEPS, lambda n: f"(2 - log10({n} + 1) + s / 50)"),
+}
+
+
+def _limit_sql(dark: bool) -> str:
+    ax = lambda name, x: s_axis(*AXES[name], x)
+    b = ax("nat", "alt")
+    if not dark:
+        b += f" + 3 + az / 100 + CASE WHEN moon_alt > 0 THEN (moon_alt / 30) * pow(10, {ax('moon_sep', 'moon_sep')}) * {ax('moon_alt', 'alt')} ELSE 0 END"
+    b += f" + CASE WHEN object % 3 = 0 THEN 5 * {ax('tw_alt', 'alt')} / {s_clip('az / 2', 1, 180)} ELSE 0 END"
+    return f"7.93 - 5 * log10(pow(10, 4.316 - ((20.7233 - ln(({b}) / 34.08)) / 0.92104) / 5) + 1) - (0.2 + s / 100) * {ax('x_ext', 'alt')} + 0.15"
+
+
+@query("limits_from_tables", "F18", with_(*TRK) + f"SELECT site, {NIGHT}, object, {ts('t')}, {R(_limit_sql(False), 5)} AS limit_mag, {R(_limit_sql(True), 5)} AS dark_limit FROM (SELECT *, CAST(site[2:2] AS INTEGER) AS s FROM tm)")
+def limits_from_tables(spark, sf):
+    """Every object's limiting magnitude from its site's tables, with and without the Moon and the glow."""
+    s = F.substring("site", 2, 1).cast("int")
+    sites = reports(spark, sf).select("site").distinct().withColumn("s", s)
+
+    def axis(name):
+        of = _AXIS_COLUMNS[name]
+        return F.transform(F.array(*[F.lit(float(n)) for n in AXES[name][0]]), lambda n: of(n, F.col("s"))).alias(name)
+
+    tables = sites.select("site", F.struct(*[axis(n) for n in AXES], (0.2 + F.col("s") / 100).alias("k"), F.lit(0.15).alias("k_ref")).alias("tables"))
+    t = Y.with_moon(tracks(spark, sf), moon_samples(spark, sf)).join(tables, "site")  # one row a site
+    args = (F.col("tables"), F.col("alt"), 3 + F.col("az") / 100, F.col("moon_sep"), F.when(F.col("moon_alt") > 0, F.col("moon_alt") / 30).otherwise(0.0), F.col("az") / 2, F.when(F.col("object") % 3 == 0, 5.0).otherwise(0.0))
+    return t.select("site", text("night_date").alias("night_date"), big("object").alias("object"), text("t").alias("t"), r6(K.limit_from_tables(*args), 5).alias("limit_mag"), r6(K.limit_from_tables(*args, dark=True), 5).alias("dark_limit"))
+
+
+_AXIS_COLUMNS = {
+    "nat": lambda n, s: 55 + F.pow(n, F.lit(1.5)) / 40 + s, "moon_alt": lambda n, s: 1 / (1.2 - n / 100), "tw_alt": lambda n, s: 2 - F.sqrt(n) / 10,
+    "x_ext": lambda n, s: 1 / (0.05 + n / 90), "moon_sep": lambda n, s: 2 - F.log10(n + 1) + s / 50,
+}
