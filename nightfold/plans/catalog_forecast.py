@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightfold.functions import timefn as T
-from nightfold.operators import forecast as C, timeseries as S
+from nightfold.operators import forecast as C, timeseries as S, verify as V
 from nightfold.plans.catalog_quality import PT, records
 from nightfold.plans.catalog_sky import ts
 from nightfold.plans.catalog_verify import PRE, REF, SUB
-from nightfold.plans.derived import BASE, FC, FEA, R, REP, features, WIN, big, hourly_base, labels, LAB, r6, reports, series, table, text, windows, with_
+from nightfold.plans.derived import BASE, FC, FEA, R, REP, TRAIN, features, WIN, big, hourly_base, labels, LAB, r6, reports, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
 NIGHT = "strftime(night_date, '%Y-%m-%d %H:%M:%S') AS night_date"
@@ -159,10 +159,12 @@ def verified_log(spark, sf):
     return v.select("site", F.col("issue_date").cast("string").alias("issue_date"), F.col("night_date").cast("string").alias("night_date"), "lead", r6("p_usable").alias("p_usable"), "usable_era5")
 
 
-@query("forward_scores", "M26 T8", with_(*BASE, LAB, LOG, VLG) + f""", l AS (SELECT lead, (isoyear(night_date) * 100 + weekofyear(night_date)) AS week, CAST(y AS DOUBLE) AS y, unnest([{{'m': 'climatology', 'p': 0.4::DOUBLE}}, {{'m': 'blend', 'p': p_usable}}, {{'m': 'nbm', 'p': nbm}}]) AS u FROM vl WHERE y IS NOT NULL),
+@query("forward_scores", "M26 T8 J5", with_(*BASE, LAB, LOG, VLG) + f""", ra AS (SELECT site, month(night_date) AS month, avg(CAST(usable_era5 AS DOUBLE)) AS rate FROM lab WHERE night_date <= DATE '{TRAIN[1]}' AND usable_era5 IS NOT NULL GROUP BY ALL), rs AS (SELECT site, avg(rate) AS rate FROM ra GROUP BY site),
+  l AS (SELECT lead, (isoyear(night_date) * 100 + weekofyear(night_date)) AS week, CAST(y AS DOUBLE) AS y, unnest([{{'m': 'climatology', 'p': coalesce(ra.rate, rs.rate)}}, {{'m': 'blend', 'p': p_usable}}, {{'m': 'nbm', 'p': nbm}}]) AS u FROM vl LEFT JOIN ra ON ra.site = vl.site AND ra.month = month(vl.night_date) LEFT JOIN rs ON rs.site = vl.site WHERE y IS NOT NULL),
   g AS (SELECT u.m AS method, lead, count(*) AS n, count(DISTINCT week) AS n_weeks, sum(y) AS sy, sum(pow(u.p - y, 2)) AS sq, sum(CASE WHEN u.p >= 0.5 THEN 1 ELSE 0 END) AS go, sum(CASE WHEN u.p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS gu FROM l GROUP BY GROUPING SETS ((u.m), (u.m, lead)))
   SELECT a.method, a.lead, a.n, a.n_weeks, {R('a.sy / a.n')} AS base_rate, {R('a.sq / a.n')} AS brier, {R('1 - a.sq / b.sq')} AS bss, CAST(a.go AS BIGINT) AS go_calls, CAST(a.gu AS BIGINT) AS go_calls_usable, {R('(a.go - a.gu) / nullif(a.go, 0)')} AS false_clear_rate FROM g a JOIN g b ON b.method = 'climatology' AND a.lead IS NOT DISTINCT FROM b.lead""")
 def forward_scores(spark, sf):
-    v = verified(spark, sf).withColumn("p_climatology", F.lit(0.4))
+    nights = labels(spark, sf).filter(F.col("night_date") <= F.lit(TRAIN[1]).cast("date")).withColumn("month", F.month("night_date"))
+    v = V.apply_climatology(verified(spark, sf).withColumn("month", F.month("night_date")), V.climatology(nights, "usable_era5"))
     s = C.score_forward(v, {"climatology": "p_climatology", "blend": "p_usable", "nbm": "nbm"}, "usable_era5")
     return s.select("method", "lead", "n", "n_weeks", *[r6(c).alias(c) for c in ("base_rate", "brier", "bss", "false_clear_rate")], "go_calls", "go_calls_usable")

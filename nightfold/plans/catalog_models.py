@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightfold.operators import models as M, nights as N, timeseries as S
+from nightfold.operators import models as M, nights as N, timeseries as S, verify as V
 from nightfold.functions.timefn import hours_inside
-from nightfold.plans.catalog_verify import NIGHT, predictions
+from nightfold.plans.catalog_verify import NIGHT, RESAMPLES, SEED, predictions
 from nightfold.plans.derived import BASE, FULL, MODELS, R, as_ts, big, dataset, hourly_base, r6, series, table, text, windows, with_
 from nightfold.plans.registry import query
 
@@ -62,7 +62,7 @@ def calibrated_blend(spark, sf):
     return spark.createDataFrame([(a["keys"]["lead"], a["oof_ece"], a["n_oof"], a["applied"], len(a["isotonic_x"])) for a in arts], "lead string, oof_ece double, n_oof long, applied boolean, knots int")
 
 
-@query("held_out_groups", "M22 M23 M35")
+@query("held_out_groups", "M22 M23")
 def held_out_groups(spark, sf):
     rows = shipments(spark, sf)
     p = M.leave_group_out(rows, rows, KEYS, TYPES, FEATS, "y", "day", "group")
@@ -95,7 +95,7 @@ def _lin(w):
     return " + ".join(["0.2", *z, f"((CASE WHEN discount IS NULL THEN 1.0 ELSE 0.0 END) - 0.2) / 0.4 * {w[4]}"])
 
 
-@query("artifact_prediction", "M5 P21 M34", with_(SHIP) + f""", q AS (SELECT *, CASE lead WHEN 1 THEN 1 / (1 + exp(-({_lin(FIXED['coef'])}))) WHEN 2 THEN 1 / (1 + exp(-({_lin([0.6, 0.6, 0.1, -0.2, 0.3])}))) END AS q FROM sp),
+@query("artifact_prediction", "M5 P21", with_(SHIP) + f""", q AS (SELECT *, CASE lead WHEN 1 THEN 1 / (1 + exp(-({_lin(FIXED['coef'])}))) WHEN 2 THEN 1 / (1 + exp(-({_lin([0.6, 0.6, 0.1, -0.2, 0.3])}))) END AS q FROM sp),
   p AS (SELECT *, CASE WHEN lead <> 1 THEN q WHEN q < 0.1 THEN 0.05 WHEN q >= 0.9 THEN 0.95 WHEN q >= 0.4 THEN 0.45 + (0.95 - 0.45) * (q - 0.4) / (0.9 - 0.4) ELSE 0.05 + (0.45 - 0.05) * (q - 0.1) / (0.4 - 0.1) END AS p FROM q)
   SELECT lead, grp AS "group", CAST(day AS VARCHAR) AS day, count(*) AS n, {R('sum(p)')} AS total_p FROM p GROUP BY ALL""")
 def artifact_prediction(spark, sf):
@@ -108,7 +108,7 @@ def spread_quantile(spark, sf):
     return M.spread_threshold(shipments(spark, sf), ["lead"], "price").select("lead", r6("spread_threshold").alias("spread_threshold"))
 
 
-@query("equal_weight_forecast", "M15 M16", with_(*FULL) + f"SELECT site, {NIGHT}, lead, {R('CASE WHEN lead <= 5 AND gfs_frac_clear IS NOT NULL AND ecmwf_frac_clear IS NOT NULL THEN (gfs_frac_clear + ecmwf_frac_clear) / 2 ELSE coalesce(gfs_frac_clear, ecmwf_frac_clear) END')} AS equal_weight, {R('nbm_frac_clear')} AS nbm_raw, CAST(nbm_pred_usable AS DOUBLE) AS nbm_rule FROM dat")
+@query("equal_weight_forecast", "P12", with_(*FULL) + f"SELECT site, {NIGHT}, lead, {R('CASE WHEN lead <= 5 AND gfs_frac_clear IS NOT NULL AND ecmwf_frac_clear IS NOT NULL THEN (gfs_frac_clear + ecmwf_frac_clear) / 2 ELSE coalesce(gfs_frac_clear, ecmwf_frac_clear) END')} AS equal_weight, {R('nbm_frac_clear')} AS nbm_raw, CAST(nbm_pred_usable AS DOUBLE) AS nbm_rule FROM dat")
 def equal_weight_forecast(spark, sf):
     d = dataset(spark, sf)
     return d.select("site", text("night_date").alias("night_date"), "lead", r6(N.mean_present([F.col(f"{m}_frac_clear") for m in MODELS])).alias("equal_weight"),
@@ -122,17 +122,20 @@ def best_single_method(spark, sf):
 
 
 def _ship_sql():
-    from nightfold.plans.catalog_verify import PRE
+    from nightfold.plans.catalog_verify import PRE, WEIGHTS
 
-    return with_(PRE) + """, d AS (SELECT lead, avg((p - y) * (p - y)) FILTER (method = 'persistence') - avg((p - y) * (p - y)) FILTER (method = 'blend') - 0.25 AS lo FROM pre GROUP BY lead)
+    return with_(PRE, WEIGHTS) + """, w AS (SELECT label, lead, method, week, count(*) AS n, sum((p - y) * (p - y)) AS sq FROM pre GROUP BY ALL),
+  bo AS (SELECT x.label, x.lead, x.week, x.n AS na, x.sq AS sa, z.n AS nb, z.sq AS sb FROM w x JOIN w z ON x.method = 'climatology' AND z.method = 'blend' AND z.label = x.label AND z.lead = x.lead AND z.week = x.week),
+  bt AS (SELECT o.label, o.lead, r, sum(sa * t.w) / sum(na * t.w) - sum(sb * t.w) / sum(nb * t.w) AS d FROM bo o JOIN wt t ON t.label = o.label AND t.lead = o.lead AND t.week = o.week GROUP BY ALL),
+  d AS (SELECT lead, quantile_cont(d, 0.025) AS lo FROM bt GROUP BY lead)
   SELECT list_sort(coalesce(list(lead) FILTER (lo > 0), [])) AS worse_at_leads, CASE WHEN count(*) FILTER (lo > 0) > 0 THEN 'geo_airports' ELSE 'statewide_loro' END AS method FROM d"""
 
 
 @query("shipping_decision", "M24", _ship_sql())
 def shipping_decision(spark, sf):
-    sq = (F.col("p") - F.col("y")) ** 2
-    d = predictions(spark, sf).groupBy("lead").agg((F.avg(F.when(F.col("method") == "persistence", sq)) - F.avg(F.when(F.col("method") == "blend", sq)) - 0.25).alias("lo"))
-    return M.shipping_decision(d)
+    """The challenger goes out unless it is significantly worse at any lead, by the paired week-block interval."""
+    pair = spark.createDataFrame([("climatology", "blend")], "a string, b string")
+    return M.shipping_decision(V.paired(predictions(spark, sf), pair, RESAMPLES, SEED))
 
 
 @query("weight_shares", "F25 Q13", None)
@@ -163,7 +166,7 @@ GRID = " UNION ALL ".join(
 )
 
 
-@query("definition_grid", "M14 P20", with_(*BASE, "gh AS (SELECT b.site, b.night_date, b.hour, s.cover FROM bb b LEFT JOIN (SELECT * FROM ser WHERE source = 'era5') s USING (site, hour))") + f""", g AS ({GRID})
+@query("definition_grid", "P20", with_(*BASE, "gh AS (SELECT b.site, b.night_date, b.hour, s.cover FROM bb b LEFT JOIN (SELECT * FROM ser WHERE source = 'era5') s USING (site, hour))") + f""", g AS ({GRID})
   SELECT site, clear_threshold, min_run, count(usable) AS labelled, {R('avg(CAST(usable AS DOUBLE))')} AS base_rate FROM g GROUP BY ALL""")
 def definition_grid(spark, sf):
     base = hourly_base(spark, sf)
@@ -177,7 +180,7 @@ HOURLY = f"""hm AS (SELECT b.site, b.hour, avg(s.cover) AS mean_cover, CASE WHEN
   FROM bb b LEFT JOIN (SELECT * FROM ser WHERE source IN ('gfs', 'ecmwf', 'goes')) s USING (site, hour) GROUP BY ALL)"""
 
 
-@query("hourly_model_rows", "M21 M34", with_(*BASE, HOURLY) + f"SELECT site, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, {R('mean_cover')} AS mean_cover, {R('spread_cover')} AS spread_cover, {R('share')} AS share_clear FROM hm")
+@query("hourly_model_rows", "A17 A30", with_(*BASE, HOURLY) + f"SELECT site, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, {R('mean_cover')} AS mean_cover, {R('spread_cover')} AS spread_cover, {R('share')} AS share_clear FROM hm")
 def hourly_model_rows(spark, sf):
     from nightfold.operators.forecast import hourly_rows
 

@@ -218,12 +218,12 @@ def season_breakdown(spark, sf):
     return b.select("subset", big("n").alias("n"), "weeks", *[r6(c).alias(c) for c in b.columns if c not in ("subset", "n", "weeks")])
 
 
-@rq("label_sensitivity", "Q13 M20", f"SELECT method, {R('max(CASE WHEN label = {0} THEN bss END)'.format(chr(39) + 'primary' + chr(39)))} AS \"primary\" FROM rec WHERE lead = 1 AND subset_type = 'overall' AND kind = 'prob' GROUP BY method")
+@rq("label_sensitivity", "Q13", f"SELECT method, {R('max(CASE WHEN label = {0} THEN bss END)'.format(chr(39) + 'primary' + chr(39)))} AS \"primary\" FROM rec WHERE lead = 1 AND subset_type = 'overall' AND kind = 'prob' GROUP BY method")
 def label_sensitivity(spark, sf):
     return Q.label_sensitivity(records(spark, sf), 1, ["primary"]).select("method", r6("primary").alias("primary"))
 
 
-@rq("cross_truth_table", "Q13 M20", f"""SELECT r.label, {R('max(base_rate)')} AS base_rate, {R(_pick('blend', 'auc'))} AS auc, {R(_pick('climatology', 'auc'))} AS auc_rival, {R(_pick('blend', 'bss'))} AS bss, {R(_pick('climatology', 'bss'))} AS bss_rival,
+@rq("cross_truth_table", "Q13", f"""SELECT r.label, {R('max(base_rate)')} AS base_rate, {R(_pick('blend', 'auc'))} AS auc, {R(_pick('climatology', 'auc'))} AS auc_rival, {R(_pick('blend', 'bss'))} AS bss, {R(_pick('climatology', 'bss'))} AS bss_rival,
   {R(_pick('blend', 'false_clear_rate'))} AS false_clear_rate, {R('max(d.brier_diff)')} AS brier_diff FROM rec r JOIN dif d ON d.label = r.label AND d.lead = r.lead AND d.a = 'blend' AND d.b = 'climatology' WHERE r.lead = 1 AND subset_type = 'overall' GROUP BY r.label""")
 def cross_truth_table(spark, sf):
     c = Q.cross_truth(records(spark, sf), brier_gaps(spark, sf), 1, "blend", "climatology").drop("significant")
