@@ -164,7 +164,7 @@ SENS = (
     f"lt AS ({_thresholds('gh', 'site, night_date')})",
     "rn AS (SELECT unnest([2, 3, 4]) AS run)",
     "ld AS (SELECT thr || '/' || run AS label, thr, run, site, night_date, CAST(longest_clear_run >= run AS INTEGER) AS y FROM lt, rn)",
-    """fh AS MATERIALIZED (SELECT b.site, b.night_date, b.hour, l.lead, m.model, f.cover FROM bb b CROSS JOIN (SELECT unnest(range(1, 8)) AS lead) l CROSS JOIN (SELECT unnest(['gfs', 'ecmwf']) AS model) m
+    """fh AS MATERIALIZED (SELECT b.site, b.night_date, b.hour, l.lead, m.model, f.cover FROM bb b CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS lead) l CROSS JOIN (SELECT unnest(['gfs', 'ecmwf']) AS model) m
   LEFT JOIN fc f ON f.site = b.site AND f.model = m.model AND f.lead = l.lead AND f.hour = b.hour WHERE NOT (m.model = 'ecmwf' AND l.lead > 5))""",
     f"ft AS ({_thresholds('fh', 'site, night_date, lead, model')})",
     "fw AS (SELECT thr, site, night_date, lead, max(CASE WHEN model = 'gfs' THEN frac_clear END) AS g, max(CASE WHEN model = 'ecmwf' THEN frac_clear END) AS e FROM ft GROUP BY ALL)",
@@ -203,7 +203,7 @@ HOUR = (
     """hr AS MATERIALIZED (SELECT b.site, b.night_date, b.hour, l.lead, month(b.night_date) AS month, CAST(b.cover <= 0.2 + 1e-9 AS INTEGER) AS y, g.cover AS a, e.cover AS c,
   CASE WHEN g.cover IS NOT NULL AND e.cover IS NOT NULL THEN (g.cover + e.cover) / 2 ELSE coalesce(g.cover, e.cover) END AS x,
   (coalesce(CAST(g.cover <= 0.2 + 1e-9 AS INTEGER), 0) + coalesce(CAST(e.cover <= 0.2 + 1e-9 AS INTEGER), 0)) / nullif(CAST(g.cover IS NOT NULL AS INTEGER) + CAST(e.cover IS NOT NULL AS INTEGER), 0) AS share
-  FROM gh b CROSS JOIN (SELECT unnest(range(1, 8)) AS lead) l LEFT JOIN fc g ON g.model = 'gfs' AND g.site = b.site AND g.lead = l.lead AND g.hour = b.hour LEFT JOIN fc e ON e.model = 'ecmwf' AND l.lead <= 5 AND e.site = b.site AND e.lead = l.lead AND e.hour = b.hour)""",
+  FROM gh b CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS lead) l LEFT JOIN fc g ON g.model = 'gfs' AND g.site = b.site AND g.lead = l.lead AND g.hour = b.hour LEFT JOIN fc e ON e.model = 'ecmwf' AND l.lead <= 5 AND e.site = b.site AND e.lead = l.lead AND e.hour = b.hour)""",
     f"tn AS MATERIALIZED (SELECT * FROM hr WHERE night_date <= DATE '{TRAIN[1]}' AND y IS NOT NULL)",
     "src AS (SELECT lead, CAST(night_date AS DATE) AS day, site AS grp, x, y FROM tn WHERE x IS NOT NULL)",
     *fit_ctes("src", ["lead"]),

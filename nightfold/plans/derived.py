@@ -162,7 +162,7 @@ def forecasts(spark: SparkSession, sf: str, base: DataFrame | None = None) -> Da
 
 
 FC = """fc AS (SELECT site, CASE source WHEN 'goes' THEN 'nbm' ELSE source END AS model, lead, hour + to_days(lead) AS hour, cover
-  FROM ser, (SELECT unnest(range(1, 8)) AS lead) WHERE source IN ('gfs', 'ecmwf', 'goes'))"""
+  FROM ser, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS lead) WHERE source IN ('gfs', 'ecmwf', 'goes'))"""
 
 
 def runs_sql(rel: str, keys: str, thr: str = "0.2", run: int = 3, miss: str = "0.25") -> str:
@@ -258,7 +258,7 @@ _FEATS = ("frac_clear", "longest_clear_run", "longest_clear_run_frac", "mean_cov
 
 
 def _feature_sql() -> str:
-    spine = "(SELECT b.site, b.night_date, l.lead, m.model, b.hour FROM bb b, (SELECT unnest(range(1, 8)) AS lead) l, (SELECT unnest(['gfs', 'ecmwf', 'nbm']) AS model) m)"
+    spine = "(SELECT b.site, b.night_date, l.lead, m.model, b.hour FROM bb b, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS lead) l, (SELECT unnest(['gfs', 'ecmwf', 'nbm']) AS model) m)"
     rel = f"""(SELECT x.site, x.night_date, x.lead, x.model, x.hour, f.cover FROM {spine} x
       LEFT JOIN fc f ON f.site = x.site AND f.model = x.model AND f.lead = x.lead AND f.hour = x.hour AND NOT (x.model = 'ecmwf' AND x.lead > 5))"""
     cols = []
@@ -272,7 +272,7 @@ def _feature_sql() -> str:
 fe AS (SELECT w.site, w.night_date, l.lead, {", ".join(cols)},
   count(CASE WHEN f.model <> 'nbm' THEN f.frac_clear END) AS n_models_available,
   CASE WHEN count(CASE WHEN f.model <> 'nbm' THEN f.frac_clear END) >= 2 THEN stddev_pop(CASE WHEN f.model <> 'nbm' THEN f.frac_clear END) END AS spread_frac_clear
-  FROM (win w CROSS JOIN (SELECT unnest(range(1, 8)) AS lead) l) LEFT JOIN fr f ON f.site = w.site AND f.night_date = w.night_date AND f.lead = l.lead GROUP BY w.site, w.night_date, l.lead)"""
+  FROM (win w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS lead) l) LEFT JOIN fr f ON f.site = w.site AND f.night_date = w.night_date AND f.lead = l.lead GROUP BY w.site, w.night_date, l.lead)"""
 
 
 FEA = _feature_sql()
