@@ -66,6 +66,15 @@ def test_alignment(spark, frequent):
     assert [got[k] for k in range(len(TEXTS))] == plain(TEXTS)
 
 
+def test_byte_level_tokens_give_texts_back():
+    pair, r = align.Pair(A, B), random.Random(4)
+    assert pair.faithful_a
+    odd = ["a", "é", " ", "\n", "\x00", "\u0301", "\U0001f600", "\ufffd", "<|endoftext|>", "\u3000", "'s", "1"]
+    texts = [" " + "".join(r.choice(odd) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    for t, ids in zip(texts, pair.a.encode(texts)):
+        assert b"".join(pair.bytes_a[i] for i in np.frombuffer(ids, pair.a.type)) == t.encode()
+
+
 def test_no_rows(spark):
     assert align.alignment(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
 
