@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from nightfold.util import cut_lineage, exact_quantiles, place_in_buckets
+from nightfold.util import cut_lineage, exact_quantiles, place_in_ranges
 
 P_CLIP = 1e-3
 C_GRID = tuple(10.0 ** (-3 + i * 0.5) for i in range(13))
@@ -499,7 +499,7 @@ def _pooled(pdf: pd.DataFrame) -> list[tuple[float, float, float, float]]:
     return [tuple(b) for b in blocks]
 
 
-def isotonic_knots(scored: DataFrame, keys: Sequence[str], buckets: int = 16) -> DataFrame:
+def isotonic_knots(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, isotonic_x, isotonic_y): isotonic regression of y on p per key, as knots at both ends of each step.
 
     All keys share one job: equal p are collapsed, ranges of p are pooled by themselves, then their blocks are pooled;
@@ -509,7 +509,7 @@ def isotonic_knots(scored: DataFrame, keys: Sequence[str], buckets: int = 16) ->
     types = dict(scored.dtypes)
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     points = scored.groupBy(*keys, "p").agg(F.sum(F.col("y").cast("double")).alias("sy"), F.count("*").cast("double").alias("w"))
-    points = place_in_buckets(points, keys, "p", buckets).select(*keys, "_bucket", F.col("p").alias("lo"), F.col("p").alias("hi"), "sy", "w")
+    points = place_in_ranges(points, keys, "p").select(*keys, "_bucket", F.col("p").alias("lo"), F.col("p").alias("hi"), "sy", "w")
 
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(_pooled(pdf), columns=["lo", "hi", "sy", "w"])

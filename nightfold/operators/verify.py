@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nightfold.functions.bounds import clip
 from nightfold.functions.timefn import week_code
-from nightfold.util import count_if, place_in_buckets, ranked_cumsum, ratio
+from nightfold.util import count_if, place_in_ranges, ranked_cumsum, ratio
 
 P_CLIP = 1e-3
 CASE = ["label", "lead"]
@@ -291,17 +291,17 @@ def paired(preds: DataFrame, pairs: DataFrame, resamples: int = 1000, seed: int
     return point.join(ci, key).withColumn("significant", (F.col("hi") < 0) | (F.col("lo") > 0))
 
 
-def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000, seed: int = 20260101, buckets: int = 32) -> DataFrame:
+def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000, seed: int = 20260101) -> DataFrame:
     """AUC interval per key (keys include label and lead) from the same week draws.
 
-    Scores are collapsed to (score, week) counts and split at approximate quantiles; each bucket yields
-    its replicates' sums in bounded slices, and the buckets are then chained per key (`buckets` rows).
+    Scores are collapsed to (score, week) counts and split into ranges; each range yields
+    its replicates' sums in bounded slices, and the ranges are then chained per key.
     """
     keys = list(keys)
     vals = preds.groupBy(*keys, "p", week_code(F.col("night_date")).alias("week")).agg(
         F.sum(F.col("y").cast("double")).alias("pos"), F.sum(1.0 - F.col("y").cast("double")).alias("neg")
     )
-    placed = place_in_buckets(with_week_place(vals), keys, "p", buckets)
+    placed = place_in_ranges(with_week_place(vals), keys, "p")
     placed = placed.select(*keys, "_bucket", "p", "_i", "_nw", "pos", "neg")
 
     def bucket_sums(pdf: pd.DataFrame) -> pd.DataFrame:

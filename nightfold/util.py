@@ -74,42 +74,19 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den)
 
 
-STRIDE = 8
+def place_in_ranges(vals: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Adds `_bucket`: rows of a key in ascending ranges of `by`, equal values together.
 
-
-def bucket_by_cuts(df: DataFrame, value: str, cuts: str, buckets: int) -> DataFrame:
-    """Adds `_bucket`: how many of the buckets - 1 ascending cut points are at most the value. Every
-    STRIDE-th cut first, then the few between: a dozen comparisons in small generated code."""
-    reached = lambda i: F.when(F.col(value) >= F.get(F.col(cuts), i), 1).otherwise(0)  # noqa: E731  past the end counts as not reached
-    coarse = sum((reached(F.lit(k - 1)) for k in range(STRIDE, buckets, STRIDE)), F.lit(0))
-    df = df.withColumn("_coarse", coarse * STRIDE)
-    fine = sum((reached(F.col("_coarse") + (k - 1)) for k in range(1, STRIDE)), F.lit(0))
-    return df.withColumn("_bucket", F.col("_coarse") + fine).drop("_coarse")
-
-
-def place_in_buckets(vals: DataFrame, keys: Sequence[str], by: str, buckets: int) -> DataFrame:
-    """Adds `_bucket`: ranges of `by` with about equally many rows per key, from approximate quantiles.
-
-    Both the sketch and the lookup are salted, so a key with most of the rows is spread over SALTS tasks.
+    One range exchange by (keys, by), numbered by its partitions and written once, so that the numbers stay. Its bounds are
+    sampled from the rows: a key with most of the rows gets most of the ranges, many small keys share one, and the size of
+    ranges follows the session's partition size. Nothing is copied per key.
     """
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    salted = vals.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    bounds = (
-        salted.groupBy(*keys, "_salt")
-        .agg(F.percentile_approx(by, cuts, 1000).alias("_cuts"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.flatten(F.collect_list("_cuts"))).alias("_cuts"))  # SALTS short arrays
-    )
-    # Every n-th point of the pooled sketches; whatever the cut points, the result stays exact.
-    every = F.floor(F.size("_cuts") / buckets)
-    bounds = bounds.withColumn("_cuts", F.slice(F.filter("_cuts", lambda x, i: i % F.greatest(F.lit(1), every) == 0), 1, buckets - 1))
-    bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = salted.join(bounds, [*keys, "_salt"])
-    return bucket_by_cuts(placed, by, "_cuts", buckets).drop("_cuts", "_salt")
+    ranged = vals.repartitionByRange(*[F.asc(k) for k in keys], F.asc(by)).withColumn("_bucket", F.spark_partition_id())
+    return cut_lineage(ranged)
 
 
 def ranked_cumsum(
-    df: DataFrame, keys: Sequence[str], by: str, measures: Sequence[str], buckets: int = 64, distinct: bool = False
+    df: DataFrame, keys: Sequence[str], by: str, measures: Sequence[str], distinct: bool = False
 ) -> DataFrame:
     """Distinct `by` values per key with each measure's total and its running total below (`{m}_below`).
 
@@ -119,7 +96,7 @@ def ranked_cumsum(
     """
     keys = list(keys)
     vals = df if distinct else df.groupBy(*keys, by).agg(*[F.sum(m).alias(m) for m in measures])
-    placed = place_in_buckets(vals, keys, by, buckets)
+    placed = place_in_ranges(vals, keys, by)
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
@@ -149,7 +126,7 @@ def exact_quantiles(
     if dummy:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
-    placed = place_in_buckets(counts, keys, value, 64)
+    placed = place_in_ranges(counts, keys, value)
     whole, upto = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_t"))
     totals = totals.withColumn("_below", F.coalesce(F.sum("_t").over(upto), F.lit(0))).withColumn("_total", F.sum("_t").over(whole))

@@ -112,7 +112,7 @@ def test_models_judged_by_other_labels(spark):
 def test_isotonic_in_parts_is_isotonic_at_once(spark):
     r = np.random.default_rng(7)
     rows = [(k, float(round(p, 2)), int(r.random() < p**2)) for k in (1, 2) for p in r.random(400)]
-    got = {x["k"]: (x["isotonic_x"], x["isotonic_y"]) for x in M.isotonic_knots(spark.createDataFrame(rows, "k int, p double, y int"), ["k"], buckets=5).collect()}
+    got = {x["k"]: (x["isotonic_x"], x["isotonic_y"]) for x in M.isotonic_knots(spark.createDataFrame(rows, "k int, p double, y int"), ["k"]).collect()}
     for k in (1, 2):
         ps = sorted({p for kk, p, _ in rows if kk == k})
         mean = {}

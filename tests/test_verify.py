@@ -50,7 +50,7 @@ def test_bootstrap_matches_weighted_rows(spark):
     assert rec["brier"] == pytest.approx(float(np.mean((p - y) ** 2)))
     assert (rec["brier_lo"], rec["brier_hi"]) == (pytest.approx(lo), pytest.approx(hi))
     aucs = [brute_auc(y, p, r) for r in w]
-    ci = V.bootstrap_auc(df, ["label", "lead", "method"], 40, 11, buckets=8).first()
+    ci = V.bootstrap_auc(df, ["label", "lead", "method"], 40, 11).first()
     assert (ci["auc_lo"], ci["auc_hi"]) == tuple(pytest.approx(v, abs=1e-9) for v in np.percentile(aucs, [2.5, 97.5]))
 
 
@@ -114,7 +114,7 @@ def test_quantiles_and_running_counts_are_exact(spark, hot):
     d = spark.createDataFrame([("k", float(x)) for x in v], "k string, v double")
     q = exact_quantiles(d, ["k"], "v", {"a": 0.025, "b": 0.5, "c": 0.95}).first()
     assert (q["a"], q["b"], q["c"]) == tuple(pytest.approx(x) for x in np.percentile(v, [2.5, 50, 95]))
-    ranks = {r["v"]: r["n_below"] for r in ranked_cumsum(d.withColumn("n", F.lit(1)), ["k"], "v", ["n"], buckets=16).collect()}
+    ranks = {r["v"]: r["n_below"] for r in ranked_cumsum(d.withColumn("n", F.lit(1)), ["k"], "v", ["n"]).collect()}
     s = np.sort(v)
     assert all(ranks[float(x)] == np.searchsorted(s, x, side="left") for x in np.unique(v)[::37])
 
@@ -126,3 +126,32 @@ def test_forward_scores_need_every_row(spark):
     v = spark.createDataFrame(rows, "site string, night_date date, lead int, y boolean, p double, b double, c double")
     got = {(r["method"], r["lead"]) for r in score_forward(v, {"blend": "p", "bench": "b", "climatology": "c"}, "y").collect()}
     assert ("bench", 1) in got and ("bench", 2) not in got and ("bench", None) not in got and ("blend", None) in got
+
+
+def test_ranges_follow_a_hot_key(spark):
+    """A key with nine tenths of the rows gets most of the ranges, more with more rows; sums and quantiles stay exact."""
+    from nightfold.util import exact_quantiles, place_in_ranges, ranked_cumsum
+
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ranges = {}
+        for n in (900, 9000):
+            rows = [("hot", float((i * 7919) % n)) for i in range(n)] + [(f"k{i % 50}", float(i)) for i in range(1000)]
+            df = spark.createDataFrame(rows, "k string, v double")
+            placed = place_in_ranges(df, ["k"], "v")
+            spans = placed.filter("k = 'hot'").groupBy("_bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_bucket").collect()
+            assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+            ranges[n] = len(spans)
+            sizes = [r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()]
+            assert max(sizes) <= 3 * (n + 1000) / 20
+        assert 5 <= ranges[900] < ranges[9000]
+        got = ranked_cumsum(df.withColumn("m", F.lit(1)), ["k"], "v", ["m"]).filter("k = 'hot'").collect()
+        assert {r["v"]: r["m_below"] for r in got} == {float(i): i for i in range(9000)}
+        q = {r["k"]: r["m"] for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+        assert q["hot"] == 4499.5 and q["k7"] == 482.0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
