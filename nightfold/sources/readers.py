@@ -195,16 +195,23 @@ def load_extracts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def satellite_boxes(pixels: DataFrame, sites: DataFrame, half: int = 2) -> DataFrame:
     """Mean cloud mask of the good pixels in the (2 half + 1)^2 box around each site's pixel, per scan.
-    Sites list their box's pixels, so the join is by equality. A box without a good pixel is NULL and 0; a
-    site outside the image altogether has one row without a scan."""
-    offsets = F.sequence(F.lit(-half), F.lit(half))
-    box = sites.withColumn("row", F.explode(F.transform(offsets, lambda d: F.col("site_row") + d))).withColumn(
-        "col", F.explode(F.transform(offsets, lambda d: F.col("site_col") + d))
-    )
+    Pixels are added up per scan and position first, and every distinct box lists its positions, so the join is by equality and
+    grows with boxes and scans, not with pixels times sites. A box without a good pixel is NULL and 0; a site outside
+    the image altogether has one row without a scan."""
     good = (F.col("dqf") == 0) & F.col("bcm").isin(0, 1)
-    per = box.join(pixels, ["row", "col"]).groupBy("site", "scan").agg(
-        F.avg(F.when(good, F.col("bcm").cast("double"))).alias("cover"), F.sum(good.cast("int")).alias("n_good")
+    sums = pixels.groupBy("scan", "row", "col").agg(
+        F.sum(F.when(good, F.col("bcm").cast("double"))).alias("_s"), F.sum(good.cast("int")).alias("_n")
+    )
+    placed = sites.groupBy("site", "site_row", "site_col").agg(F.count("*").alias("_k"))
+    offsets = F.sequence(F.lit(-half), F.lit(half))
+    box = placed.select("site_row", "site_col").distinct()
+    box = box.withColumn("row", F.explode(F.transform(offsets, lambda d: F.col("site_row") + d)))
+    box = box.withColumn("col", F.explode(F.transform(offsets, lambda d: F.col("site_col") + d)))
+    boxes = box.join(sums, ["row", "col"]).groupBy("site_row", "site_col", "scan").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    per = placed.join(boxes, ["site_row", "site_col"]).groupBy("site", "scan").agg(
+        F.sum(F.col("_s") * F.col("_k")).alias("_s"), F.sum(F.col("_n") * F.col("_k")).alias("n_good")
     )
+    per = per.select("site", "scan", F.when(F.col("n_good") > 0, F.col("_s") / F.col("n_good")).alias("cover"), "n_good")
     return sites.select("site").join(per, "site", "left").withColumn("n_good", F.coalesce("n_good", F.lit(0)))
 
 

@@ -75,6 +75,29 @@ def test_satellite_boxes_ignore_bad_pixels(spark):
     assert got == {"a": (3 / 8, 8), "z": (None, 0)}
 
 
+def test_satellite_boxes_add_up_pixels_before_they_meet_sites(spark):
+    """Many pixels of one place and many sites on it: the join holds a row per box, place and scan, not per pixel and site."""
+    px = [(i % 2, i % 3, 0, i % 3, 0 if i % 5 else None) for i in range(600)] + [(None, 1, 0, 1, 0), (7, 2, 0, 1, 3)]
+    pixels = spark.createDataFrame(px, "scan int, row int, col int, bcm int, dqf int")
+    at = [("a", 1, 1), ("a", 1, 1), ("a", 2, 0), (None, 1, 1), ("n", None, 1), ("z", 99, 9)] + [(f"s{i}", 1, 0) for i in range(50)]
+    sites = spark.createDataFrame(at, "site string, site_row int, site_col int")
+    out = R.satellite_boxes(pixels, sites, 1)
+    want = []
+    for site, _, _ in at:
+        scans: dict = {}
+        for other, r, c in at:
+            for scan, row, col, bcm, dqf in px:
+                if site is not None and other == site and None not in (r, c) and abs(row - r) <= 1 and abs(col - c) <= 1:
+                    scans.setdefault(scan, []).extend([bcm] if dqf == 0 and bcm in (0, 1) else [])
+        want += [(site, k, sum(v) / len(v) if v else None, len(v)) for k, v in scans.items()] or [(site, None, None, 0)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "dqf" in line and "LogicalRDD" in line)
+    above = [line for line in lines[:scan] if "Join" in line or "Aggregate" in line]
+    assert "Aggregate" in above[-1]  # pixels are aggregated before any join
+
+
 def test_places_and_stations(spark, tmp_path):
     (tmp_path / "p.txt").write_text("﻿USPS|GEOID|ANSICODE|NAME|LSAD|ALAND|INTPTLAT|INTPTLONG \nCA|06|123|Davis city|25|2000000|38.5|-121.7\nNV|32|9|Reno city|25|1|1|1\n")
     p = R.scan_census_places(spark, str(tmp_path / "p.txt"), "CA").collect()
