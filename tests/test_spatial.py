@@ -54,6 +54,22 @@ def test_radius_join_equals_brute_force(spark, radius):
     assert got == sorted((i, j) for i, a, b in left for j, c, d in right if hav(a, b, c, d) <= radius)
 
 
+@pytest.mark.parametrize("radius", [40.0, 1500.0])
+def test_not_near_equals_brute_force_and_broadcasts_nothing(spark, radius):
+    rnd = random.Random(11)
+    spots = [*((a, b) for _, a, b in points(60, 12, True)), *((a, b) for _, a, b in points(40, 13)), (10.0, 179.99), (10.0, -179.99), (89.99, 5.0), (89.99, -170.0), (90.0, 0.0), (-90.0, 3.0)]
+    pick = lambda n: [(i, rnd.choice(["x", "y", None]), *rnd.choice(spots)) for i in range(n)]
+    left = [*pick(150), (900, "x", None, 1.0), (901, "x", math.nan, 1.0), (901, "x", math.nan, 1.0), (902, "y", 36.5, math.inf)]
+    right = [*pick(60), *[(500 + i, "x", 0.0, 0.0) for i in range(5)], (700, "x", math.nan, 1.0), (701, "x", None, 1.0)]
+    lf = spark.createDataFrame(left, "i long, k string, lat double, lon double")
+    rt = spark.createDataFrame(right, "j long, k string, lat double, lon double")
+    out = P.not_near(lf, rt, "k", radius)
+    ok = lambda v: v is not None and math.isfinite(v)
+    near = lambda k, a, b: any(k is not None and k == m and ok(a) and ok(b) and ok(c) and ok(d) and hav(a, b, c, d) < radius for _, m, c, d in right)
+    assert sorted(r["i"] for r in out.collect()) == sorted(i for i, k, a, b in left if not near(k, a, b))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_scaled_prefers_towns_then_lowest_score(spark):
     rnd = random.Random(9)
     places = [(i, f"p{i}", rnd.choice(["city", "town", "community"]), rnd.uniform(36, 37), rnd.uniform(-122, -121), rnd.choice([0.5, 4.0, 60.0, 900.0])) for i in range(40)]
