@@ -54,6 +54,23 @@ def test_radius_join_equals_brute_force(spark, radius):
     assert got == sorted((i, j) for i, a, b in left for j, c, d in right if hav(a, b, c, d) <= radius)
 
 
+def test_radius_join_deals_a_crowded_cell_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 16)
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(88, 90), rnd.uniform(-180, 180)) for _ in range(40)] + [(90.0, 1.0), (None, 1.0)]
+    left = [(i, *rnd.choice(spots)) for i in range(300)] + [(7, *spots[0])] * 3
+    right = [(i, *rnd.choice(spots)) for i in range(90)] + [(3, *spots[0])] * 2
+    lf = spark.createDataFrame(left, "i long, lat double, lon double")
+    rt = spark.createDataFrame(right, "j long, lat double, lon double")
+    out = P.radius_join(lf, rt, 150.0)
+    assert out.columns == ["i", "lat", "lon", "j", "lat2", "lon2", "km"]
+    near = out.select("i", "j", F.spark_partition_id().alias("task")).collect()
+    want = sorted((i, j) for i, a, b in left for j, c, d in right if None not in (a, c) and hav(a, b, c, d) <= 150.0)
+    assert sorted((r["i"], r["j"]) for r in near) == want
+    held = [sum(r["task"] == t for r in near) for t in {r["task"] for r in near}]
+    assert len(held) > 20 and max(held) < len(near) / 5
+
+
 @pytest.mark.parametrize("radius", [40.0, 1500.0])
 def test_not_near_equals_brute_force_and_broadcasts_nothing(spark, radius):
     rnd = random.Random(11)
