@@ -291,6 +291,31 @@ def paired(preds: DataFrame, pairs: DataFrame, resamples: int = 1000, seed: int
     return point.join(ci, key).withColumn("significant", (F.col("hi") < 0) | (F.col("lo") > 0))
 
 
+SLICE = 4096  # (score, week) rows that meet the replicates at once
+
+
+def auc_sums(counts: np.ndarray, p: np.ndarray, i: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per replicate (rows of `counts`, which has a column per week): pairs won (ties half), positives and negatives, of rows in
+    order of their score p. Slices hold whole scores and at most SLICE rows, or one score, which has a row a week at most: memory is
+    replicates x slice, however many weeks the scores of a range have between them."""
+    won, below, total_pos = (np.zeros(len(counts)) for _ in range(3))
+    starts = np.r_[0, np.flatnonzero(np.diff(p)) + 1, len(p)]
+    k = 0
+    while k < len(starts) - 1:
+        to = max(k + 1, int(np.searchsorted(starts, starts[k] + SLICE, side="right")) - 1)
+        edge = starts[k : to + 1]
+        a, b = edge[0], edge[-1]
+        w = counts[:, i[a:b]]
+        gp = np.add.reduceat(w * pos[a:b], edge[:-1] - a, axis=1)
+        gn = np.add.reduceat(w * neg[a:b], edge[:-1] - a, axis=1)
+        under = below[:, None] + np.cumsum(gn, axis=1) - gn
+        won += (gp * (under + 0.5 * gn)).sum(axis=1)
+        below += gn.sum(axis=1)
+        total_pos += gp.sum(axis=1)
+        k = to
+    return won, total_pos, below
+
+
 def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000, seed: int = 20260101) -> DataFrame:
     """AUC interval per key (keys include label and lead) from the same week draws.
 
@@ -307,21 +332,7 @@ def bootstrap_auc(preds: DataFrame, keys: Sequence[str], resamples: int = 1000,
     def bucket_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = md5_week_counts(int(pdf["_nw"].iloc[0]), resamples, seed)
         pdf = pdf.sort_values("p", kind="stable")
-        p, i = pdf["p"].to_numpy(), pdf["_i"].to_numpy()
-        pos, neg = pdf["pos"].to_numpy(), pdf["neg"].to_numpy()
-        starts = np.r_[0, np.flatnonzero(np.diff(p)) + 1, len(p)]
-        won, below, total_pos = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
-        step = 4096  # distinct scores per slice: memory stays at step x resamples
-        for k in range(0, len(starts) - 1, step):
-            edge = starts[k : k + step + 1]
-            a, b = edge[0], edge[-1]
-            w = counts[:, i[a:b]]
-            gp = np.add.reduceat(w * pos[a:b], edge[:-1] - a, axis=1)
-            gn = np.add.reduceat(w * neg[a:b], edge[:-1] - a, axis=1)
-            under = below[:, None] + np.cumsum(gn, axis=1) - gn
-            won += (gp * (under + 0.5 * gn)).sum(axis=1)
-            below += gn.sum(axis=1)
-            total_pos += gp.sum(axis=1)
+        won, total_pos, below = auc_sums(counts, *[pdf[c].to_numpy() for c in ("p", "_i", "pos", "neg")])
         head = {c: [pdf[c].iloc[0]] for c in [*keys, "_bucket"]}
         return pd.DataFrame({**head, "won": [won], "pos": [total_pos], "neg": [below]})
 

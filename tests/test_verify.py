@@ -155,3 +155,22 @@ def test_ranges_follow_a_hot_key(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_auc_replicates_take_slices_of_rows():
+    """Many weeks behind every score: memory follows the slice, not scores times weeks."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(4)
+    weeks, scores, replicates = 300, 200, 200
+    counts = rnd.integers(0, 3, (replicates, weeks)).astype(float)
+    p, i = np.repeat(np.arange(scores) / scores, weeks), np.tile(np.arange(weeks), scores)
+    pos, neg = rnd.integers(0, 4, len(p)).astype(float), rnd.integers(0, 4, len(p)).astype(float)
+    tracemalloc.start()
+    won, total_pos, total_neg = V.auc_sums(counts, p, i, pos, neg)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * V.SLICE * replicates * 8 < counts[:, i].nbytes
+    gp, gn = ((counts @ m.reshape(scores, weeks).T) for m in (pos, neg))
+    assert np.array_equal(won, (gp * (np.cumsum(gn, axis=1) - gn / 2)).sum(axis=1))
+    assert np.array_equal(total_pos, gp.sum(axis=1)) and np.array_equal(total_neg, gn.sum(axis=1))
