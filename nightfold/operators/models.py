@@ -273,7 +273,7 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
     basis = Basis(np.array(pilot), np.array([v or 1.0 for v in spread]), tuple(gappy))
     kept = [i for i, p in enumerate(pops) if p in complete]
     names = [a for a in cells.columns if a not in (*key_cols, "grp", "day")]
-    stats = cells.join(pop, key_cols).filter(seen).groupBy("pop").agg(*[(F.min if c[:2] == "lo" else F.max if c[:2] == "hi" else F.sum)(c).alias(c) for c in names]).collect()
+    stats = cells.join(F.broadcast(pop), key_cols).filter(seen).groupBy("pop").agg(*[(F.min if c[:2] == "lo" else F.max if c[:2] == "hi" else F.sum)(c).alias(c) for c in names]).collect()
     medians: dict[tuple[int, int], float] = {}
     if impute:
         cuts = sorted({p.before for p in pops if p.before is not None})
@@ -285,7 +285,8 @@ def _prepare(rows: DataFrame, keys: Sequence[str], features: Sequence[str], pops
         upto = pop.withColumn("_upto", F.size(F.filter(marks, lambda c: c < F.col("before"))))
         ok = (F.isnull("before") | (F.col("block") <= F.col("_upto"))) & (F.isnull("exclude") | (F.col("grp") != F.col("exclude")))
         wanted = F.col("f").isin(gappy) | F.col("pop").isin(kept)
-        merged = hist.join(upto, key_cols).filter(ok & wanted).groupBy("pop", "f", "value").agg(F.sum("w").alias("w"))
+        # Keys are few: sent to the tasks, the populations leave the values where they are; a shuffle by key would gather them.
+        merged = hist.join(F.broadcast(upto), key_cols).filter(ok & wanted).groupBy("pop", "f", "value").agg(F.sum("w").alias("w"))
         for r in exact_quantiles(merged, ["pop", "f"], "value", {"m": 0.5}, weight="w").collect():
             medians[(r["pop"], r["f"])] = r["m"]
     out = {}
@@ -393,7 +394,7 @@ def _fold_table(packed: DataFrame, key_cols: list[str], pops: list[Population],
     pop = spark.createDataFrame([(i, *p.key, p.before, p.exclude) for i, p in enumerate(pops)], schema)
     days = packed.select(*key_cols, "grp", "day").distinct()
     seen = (F.isnull("before") | (F.col("day") < F.col("before"))) & (F.isnull("exclude") | (F.col("grp") != F.col("exclude")))
-    mine = days.join(pop, key_cols).filter(seen).select("pop", "day")
+    mine = days.join(F.broadcast(pop), key_cols).filter(seen).select("pop", "day")
     out: dict[Population, list] = {}
     for r in date_folds(mine, ["pop"], "day", folds).orderBy("pop", "fold").collect():
         out.setdefault(pops[r["pop"]], []).append((r["val_from"], r["val_before"]))
@@ -451,9 +452,9 @@ def isotonic(p: Column, xs: Column, ys: Column) -> Column:
 
 def predict(rows: DataFrame, artifacts: DataFrame, features: Sequence[str], on: Sequence[str], out: str = "p") -> DataFrame:
     """Adds the probability of the model matching the row's `on` columns (NULL without one). The models are
-    few and small, so the join broadcasts them by their measured size; scoring is plain arithmetic."""
+    few and small, so they are broadcast: rows are never gathered by key; scoring is plain arithmetic."""
     models = linear_form(artifacts).select(*on, F.struct("_slope", "_gap", "_b0", "isotonic_x", "isotonic_y").alias("_m"))
-    joined = rows.join(models, list(on), "left")
+    joined = rows.join(F.broadcast(models), list(on), "left")
     terms = [F.coalesce(F.col(f).cast("double") * F.col("_m._slope")[i], F.col("_m._gap")[i]) for i, f in enumerate(features)]
     t = sum(terms, F.col("_m._b0"))
     joined = joined.withColumn("_q", 1 / (1 + F.exp(-t)))
@@ -483,7 +484,7 @@ def out_of_fold(rows: DataFrame, keys: Sequence[str], types: Sequence[str], feat
         frames.append({**a, "keys": {**a["keys"], "fold": i}, "medians": pr["median"].tolist(), "indicators": pr["indicators"],
                        "mean": pr["mean"].tolist(), "scale": pr["sd"].tolist(), "coef": f.beta[:-1].tolist(), "intercept": float(f.beta[-1])})
     models = artifact_frame(rows.sparkSession, frames, [*keys, "fold"], [*types, "int"])
-    inside = rows.join(fold, list(keys)).filter((F.col(day) >= F.col("val_from")) & (F.isnull("val_before") | (F.col(day) < F.col("val_before"))))
+    inside = rows.join(F.broadcast(fold), list(keys)).filter((F.col(day) >= F.col("val_from")) & (F.isnull("val_before") | (F.col(day) < F.col("val_before"))))
     return predict(inside, models, features, [*keys, "fold"]).drop("val_from", "val_before").filter("p is not null")
 
 
@@ -537,7 +538,7 @@ def calibrate(oof: DataFrame, keys: Sequence[str], y: str, artifacts: list[dict]
     errors = cut_lineage(brier_decomposition(scored, keys).select(*keys, "n", "ece"))
     of = lambda r: tuple(str(r[k]) for k in keys)
     ece = {of(r): r for r in errors.collect()}  # one row a model
-    due = scored.join(errors.filter(F.col("ece") > threshold).select(*keys), keys, "left_semi")
+    due = scored.join(F.broadcast(errors.filter(F.col("ece") > threshold).select(*keys)), keys, "left_semi")
     maps = {of(r): r for r in isotonic_knots(due, keys).collect()}
     out = []
     for a in artifacts:

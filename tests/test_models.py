@@ -137,3 +137,22 @@ def test_no_rows_give_no_models(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.fit_logistic_grid(empty, ["lead"], FEATS, "y", "day", folds=2, c_grid=(0.1,)) == []
     assert M.artifact_frame(spark, [], ["lead"], ["int"]).isEmpty()
+
+
+def test_rows_meet_models_and_folds_without_a_shuffle_by_key(spark, monkeypatch):
+    """With three keys a shuffle by key leaves all rows, or all values, to three tasks."""
+    rows = spark.createDataFrame([(1 + i % 3, dt.date(2020, 1, 1 + i % 28), float(i % 7), int(i * 5 % 11 > 4)) for i in range(168)], "lead int, day date, x double, y int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    merged = []
+    quantiles = M.exact_quantiles
+    monkeypatch.setattr(M, "exact_quantiles", lambda df, *a, **k: (merged.append(plan(df)), quantiles(df, *a, **k))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arts = M.fit_logistic_grid(rows, ["lead"], ["x"], "y", "day", folds=2, c_grid=(0.1, 1.0))
+        oof = plan(M.out_of_fold(rows, ["lead"], ["int"], ["x"], "y", "day", arts, folds=2))
+        scored = plan(M.predict(rows, M.artifact_frame(spark, arts, ["lead"], ["int"]), ["x"], ["lead"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert merged and all("SortMergeJoin" not in p for p in merged)
+    assert "Exchange hashpartitioning" not in scored and scored.count("BroadcastHashJoin") == 1
+    assert oof.count("BroadcastHashJoin") >= 2
