@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -77,6 +78,23 @@ def test_encoder_equals_the_library(monkeypatch):
     assert e.encode([]) == [] and e.encode([None]) == [b""]
 
 
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    rng = random.Random(4)
+    e, sent = tokens.Encoder(PATH), []
+    learn = e._learn
+    monkeypatch.setattr(e.later, "learn", lambda pieces: sent.extend(pieces) or learn(pieces))
+    common, t = [f"w{i}rd" for i in range(50)], Tokenizer.from_file(PATH)
+    monkeypatch.setattr(e.later, "most", 200)
+    for k in range(20):  # each call has the common words, with and without a sign, and 40 of its own
+        words = common + [w + "," for w in common] + ["é" * (k + 1) + "x" * i for i in range(40)]
+        text = " ".join(["start", *rng.sample(words, len(words))])
+        assert np.frombuffer(e.encode([text])[0], e.type).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert all(sent.count(f" {w}") == 1 for w in common) and len(e.later.pieces) <= 200
+    texts = ["a\n\nb c\t\td", "in  doubt,  yes", None, " lead", "tail ", "<|endoftext|> x", "\u3000 wide \u3000", "ids.\n\n  - item"]
+    ids = e.encode_column(pa.array(texts), tokens.END).to_pylist()
+    assert [np.frombuffer(x, e.type).tolist() for x in ids] == [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+
+
 def test_files_round_trip_with_odd_rows(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["alpha", "beta,", "gamma.\n", "ß", "é"]) for _ in range(rng.randint(0, 60))), "x") for i in rng.sample(range(10**6), 300)]
