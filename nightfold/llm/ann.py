@@ -13,6 +13,14 @@ vector with its k + 1 smallest ids: no more of them can be among the k nearest o
 SPLIT vectors (and more than a share of 1 / HOT of all: so at most TABLES * HOT buckets) is cut into pieces that lie in
 different parts, each of which the bucket's queries visit. A query that found fewer
 than k vectors (few or strange data) is repeated against all buckets.
+
+Vectors are dealt by a hash into levels, the first of BASE vectors, all up to any next one GROWTH times as many.
+Levels are searched one after another; from the second on a query takes along the score of the k + 1st vector that
+it has found, and parts answer with vectors of at least that score only. As levels are random, these are some
+(GROWTH - 1) * (k + 1) vectors a level, however many parts there are: answers grow with the queries and the number
+of levels, not with queries times parts. What is found in the end is the same as without levels. The number of parts
+follows from the vectors alone; a level of few parts is copied for groups of queries, so that each level has work for
+all tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from nightfold.llm.common import shuffle_partitions, stored
+from nightfold.llm.common import stored
 
 TABLES = 3
 WIDTH = 1.5
@@ -34,6 +42,10 @@ BUCKET = 64  # vectors in a bucket, about
 SAMPLE = 32
 SAMPLE_QUANTILE = 0.25
 PART_ROWS = 50_000  # hashed vectors that a task holds
+LEAST_PARTS = 16
+BASE = 16_384
+GROWTH = 8
+DEALT = 1 << 40
 SPLIT = 256
 HOT = 10_000
 SEED = 20_240_607
@@ -113,20 +125,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
 
 
-ROW = "part int, kind int, bucket long, buckets array<long>, cid long, low long, v array<double>"
+ROW = "part int, kind int, bucket long, buckets array<long>, cid long, low long, v array<double>, least double"
 
 
-def _placed(part: np.ndarray, kind: int, bucket: np.ndarray, buckets: pa.Array, cid, low, v) -> pa.RecordBatch:
+def _placed(part: np.ndarray, kind: int, bucket: np.ndarray, buckets: pa.Array, cid, low, v, least=None) -> pa.RecordBatch:
     n = len(part)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(n, kind), pa.int32()), pa.array(bucket, pa.int64()), buckets, cid, low, v], names=["part", "kind", "bucket", "buckets", "cid", "low", "v"])
+    least = pa.nulls(n, pa.float64()) if least is None else least
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(n, kind), pa.int32()), pa.array(bucket, pa.int64()), buckets, cid, low, v, least], names=["part", "kind", "bucket", "buckets", "cid", "low", "v", "least"])
 
 
 class Places:
-    """Which part holds a bucket, or a piece of one that is cut."""
+    """Which part holds a bucket, or a piece of one that is cut; each group of queries has all parts for itself."""
 
-    def __init__(self, parts: int, pieces: dict[int, int]):
+    def __init__(self, parts: int, groups: int, pieces: dict[int, int]):
         order = sorted(pieces)
-        self.parts, self.cut = parts, np.array(order, dtype=np.int64)
+        self.groups, self.parts, self.cut = groups, parts, np.array(order, dtype=np.int64)
         self.counts = np.array([pieces[b] for b in order], dtype=np.int64)
 
     def pieces(self, keys: np.ndarray) -> np.ndarray:
@@ -157,7 +170,9 @@ def _index_rows(hashing: Hashing, places: Places):
                 spread = b.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 for key in hashing.buckets(_matrix(b.column(2))):
                     piece = spread % places.pieces(key).astype(np.uint64)
-                    yield _placed(places.part(key, piece), 0, key, pa.nulls(len(key), pa.list_(pa.int64())), *b.columns)
+                    part = places.part(key, piece)
+                    for group in range(places.groups):
+                        yield _placed(part + group * places.parts, 0, key, pa.nulls(len(key), pa.list_(pa.int64())), *b.columns)
 
     return run
 
@@ -169,6 +184,8 @@ def _query_rows(hashing: Hashing, places: Places, everywhere: bool):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 some = b.slice(lo, 256)
+                group = some.column(0).to_numpy().view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)
+                group = (group % np.uint64(places.groups)).astype(np.int64) * places.parts
                 row, part, lists = [], [], []
                 if everywhere:
                     row, part = np.repeat(np.arange(some.num_rows), places.parts), np.tile(np.arange(places.parts), some.num_rows)
@@ -186,13 +203,15 @@ def _query_rows(hashing: Hashing, places: Places, everywhere: bool):
                         part += own.tolist()
                         row += [i] * len(own)
                 take = pa.array(row, pa.int64())
-                yield _placed(np.asarray(part), 1, np.zeros(len(row), np.int64), _lists(lists), *(some.column(i).take(take) for i in range(3)))
+                part = np.asarray(part, np.int64) + group[row]
+                yield _placed(part, 1, np.zeros(len(row), np.int64), _lists(lists), *(some.column(i).take(take) for i in range(4)))
 
     return run
 
 
 def _search(keep: int):
-    """Rows of a part, vectors before queries, vectors by bucket: each query's `keep` best vectors of the part."""
+    """Rows of a part, vectors before queries, vectors by bucket: each query's `keep` best vectors of the part, of at
+    least its least score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,7 +227,7 @@ def _search(keep: int):
 
         def answer(b: pa.RecordBatch):
             keys, start, cid, low, x = index
-            queries = _matrix(b.column(6))
+            queries, least = _matrix(b.column(6)), b.column(7).to_numpy()
             out = [[], [], [], []]
             for i in range(b.num_rows):
                 wanted = b.column(3)[i].values.to_numpy()
@@ -221,6 +240,13 @@ def _search(keep: int):
                 else:
                     rows = np.arange(len(cid))
                 score = np.einsum("ij,j->i", x[rows], queries[i])
+                at_least = least[i]
+                if len(score) > keep * TABLES:  # ties included
+                    at_least = max(at_least, -np.partition(-score, keep * TABLES - 1)[keep * TABLES - 1])
+                fit = score >= at_least
+                rows, score = rows[fit], score[fit]
+                if not len(rows):
+                    continue
                 best = np.lexsort((low[rows], -score))
                 _, new = np.unique(cid[rows[best[: keep * TABLES]]], return_index=True)  # a vector may come from each table
                 best = best[np.sort(new)[:keep]]
@@ -293,19 +319,40 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     slim = classes.select("cid", "low", "v")
     m = max(3, round(log(max(2.0, facts.n / BUCKET)) / log(3.2)))
     hashing = Hashing(lengths.d, m, scale, _kth_cosine(slim, scale, min(k, facts.n - 1)))
-    parts = max(shuffle_partitions(spark), ceil(TABLES * facts.n / PART_ROWS))
     most = max(SPLIT, facts.n // HOT)
     full = slim.select("v").mapInArrow(_bucket_rows(hashing), "bucket long").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    places = Places(parts, {r.bucket: ceil(r.n / most) for r in full.collect()})  # at most TABLES * HOT
-    index = slim.mapInArrow(_index_rows(hashing, places), ROW)
+    full = {r.bucket: r.n for r in full.collect()}  # at most TABLES * HOT
     wanted = stored(slim.join(asked.select("cid").distinct(), "cid", "left_semi"), "queries")
+    tasks = max(LEAST_PARTS, ceil(TABLES * facts.n / PART_ROWS))
+    levels = []  # (first and last dealt number, places)
+    while not levels or levels[-1][1] < DEALT:
+        share = min(1.0, BASE * GROWTH ** len(levels) / facts.n)
+        lo, hi = levels[-1][1] if levels else 0, DEALT if share == 1 else int(share * DEALT)
+        share = (hi - lo) / DEALT
+        parts = max(LEAST_PARTS, ceil(TABLES * facts.n * share / PART_ROWS))
+        pieces = {bucket: ceil(n * share / most) for bucket, n in full.items()}
+        levels.append((lo, hi, Places(parts, max(1, tasks // parts), {bucket: n for bucket, n in pieces.items() if n > 1})))
+    dealt = F.pmod(F.xxhash64("cid", F.lit("level")), F.lit(DEALT))
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        """The k + 1 best vectors of each query, each once."""
+        best = rows.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.min("low").alias("low"))
+        return best.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)
 
     def found(queries: DataFrame, everywhere: bool) -> DataFrame:
         """(qid, vec_id, score): the k + 1 best ids for each queried vector."""
-        both = index.unionAll(queries.select("cid", "low", "v").mapInArrow(_query_rows(hashing, places, everywhere), ROW))
-        best = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "bucket").mapInArrow(_search(k + 1), "qid long, cid long, low long, score double")
-        best = best.groupBy("qid", "cid").agg(F.max("score").alias("score"), F.min("low").alias("low"))
-        best = best.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k + 1)
+        best, none = None, F.lit(float("-inf"))
+        for lo, hi, places in levels:
+            bound = queries.withColumn("least", none)
+            if best is not None:
+                best = stored(best, "best")
+                kth = best.where(F.col("r") == k + 1).select(F.col("qid").alias("cid"), F.col("score").alias("least"))
+                bound = queries.join(kth, "cid", "left").withColumn("least", F.coalesce("least", none))
+            index = slim.where((dealt >= lo) & (dealt < hi)).mapInArrow(_index_rows(hashing, places), ROW)
+            both = index.unionAll(bound.select("cid", "low", "v", "least").mapInArrow(_query_rows(hashing, places, everywhere), ROW))
+            both = both.repartitionById(places.parts * places.groups, F.col("part")).sortWithinPartitions("part", "kind", "bucket")
+            rows = both.mapInArrow(_search(k + 1), "qid long, cid long, low long, score double")
+            best = best_of(rows if best is None else rows.unionByName(best.drop("r")))
         ids = best.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id")).distinct()
         return ids.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
 

@@ -72,6 +72,38 @@ def test_a_full_bucket_is_cut_and_nothing_lost(spark, monkeypatch):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+def test_answers_of_the_search_do_not_grow_with_parts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2000, 48))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA).repartition(4).cache()
+    search = ann._search
+    before, shuffle = answers(ann.search(df)), spark.conf.get("spark.sql.shuffle.partitions")
+
+    made = []
+
+    def counted(keep):
+        found, total = search(keep), spark.sparkContext.accumulator(0)
+        made.append(total)
+
+        def run(batches):
+            for b in found(batches):
+                total.add(b.num_rows)
+                yield b
+
+        return run
+
+    for name, value in {"_search": counted, "BASE": 500, "GROWTH": 2, "PART_ROWS": 100}.items():
+        monkeypatch.setattr(ann, name, value)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert answers(ann.search(df)) == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    first, *later = [m.value for m in made]
+    assert len(later) == 2 and first <= 100 * 16 * 21  # parts follow from the vectors, not from the setting
+    assert max(later) <= 3 * 100 * 21 < first  # as many more vectors in as many parts or more, but with a bound
+
+
 def test_few_vectors_and_none(spark):
     rows = [(i, [1.0 + i, 2.0, -1.0 * i]) for i in range(0, 120, 10)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
