@@ -7,7 +7,10 @@ doubling length are compared at the current shift, and the last one is searched
 group is irregular; both sides are walked token by token (each step is a link) until their ends meet, which gives the new
 shift.
 
-Texts are tokenized once. A document's distinct linked pairs of ids are kept with their numbers in a table; document
+Texts are tokenized once. Neither tokenizer joins anything over a single space between two other characters (for models
+of other kinds whole texts are tokenized), so texts are cut there, and both look up the numbered pieces of a chunk
+together; only new pieces reach the libraries. A chunk's documents are aligned as one sequence: where a document ends, both
+sides end. A document's distinct linked pairs of ids are kept with their numbers in a table; document
 frequencies are sums over it. The most frequent pairs, at most FREQUENT of them, are sent to all tasks; links of all others
 meet their counts by a join.
 """
@@ -15,19 +18,22 @@ meet their counts by a join.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nightfold.llm.common import stored
-from nightfold.llm.tokens import Encoder
+from nightfold.llm.tokens import _ODD, WORDS, Encoder, Known, _binary, _chunks, _runs
 
 SPACE = "▁"  # how pieces spell a space
-CHARS = 500_000  # characters of texts that are tokenized at once, whole texts
+BYTES = 1 << 21  # bytes of texts that are tokenized and aligned at once, whole texts
+LONG = 64  # bytes of a piece that is remembered, at most
 PROBE = 4  # tokens of a stretch's first probe
 PAIRS = 2_000_000  # distinct pairs that a task counts before it passes them on
 FREQUENT = 1 << 20  # pairs whose counts are sent to every task, at most
@@ -116,6 +122,20 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode())
+        self.cuts = self._separates()
+
+    def _separates(self) -> bool:
+        """Whether a text may be cut before a space behind another character. Pairs are merged only into pieces of the
+        model: if none has such a space, no merge reaches over it, and the model adds the space that each part begins with."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:  # the model's settings are read with protobuf
+            return False
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        norm, kind = spec.normalizer_spec, spec.trainer_spec
+        merges = kind.model_type == kind.BPE and kind.byte_fallback and not kind.treat_whitespace_as_suffix
+        plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        return merges and plain and all(p.type not in (p.USER_DEFINED, p.UNUSED) and SPACE not in p.piece.lstrip(SPACE) for p in spec.pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -141,30 +161,96 @@ class Pair:
         if max(map(len, self.bytes_a + self.bytes_b)) > 255:
             raise ValueError("tokens of more than 255 bytes")
         self.length_a, self.length_b = (np.array([len(x) for x in t], dtype=np.uint8) for t in (self.bytes_a, self.bytes_b))
-        # Decimal ids with what follows them in a digest: inside a group, and at its end.
-        self.digits_a = [f"{i}{end}".encode() for end in ",|" for i in range(len(self.bytes_a))]
-        self.digits_b = [f"{i}{end}".encode() for end in ",;" for i in range(len(self.bytes_b))]
-        self.digits = self.digits_a + self.digits_b
+        # Decimal ids with what follows them in a digest: inside a group, and at its end. Filled up with zero bytes.
+        digits = [f"{i}{end}".encode() for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
+        self.digits_n = np.array([len(x) for x in digits])
+        self.digits = np.array(digits).view(np.uint8).reshape(len(digits), -1)
         self.wide = len(self.bytes_b)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both for each text; None where the bytes of a side are not those of a space and the text."""
-        from_a = self.a.encode([" " + t for t in texts])
-        from_b = self.b.encode(texts)
-        for t, x, y in zip(texts, from_a, from_b):
-            ids, whole = np.frombuffer(x, dtype=self.a.type), b" " + t.encode("utf-8", "surrogatepass")
+        # Ids of known pieces of text: those of A, then those of B after all of A's, or `unlike` if B does not give the piece back.
+        self.unlike = len(self.bytes_a) + len(self.bytes_b)
+        self.cuts = self.faithful_a and self.b.cuts
+        self.known = Known("", WORDS, self._learn, np.dtype(np.int32))
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of both, number of them for each piece) of pieces that stand behind a space."""
+        from_a, n_a = self.a._learn([" " + p for p in pieces])
+        found = self.b.encode(pieces)
+        n_b = np.array([len(x) for x in found], dtype=np.int64)
+        from_b = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(n_b.sum()))
+        wholes = [b" " + p.encode() for p in pieces]
+        ends = np.r_[0, np.cumsum(self.length_b[from_b], dtype=np.int64)][np.cumsum(n_b)]
+        if not (np.diff(np.r_[0, ends]) == [len(w) for w in wholes]).all() or b"".join(map(self.bytes_b.__getitem__, from_b.tolist())) != b"".join(wholes):
+            found = [x if b"".join(map(self.bytes_b.__getitem__, x)) == w else [self.wide] for x, w in zip(found, wholes)]
+            n_b = np.array([len(x) for x in found], dtype=np.int64)
+            from_b = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(n_b.sum()))
+        first = np.stack([np.cumsum(n_a) - n_a, len(from_a) + np.cumsum(n_b) - n_b], axis=1)
+        both = np.concatenate([from_a.astype(np.int32), (from_b + len(self.bytes_a)).astype(np.int32)])
+        return _runs(both, first.ravel(), np.stack([n_a, n_b], axis=1).ravel()), n_a + n_b
+
+    def _find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number) of different pieces; long ones are not remembered."""
+        long = pc.greater(pc.binary_length(pieces), LONG)
+        if not pc.any(long).as_py():
+            return self.known.find(pieces)
+        ids, at, n = self.known.find(pieces.filter(pc.invert(long)))
+        more, size = self._learn(pieces.filter(long).to_pylist())
+        long = long.to_numpy(zero_copy_only=False)
+        first, number = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        first[~long], number[~long] = at, n
+        first[long], number[long] = len(ids) + np.cumsum(size) - size, size
+        return np.concatenate([ids, more]), first, number
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, ids of B, their numbers for each text): of all texts one after another. Texts that are null, empty, or
+        not those that the bytes of both sides give behind a space, have none."""
+        n_a, n_b = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        there = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        if not len(there):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), n_a, n_b
+        texts = texts.cast(pa.string()).take(pa.array(there))
+        if not self.cuts:
+            found = list(self._whole(texts.to_pylist()))
+            n_a[there], n_b[there] = [len(a) for a, _ in found], [len(b) for _, b in found]
+            return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]), n_a, n_b
+        # An empty piece could not be told from none: texts that begin or end with a space are not split at every space.
+        lists = self.a._pieces(texts, f"{_ODD}|^ | $")
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        numbered = lists.flatten().dictionary_encode()
+        ids, first, n = self._find(numbered.dictionary)
+        place = numbered.indices.to_numpy()
+        ids, ends = _runs(ids, first[place], n[place]), np.r_[0, np.cumsum(n[place])][starts]
+        unlike = np.diff(np.r_[0, np.cumsum(ids == self.unlike)][ends]) > 0
+        if unlike.any():
+            ids, sizes = ids[~np.repeat(unlike, np.diff(ends))], np.where(unlike, 0, np.diff(ends))
+            ends = np.r_[0, np.cumsum(sizes)]
+        of_b = ids >= len(self.bytes_a)
+        n_b[there] = np.diff(np.r_[0, np.cumsum(of_b)][ends])
+        n_a[there] = np.diff(ends) - n_b[there]
+        return ids[~of_b].astype(np.int64), ids[of_b].astype(np.int64) - len(self.bytes_a), n_a, n_b
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text, tokenized whole; none where the bytes of a side are not those of a space and the text."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for t, x, y in zip(texts, self.a.encode([" " + t for t in texts]), self.b.encode(texts)):
+            ids, whole = np.frombuffer(x, dtype=self.a.type), b" " + t.encode()
             same = b"".join(map(self.bytes_b.__getitem__, y)) == whole and (self.faithful_a or b"".join(map(self.bytes_a.__getitem__, ids.tolist())) == whole)
-            yield (ids.astype(np.int64), np.array(y, dtype=np.int64)) if same else None
+            yield (ids.astype(np.int64), np.array(y, dtype=np.int64)) if same else nothing
 
-    def digest(self, a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> str:
-        """SHA-256 of `a1,a2|b1;a3|b2,b3`: a group's ids of either side, groups in order."""
+    def digests(self, a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray, ends: np.ndarray) -> list[str]:
+        """SHA-256 of `a1,a2|b1;a3|b2,b3` of each text: a group's ids of either side, groups in order; '' without tokens.
+        ends: ids of both sides before each text and after the last."""
+        if not len(a):
+            return [""] * (len(ends) - 1)
         end_a, end_b = np.r_[start_a[1:], len(a)], np.r_[start_b[1:], len(b)]
         last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
         last_a[end_a - 1], last_b[end_b - 1] = 1, 1
         order = np.zeros(len(a) + len(b), dtype=np.int64)
         order[np.arange(len(a)) + np.repeat(start_b, end_a - start_a)] = a + last_a * len(self.bytes_a)
-        order[np.arange(len(b)) + np.repeat(end_a, end_b - start_b)] = len(self.digits_a) + b + last_b * len(self.bytes_b)
-        return hashlib.sha256(b"".join(map(self.digits.__getitem__, order.tolist()))[:-1]).hexdigest()
+        order[np.arange(len(b)) + np.repeat(end_a, end_b - start_b)] = 2 * len(self.bytes_a) + b + last_b * len(self.bytes_b)
+        written = self.digits[order].ravel()
+        written = written[written != 0]
+        at = np.r_[0, np.cumsum(self.digits_n[order])][ends].tolist()
+        return [hashlib.sha256(written[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in itertools.pairwise(at)]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}  # one per worker and files
@@ -176,40 +262,26 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return _pairs[byte_level, pieces]
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for k, t in enumerate(texts):
-        if k > lo and size + len(t or "") > CHARS:
-            yield lo, k
-            lo, size = k, 0
-        size += len(t or "")
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
 def _align(byte_level: str, pieces: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(byte_level, pieces)
-        nothing = (0, 0, 0, 0, "", b"", b"")
         for batch in batches:
-            texts = batch.column(2)
-            for lo, hi in _chunks(texts.to_pylist()):
-                own = texts.slice(lo, hi - lo).to_pylist()
-                there = [k for k, t in enumerate(own) if t]
-                found = dict(zip(there, pair.encode([own[k] for k in there])))
-                rows = [nothing] * len(own)
-                for k, ids in found.items():
-                    if ids is None:
-                        continue
-                    a, b = ids
-                    start_a, start_b, i, j = groups(pair.length_a[a].tobytes(), pair.length_b[b].tobytes())
-                    keys, times = np.unique(a[i] * pair.wide + b[j], return_counts=True)
-                    rows[k] = (len(a), len(b), len(start_a), len(i), pair.digest(a, b, start_a, start_b), keys.astype("<u4").tobytes(), times.astype("<u4").tobytes())
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=[c.split()[0] for c in ALIGNED.split(", ")])
+            for lo, hi in _chunks(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(), BYTES):
+                part = batch.slice(lo, hi - lo)
+                a, b, n_a, n_b = pair.encode(part.column(2))
+                # Documents follow one another on both sides: where one ends, so do its tokens of either.
+                start_a, start_b, i, j = groups(pair.length_a[a].tobytes(), pair.length_b[b].tobytes())
+                ends_a, ends = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_a + n_b)]
+                doc = np.repeat(np.arange(len(part)), n_a)[i]
+                keys, times = np.unique(doc << 32 | (a[i] * pair.wide + b[j]), return_counts=True)
+                at = np.searchsorted(keys, np.arange(len(part) + 1) << 32) * 4
+                numbers = (n_a, n_b, np.diff(np.searchsorted(start_a, ends_a)), np.bincount(doc, minlength=len(part)))
+                lists = (_binary(x.astype("<u4").view(np.uint8), at) for x in (keys & 0xFFFFFFFF, times))
+                columns = [*map(pa.array, numbers), pa.array(pair.digests(a, b, start_a, start_b, ends), pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[c.split()[0] for c in ALIGNED.split(", ")])
 
     return run
 

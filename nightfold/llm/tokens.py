@@ -163,9 +163,9 @@ class Encoder:
             out.append(_binary(_runs(ids, at[run], n[run]).view(np.uint8), ends * self.type.itemsize))
         return pa.concat_arrays(out)
 
-    def _pieces(self, texts: pa.Array) -> pa.ListArray:
-        """Each text's pieces, without the space before them."""
-        odd = pc.match_substring_regex(texts, _ODD)
+    def _pieces(self, texts: pa.Array, odd: str = _ODD) -> pa.ListArray:
+        """Each text's pieces, without the space before them; texts that match `odd` are not split at every space."""
+        odd = pc.match_substring_regex(texts, odd)
         if not pc.any(odd).as_py():
             return pc.split_pattern(texts, " ")
         odd = odd.to_numpy(zero_copy_only=False)

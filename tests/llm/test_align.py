@@ -117,3 +117,40 @@ def test_counts_passed_on_early(spark, monkeypatch):
     for b in align._count(iter([batch])):
         total.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
     assert total == {1: 2, 2: 3, 3: 1, 4: 1, 9: 1}
+
+
+def _batch(texts):
+    columns = [align.pa.array(range(len(texts))), align.pa.array(range(len(texts))), align.pa.array(texts, align.pa.string())]
+    return align.pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text"])
+
+
+def test_models_see_a_piece_once(monkeypatch):
+    """What the models are given grows with the different pieces, not with the text."""
+    seen = []
+    encode = align.Pieces.encode
+    monkeypatch.setattr(align, "_pairs", {})
+    monkeypatch.setattr(align.Pieces, "encode", lambda self, texts: seen.extend(texts) or encode(self, texts))
+    texts = [f"common words, word{k % 7} again and again" for k in range(500)]
+    rows = [r for b in align._align(A, B)(iter([_batch(texts)] * 3)) for r in b.to_pylist()]
+    assert [(r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) for r in rows[:7]] == [(*x[:4], x[6]) for x in plain(texts[:7])]
+    assert len(rows) == 1500 and sum(map(len, seen)) < 200
+
+
+def test_pieces_against_whole_texts(monkeypatch):
+    r = random.Random(9)
+    odd = ["a", "word", "é", " ", " ", "  ", "\n", "\x00", "\u0301", "\U0001f600", "\u2581", "<|endoftext|>", "<s>", "\u3000", "\x1c", "\u200b", ".", "'s", "12", "x" * 70]
+    texts = [None, "", " ", "  "] + ["".join(r.choice(odd if r.random() < 0.5 else odd[:4]) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    pair = align.Pair(A, B)
+    assert pair.cuts
+    pair.known.most = 300  # the table of known pieces is full time and again
+    found = [pair.encode(align.pa.array(texts[k : k + 100], align.pa.string())) for k in range(0, len(texts), 100)]
+    found = [np.concatenate(x) for x in zip(*found)]
+    pair.cuts = False
+    assert all(np.array_equal(x, y) for x, y in zip(found, pair.encode(align.pa.array(texts, align.pa.string()))))
+    assert 0 < sum(n == 0 for n in found[2]) < len(texts) / 2
+    # chunks of several documents, of one document, and documents of their own
+    monkeypatch.setattr(align, "BYTES", 40)
+    few = texts[:300]
+    one = [x for k in range(len(few)) for b in align._align(A, B)(iter([_batch(few).slice(k, 1)])) for x in b.to_pylist()]
+    assert [x for b in align._align(A, B)(iter([_batch(few)])) for x in b.to_pylist()] == one
+    assert [(x["n_a"], x["n_b"], x["n_groups"], x["n_links"], x["groups_sha256"]) for x in one] == [(*x[:4], x[6]) for x in plain(few)]
