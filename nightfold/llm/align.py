@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nightfold.llm.common import stored
-from nightfold.llm.tokens import _ODD, WORDS, Encoder, Known, _binary, _chunks, _runs
+from nightfold.llm.tokens import _ODD, Encoder, Known, _binary, _chunks, _runs
 
 SPACE = "▁"  # how pieces spell a space
-BYTES = 1 << 21  # bytes of texts that are tokenized and aligned at once, whole texts
+BYTES = 1 << 20  # bytes of texts that are tokenized and aligned at once, whole texts
+KNOWN = 500_000  # pieces that a worker remembers, more only if one chunk has more
 LONG = 64  # bytes of a piece that is remembered, at most
 PROBE = 4  # tokens of a stretch's first probe
 PAIRS = 2_000_000  # distinct pairs that a task counts before it passes them on
@@ -169,7 +170,7 @@ class Pair:
         # Ids of known pieces of text: those of A, then those of B after all of A's, or `unlike` if B does not give the piece back.
         self.unlike = len(self.bytes_a) + len(self.bytes_b)
         self.cuts = self.faithful_a and self.b.cuts
-        self.known = Known("", WORDS, self._learn, np.dtype(np.int32))
+        self.known = Known("", KNOWN, self._learn, np.dtype(np.int32))
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of both, number of them for each piece) of pieces that stand behind a space."""
