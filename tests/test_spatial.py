@@ -204,6 +204,18 @@ def test_satellite_hides_the_far_side(spark):
     assert (near["x"], near["y"]) == (pytest.approx(-0.024052, abs=1e-6), pytest.approx(0.095340, abs=1e-6)) and far["x"] is None
 
 
+def test_radius_join_copies_fewer_rows_where_pairs_are_very_many(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "PIECES", 8, raising=False)
+    sides, plain = [], P._spread
+    monkeypatch.setattr(P, "_spread", lambda lt, rt: sides.append(plain(lt, rt)) or sides[0])
+    left = spark.range(700).selectExpr("id AS i", "10 + id % 37 / 100D AS lat", "20 + id % 41 / 100D AS lon")
+    right = spark.range(500).selectExpr("id AS j", "10 + id % 31 / 100D AS lat", "20 + id % 43 / 100D AS lon")
+    out = P.radius_join(left, right, 300.0)
+    assert out.select("i", "j").distinct().count() == out.count() == 700 * 500
+    assert sides[0][0].count() + sides[0][1].count() < 20_000  # blocks of 16: some 48,000
+
+
 def test_radius_join_round_the_globe(spark):
     rnd = random.Random(11)
     pole = [(rnd.choice([-1, 1]) * rnd.uniform(88.8, 90), rnd.uniform(-180, 180)) for _ in range(60)]
